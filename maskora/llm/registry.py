@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, lm_scoring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": exact_dedup.query}
+    return {"op1_lm_scoring": lm_scoring.query, "op7_exact_dedup": exact_dedup.query}
 
 
 def oracle_sql() -> dict[str, str]:
