@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, lm_scoring
+from . import bpe_codec, exact_dedup, lm_scoring, token_store
+
+OPERATORS = {
+    "op1_lm_scoring": lm_scoring,
+    "op5_token_store": token_store,
+    "op7_exact_dedup": exact_dedup,
+    "op10_bpe_codec": bpe_codec,
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_lm_scoring": lm_scoring.query, "op7_exact_dedup": exact_dedup.query}
+    return {name: module.query for name, module in OPERATORS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL}
+    return {name: module.SQL for name, module in OPERATORS.items() if hasattr(module, "SQL")}
