@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, lm_scoring, token_store
+from . import bpe_codec, exact_dedup, lm_scoring, near_dedup, token_store
 
 OPERATORS = {
     "op1_lm_scoring": lm_scoring,
+    "op3_near_dedup": near_dedup,
     "op5_token_store": token_store,
     "op7_exact_dedup": exact_dedup,
     "op10_bpe_codec": bpe_codec,
