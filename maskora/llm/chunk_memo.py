@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
-_SPACES = re.compile(r" \s")
 _CUT = re.compile(r" (?=\S)")
 
 
 class ChunkMemo:
-    """``encode_many`` maps a list of strings to their ids as little-endian 32-bit bytes.
+    """``encode_many`` maps a list of strings to the bytes of their ids.
 
     At ``limit`` chunks the memo starts anew, so a worker's memory is bounded; results do not depend on it.
     """
@@ -23,13 +23,23 @@ class ChunkMemo:
         self._encode_many, self._limit = encode_many, limit
         self._inner: dict[str, bytes] = {}
 
+    def _learn(self, chunks: set[str]) -> None:
+        missing = chunks.difference(self._inner)
+        if len(self._inner) + len(missing) > self._limit:
+            self._inner.clear()
+            missing = chunks
+        usable = [x for x in missing if x and not x[0].isspace()]
+        self._inner.update(zip(usable, self._encode_many([" " + x for x in usable]), strict=True))
+
     def encode(self, texts: list) -> list[bytes]:
-        cut = [(_CUT.split(t) if _SPACES.search(t) else t.split(" ")) if t else [""] for t in texts]
-        heads = self._encode_many([c[0] for c in cut])
-        inner = self._inner
-        missing = list({x for c in cut for x in c[1:] if x not in inner})
-        if len(inner) + len(missing) > self._limit:
-            inner.clear()
-            missing = list({x for c in cut for x in c[1:]})
-        inner.update(zip(missing, self._encode_many([" " + x for x in missing]), strict=True))
-        return [head + b"".join([inner[x] for x in c[1:]]) for head, c in zip(heads, cut, strict=True)]
+        """The ids of each text; a null one counts as empty."""
+        cut = [t.split(" ") if t else [""] for t in texts]
+        self._learn(set().union(*(islice(c, 1, None) for c in cut)))
+        out = []
+        for head, c, t in zip(self._encode_many([c[0] for c in cut]), cut, texts, strict=True):
+            try:
+                out.append(head + b"".join(map(self._inner.__getitem__, islice(c, 1, None))))
+            except KeyError:  # a space that more white space or the end follows is no place to cut
+                first, *rest = _CUT.split(t)
+                out.append(b"".join(self._encode_many([first, *(" " + x for x in rest)])))
+        return out

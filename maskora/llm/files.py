@@ -15,7 +15,7 @@ def create(path: str):
     """An output stream; missing folders are made."""
     where, name = _place(path)
     where.create_dir(name.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(name)
+    return where.open_output_stream(name, compression=None)
 
 
 def open_file(path: str):

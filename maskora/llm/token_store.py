@@ -4,9 +4,10 @@ Documents are range-partitioned by identifier; each partition writes one shard,
 
     data blocks | sparse block index | Bloom filter | footer
 
-A data block holds entries in key order with prefix-compressed keys and ends in its CRC-32. The index has the
-first key, place, size and row count of each block. The footer, of fixed size at the end, has the places of
-index and filter, the row and token counts and a magic number. A lookup reads the footer, asks the filter,
+A data block holds entries in key order with prefix-compressed keys, compressed as a whole; ids take two bytes
+where the vocabulary allows it, else four. The index has the first key, place, size, row count and CRC-32 of each
+block. The footer, of fixed size at the end, has the places of
+index and filter, the row and token counts, the bytes of an id and a magic number. A lookup reads the footer, asks the filter,
 searches the index in two halves again and again, and reads one block (or the few that share a key).
 
 Shards go to the shared folder through pyarrow's file systems; a task writes under a name of its own, and the
@@ -25,12 +26,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import regex
 import xxhash
-from pyarrow import fs
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe_codec import mapped
 from .chunk_memo import ChunkMemo
+from .files import create, open_file
 from .shared import scratch, written
 from .words import pieces
 
@@ -40,8 +44,8 @@ BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"MSKSST01"
-#: index place, index size, filter place, filter size, rows, tokens, blocks
-FOOTER = struct.Struct("<7Q8s")
+#: index place, index size, filter place, filter size, rows, tokens, blocks, bytes of an id
+FOOTER = struct.Struct("<8Q8s")
 _ENTRY = struct.Struct("<BBI")
 _INDEX = struct.Struct("<BQIII")
 
@@ -64,8 +68,9 @@ def _bits(key: bytes, size: int) -> list[int]:
 class ShardWriter:
     """Takes ``(key, value)`` in key order. One block and the filter's keys are all that is held."""
 
-    def __init__(self, sink, block_bytes: int = BLOCK_BYTES):
-        self._sink, self._block_bytes = sink, block_bytes
+    def __init__(self, sink, width: int = 4, block_bytes: int = BLOCK_BYTES):
+        self._sink, self._block_bytes, self.width = sink, block_bytes, width
+        self._pack = zstandard.ZstdCompressor(level=1).compress
         self._at = self.rows = self.tokens = 0
         self._keys: list[bytes] = []
         self._index: list[bytes] = []
@@ -90,12 +95,12 @@ class ShardWriter:
         if not self._keys or self._keys[-1] != key:
             self._keys.append(key)
         self.rows += 1
-        self.tokens += len(value) // 4
+        self.tokens += len(value) // self.width
 
     def _flush(self) -> None:
         if not self._count:
             return
-        block = b"".join(self._block)
+        block = self._pack(b"".join(self._block))
         crc = zlib.crc32(block)
         self._sink.write(block)
         self._index.append(_INDEX.pack(len(self._first), self._at, len(block), self._count, crc) + self._first)
@@ -112,7 +117,7 @@ class ShardWriter:
         bloom_at = self._at + len(index)
         self._sink.write(index)
         self._sink.write(struct.pack("<Q", bits) + packed)
-        self._sink.write(FOOTER.pack(self._at, len(index), bloom_at, len(packed) + 8, self.rows, self.tokens, len(self._index), MAGIC))
+        self._sink.write(FOOTER.pack(self._at, len(index), bloom_at, len(packed) + 8, self.rows, self.tokens, len(self._index), self.width, MAGIC))
         self._sink.close()
 
 
@@ -122,7 +127,7 @@ class ShardReader:
     def __init__(self, source):
         self._source = source
         end = source.size()
-        at, size, bloom_at, bloom_size, self.rows, self.tokens, blocks, magic = FOOTER.unpack(self._read(end - FOOTER.size, FOOTER.size))
+        at, size, bloom_at, bloom_size, self.rows, self.tokens, blocks, self.width, magic = FOOTER.unpack(self._read(end - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         raw, self._blocks, pos = self._read(at, size), [], 0
@@ -150,6 +155,7 @@ class ShardReader:
         raw, pos, key = self._read(place, length), 0, b""
         if zlib.crc32(raw) != crc:
             raise ValueError("a damaged block")
+        raw = zstandard.ZstdDecompressor().decompress(raw)
         for _ in range(count):
             shared, rest, n = _ENTRY.unpack_from(raw, pos)
             pos += _ENTRY.size + rest
@@ -170,24 +176,57 @@ class ShardReader:
             yield from self._entries(b)
 
 
-@lru_cache(maxsize=2)
-def _memo(tokenizer_json: str) -> ChunkMemo:
-    from tokenizers import Tokenizer
+class Encoder:
+    """Whole texts to ids with the tokenizers library; special tokens' strings in a text are ordinary text.
 
-    t = Tokenizer.from_str(tokenizer_json)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return ChunkMemo(lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+    Distinct chunks of the Latin script are split by the library's own pattern here and merged by its model
+    one match at a time, which skips most of the library's bookkeeping; other chunks go through all of it.
+    """
 
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer
+
+        self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
+        self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._split = regex.compile(public_tokenizers.PATTERN).findall
+        self._matches: dict[str, bytes] = {}
+        self.memo = ChunkMemo(self._encode_many)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{"H" if self.width == 2 else "I"}", *ids)
+
+    def _encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list = [None] * len(texts)
+        known, whole = self._matches, []
+        if len(known) > 500_000:
+            known.clear()
+        for i, t in enumerate(texts):
+            if t and max(t) >= "\u0250":
+                whole.append(i)
+                continue
+            ids = []
+            for m in self._split(t):
+                x = known.get(m)
+                if x is None:
+                    x = self._bytes([token.id for token in self._model.tokenize(mapped(m.encode()))])
+                    if len(m) < 64:
+                        known[m] = x
+                ids.append(x)
+            out[i] = b"".join(ids)
+        for i, e in zip(whole, self._tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = self._bytes(e.ids)
+        return out
 
-def open_shard(path: str) -> ShardReader:
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    return ShardReader(where.open_input_file(name))
+
+@lru_cache(maxsize=2)
+def _encoder(tokenizer_json: str) -> Encoder:
+    return Encoder(tokenizer_json)
 
 
-def _create(path: str):
-    where, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-    where.create_dir(name.rpartition("/")[0], recursive=True)
-    return where.open_output_stream(name)
+def open_shard(path: str) -> ShardReader:
+    return ShardReader(open_file(path))
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,14 +238,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, id_co
     shards = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES + 1
 
     def run(batches):
-        memo, writer, path, first = _memo(model.value), None, f"{folder}/{uuid.uuid4().hex}.sst", None
+        encoder, writer, path, first = _encoder(model.value), None, f"{folder}/{uuid.uuid4().hex}.sst", None
         for b in batches:
             ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for i, j in pieces(texts):
-                for doc_id, value in zip(ids[i:j], memo.encode(texts[i:j]), strict=True):
+                for doc_id, value in zip(ids[i:j], encoder.memo.encode(texts[i:j]), strict=True):
                     if writer is None:
-                        writer, first = ShardWriter(_create(path)), (doc_id, b["hashed"][0].as_py())
-                    writer.add(key_of(doc_id), value + struct.pack("<I", END_ID))
+                        writer, first = ShardWriter(create(path), encoder.width), (doc_id, b["hashed"][0].as_py())
+                    writer.add(key_of(doc_id), value + END_ID.to_bytes(encoder.width, "little"))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "first_id": first[0], "hashed": first[1], "n_rows": writer.rows, "n_tokens": writer.tokens}], MANIFEST)
@@ -229,9 +268,10 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, at in zip(b["path"].to_pylist(), b["base"].to_pylist(), strict=True):
                 rows = []
-                for key, value in open_shard(path).scan():
-                    n = len(value) // 4
-                    rows.append((id_of(key), at, n, zlib.crc32(value)))
+                shard = open_shard(path)
+                for key, value in shard.scan():
+                    n = len(value) // shard.width
+                    rows.append((id_of(key), at, n, zlib.crc32(np.frombuffer(value, f"<u{shard.width}").astype("<u4").tobytes())))
                     at += n
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=ROWS)

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from maskora.llm import token_store as ts
@@ -10,6 +12,7 @@ from tests.llm.fixtures import awkward_docs, docs_frame
 
 PLAIN = Tokenizer.from_file(ts.TOKENIZER)
 PLAIN.encode_special_tokens = True
+ENCODER = ts.Encoder(open(ts.TOKENIZER).read())
 
 
 def value(text):
@@ -27,6 +30,13 @@ def test_read_back_equals_the_library(spark):
     assert sorted(((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got), key=repr) == want
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text() | st.text(" \t\n'sabé1,日 \x1c\x85<|endoftext>"))
+def test_ids_equal_the_library(text):
+    got = np.frombuffer(ENCODER.memo.encode([text])[0], "<u2").tolist()
+    assert got == PLAIN.encode(text, add_special_tokens=False).ids
+
+
 def test_empty_table(spark):
     assert ts.stored_tokens(docs_frame(spark, [])).collect() == []
 
@@ -42,7 +52,7 @@ class Sink(io.BytesIO):
 @pytest.mark.parametrize("block", [1, 100, 1 << 20])
 def test_lookup(block):
     sink = Sink()
-    w = ts.ShardWriter(sink, block)
+    w = ts.ShardWriter(sink, 4, block)
     rows = [(None, b"null"), *((i * 3 - 50, bytes([i]) * (i % 7)) for i in range(100)), (1000, b"a"), (1000, b"b")]
     for i, v in rows:
         w.add(ts.key_of(i), v)
