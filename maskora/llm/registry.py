@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, lm_scoring, near_dedup, secret_scan, token_store, url_filter
+from . import bpe_codec, exact_dedup, lm_scoring, near_dedup, secret_scan, token_store, url_filter, warc_archive
 
 OPERATORS = {
     "op1_lm_scoring": lm_scoring,
     "op3_near_dedup": near_dedup,
     "op4_url_filter": url_filter,
     "op5_token_store": token_store,
+    "op6_warc_archive": warc_archive,
     "op7_exact_dedup": exact_dedup,
     "op8_secret_scan": secret_scan,
     "op10_bpe_codec": bpe_codec,
