@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, exact_dedup, lm_scoring, near_dedup, secret_scan, token_store, url_filter, warc_archive
+from . import bpe_codec, exact_dedup, lm_scoring, near_dedup, quality, secret_scan, token_store, url_filter, warc_archive
 
 OPERATORS = {
     "op1_lm_scoring": lm_scoring,
+    "op2_quality": quality,
     "op3_near_dedup": near_dedup,
     "op4_url_filter": url_filter,
     "op5_token_store": token_store,
