@@ -1,22 +1,24 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class. A class has COORDINATES minwise tokens; each of TREES trees
-branches its documents by BRANCH chosen coordinates, a node holding the documents that agree on the tokens
-chosen on its path. A node of at most LEAF documents is compared exhaustively; a larger one is compared with
-one of its documents, the pivot, and branches on.
+branches its documents by BRANCH chosen coordinates, and each node below by DEEPER more; a node holds the
+documents that agree on the tokens chosen on its path. A node of at most LEAF documents is compared
+exhaustively; a larger one is compared with PIVOTS of its documents and branches on.
 
 Recall. Two documents of similarity s share a chosen coordinate with probability s, so they part in all first
-branches with (1 - s)^(TREES * BRANCH), 4e-9 at 0.8, and below a common node with (1 - s)^BRANCH, 0.008, per
-tree; the trees choose different coordinates. A class must share MIN_SHARED of its first coordinates with
-others to go on (a partner of similarity 0.8 shares fewer with probability 6e-5). Sketches of four bits for
-each coordinate discard pairs that look less alike than 0.55, 4.8 standard deviations below 0.8. What is left
-is confirmed on full sets, so no false link is made.
+branches with (1 - s)^(TREES * BRANCH), 4e-9 at 0.8. Below, a common node has 2 s common children on average, so
+the two stay together to any depth with probability 0.93 in a tree at 0.8, and lose each other in all trees,
+which choose different coordinates, with about 3e-5. A class must share MIN_SHARED of its first coordinates with
+others to go on (a partner of similarity 0.8 shares fewer with probability 6e-5). Sketches of SKETCH four-bit
+minwise values discard pairs that look less alike than 0.65, 4.1 standard deviations below 0.8. What is left is
+confirmed on full sets, so no false link is made.
 
 Large groups. Only components are asked for, so pairs whose ends are already in one component are not looked
-at. In a node larger than LEAF, documents linked to the pivot leave the node, except where the triangle
-inequality of Jaccard distance lets them have a link into another component; a node whose documents are all in
-one component is done. A group of n near copies thus costs about n comparisons for each tree, not n squared.
-Every pass takes at least the pivot out of each large node, so the passes end whatever the data are.
+at. A document of a larger node leaves it if it is in the component of a pivot and so like the pivot that, by
+the triangle inequality of Jaccard distance, no document of another component in the node can be linked to it;
+a node whose documents are all in one component is done. A group of n near copies thus costs about n
+comparisons for each tree, not n squared. Every pass takes the pivots out of each large node, so the passes
+end whatever the data are.
 """
 
 from __future__ import annotations
@@ -32,11 +34,18 @@ from .shared import written
 from .words import U64, mix64, odd_constants, pieces, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-TREES, BRANCH, COORDINATES, LEAF, MIN_SHARED = 4, 3, 64, 256, 4
-#: Of 64 four-bit sketch values: equal ones at a similarity of about 0.55, for a link, and 0.45, to know a pivot's distance.
-LINK_EQUAL, PIVOT_EQUAL = 37, 31
+TREES, BRANCH, DEEPER, COORDINATES, LEAF, MIN_SHARED = 4, 3, 2, 64, 1024, 4
+SKETCH = 128
+#: Of the SKETCH four-bit values: equal ones at a similarity of about 0.65, for a link, and 0.49, to know a pivot's distance.
+LINK_EQUAL, PIVOT_EQUAL = 86, 66
+#: Documents of a larger node that the others are compared with; what was not compared on full sets counts as this alike.
+PIVOTS, UNSEEN = 3, 0.5
 _FIRST = TREES * BRANCH
-_XOR, _TIMES = odd_constants(101, COORDINATES).astype(np.uint32), odd_constants(202, COORDINATES).astype(np.uint32) | np.uint32(1)
+#: At most so many eight-byte ids are broadcast to pick out the texts that may have a link.
+BROADCAST_IDS = 2_000_000
+_LONGS = SKETCH // 16
+_S = [f"s{q}" for q in range(_LONGS)]
+_XOR, _TIMES = odd_constants(101, SKETCH).astype(np.uint32), odd_constants(202, SKETCH).astype(np.uint32) | np.uint32(1)
 _NIBBLES = 0x1111111111111111
 
 
@@ -58,12 +67,12 @@ def shingle_sets(texts: list, words: int):
 
 
 def _minwise(sets: list[np.ndarray]) -> np.ndarray:
-    """Minwise tokens, one row of COORDINATES for each (non-empty) set."""
+    """Minwise tokens, one row of SKETCH for each (non-empty) set."""
     flat = np.concatenate(sets)
     flat = (flat >> U64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), COORDINATES), np.uint32)
-    for k in range(COORDINATES):
+    out = np.empty((len(sets), SKETCH), np.uint32)
+    for k in range(SKETCH):
         v = (flat ^ _XOR[k]) * _TIMES[k]
         v ^= v >> np.uint32(15)
         out[:, k] = np.minimum.reduceat(v, starts)
@@ -76,20 +85,20 @@ def _sketches(batches, words: int):
         for i, j in pieces(texts):
             sets = list(shingle_sets(texts[i:j], words))
             full = [s for s in sets if len(s)]
-            coords = np.zeros((len(sets), COORDINATES), np.uint32)
+            coords = np.zeros((len(sets), SKETCH), np.uint32)
             if full:
                 coords[[k for k, s in enumerate(sets) if len(s)]] = _minwise(full)
-            bits = (coords & np.uint32(15)).astype(U64).reshape(len(sets), 4, 16) << (U64(4) * np.arange(16, dtype=U64))
+            bits = (coords & np.uint32(15)).astype(U64).reshape(len(sets), _LONGS, 16) << (U64(4) * np.arange(16, dtype=U64))
             packed = np.bitwise_or.reduce(bits, axis=2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[i:j], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                    pa.FixedSizeListArray.from_arrays(pa.array(coords.view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
-                    *(pa.array(np.ascontiguousarray(packed[:, q])) for q in range(4)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(coords[:, :COORDINATES]).view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
+                    *(pa.array(np.ascontiguousarray(packed[:, q])) for q in range(_LONGS)),
                 ],
-                ["doc_id", "n_shingles", "set_key", "coords", "s0", "s1", "s2", "s3"],
+                ["doc_id", "n_shingles", "set_key", "coords", *_S],
             )
 
 
@@ -113,14 +122,14 @@ def _overlaps(batches):
 
 
 def _equal_values(a: str, b: str) -> Column:
-    """How many of the 64 sketch values of the rows ``a`` and ``b`` are equal."""
+    """How many of the SKETCH values of the rows ``a`` and ``b`` are equal."""
     differ = F.lit(0)
-    for q in range(4):
+    for q in range(_LONGS):
         x = F.col(f"{a}.s{q}").bitwiseXOR(F.col(f"{b}.s{q}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(_NIBBLES)))
-    return F.lit(COORDINATES) - differ
+    return F.lit(SKETCH) - differ
 
 
 class _Join:
@@ -131,15 +140,15 @@ class _Join:
         self.docs = docs
         sketches = docs.mapInArrow(
             lambda it: _sketches(it, words),
-            "doc_id long, n_shingles long, set_key binary, coords array<int>, s0 long, s1 long, s2 long, s3 long",
+            "doc_id long, n_shingles long, set_key binary, coords array<int>, " + ", ".join(f"{c} long" for c in _S),
         )
         self.sketches = written(sketches, "sketches")
         named = self.sketches.filter("doc_id is not null and n_shingles > 0")
-        classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-        self.classes = written(classes, "classes")
-        rows = self.sketches.alias("s").join(self.classes.alias("c"), (F.col("s.doc_id") == F.col("c.rep")) & (F.col("s.set_key") == F.col("c.set_key")))
-        self.reps = written(rows.select("c.rep", "coords", F.struct("s0", "s1", "s2", "s3").alias("sketch")).dropDuplicates(["rep"]), "reps")
-        self.links = self.sims = None
+        first = F.min(F.struct("doc_id", "coords", F.struct(*_S).alias("sketch"))).alias("first")
+        classes = named.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"))
+        self.reps = written(classes.select("set_key", "copies", F.col("first.doc_id").alias("rep"), "first.coords", "first.sketch"), "classes")
+        self.classes = self.reps.select("set_key", "copies", "rep")
+        self.links = None
         self.words = words
 
     def _node(self, *parts) -> Column:
@@ -153,17 +162,27 @@ class _Join:
         shared = written(nodes.join(common, "node", "left_semi"), "first-nodes")
         active = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {MIN_SHARED}").select("rep")
         active = written(active, "active")
-        texts = self.docs.withColumnRenamed("doc_id", "rep").join(active, "rep", "left_semi").dropDuplicates(["rep"])
+        few = active.count() <= BROADCAST_IDS  # else a join by id, which moves the texts once
+        texts = self.docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(active) if few else active, "rep", "left_semi")
         words = self.words
-        self.sets = written(texts.mapInArrow(lambda it: _full_sets(it, words), "rep long, members binary"), "sets")
+        sets = texts.mapInArrow(lambda it: _full_sets(it, words), "rep long, members binary")
+        self.sets = written(sets.dropDuplicates(["rep"]), "sets")
         return shared.join(active, "rep", "left_semi")
 
     def with_pivots(self, nodes: DataFrame) -> DataFrame:
-        """Members of nodes of two or more, with the node's size and its pivot."""
-        pick = F.min(F.struct(F.xxhash64("node", "rep").alias("h"), "rep", "sketch"))
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), pick.alias("first")).filter("n > 1")
-        sizes = sizes.select("node", "n", F.col("first.rep").alias("pivot"), F.col("first.sketch").alias("pivot_sketch"))
-        return nodes.join(sizes, "node")
+        """Members of nodes of two or more, with the node's size and its pivots: one, or PIVOTS in a larger node."""
+        # chosen by the document alone, so a group has the same pivots in most of its nodes
+        picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "sketch")).alias(f"p{k}") for k in range(PIVOTS)]
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *picks).filter("n > 1")
+        rows = nodes.join(sizes, "node")
+        large = F.col("n") > LEAF
+        for k in range(PIVOTS):
+            equal = _equal_values("sketch", f"p{k}.sketch")
+            near = (F.col("rep") != F.col(f"p{k}.rep")) & (equal >= F.when(large, PIVOT_EQUAL).otherwise(LINK_EQUAL))
+            rows = rows.withColumn(f"near{k}", near & large if k else near)
+        pivots = F.array(*(F.struct(F.col(f"p{k}.rep").alias("pivot"), F.col(f"near{k}").alias("near")) for k in range(PIVOTS)))
+        rows = rows.withColumn("pivots", F.when(large, pivots).otherwise(F.slice(pivots, 1, 1)))
+        return rows.select("node", "tree", "rep", "sketch", "n", "pivots")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """``(a, b, common, total)`` of the full sets, for distinct pairs with a < b."""
@@ -181,11 +200,12 @@ class _Join:
 
     def level(self, nodes: DataFrame, depth: int) -> DataFrame:
         """One pass over the nodes of a depth; returns the nodes of the next."""
-        members = written(self.with_pivots(nodes).withColumn("equal", _equal_values("sketch", "pivot_sketch")).drop("pivot_sketch"), "members")
-        near_pivot = members.filter(f"rep != pivot and equal >= if(n > {LEAF}, {PIVOT_EQUAL}, {LINK_EQUAL})")
-        sims = self.confirm(near_pivot.select(F.col("rep").alias("a"), F.col("pivot").alias("b")))
+        members = written(self.with_pivots(nodes), "members")
+        near = members.select("rep", F.explode(F.filter("pivots", lambda p: p["near"])).alias("p"))
+        sims = self.confirm(near.select(F.col("rep").alias("a"), F.col("p.pivot").alias("b")))
         components = written(connected_components(self.links), "components")
-        rest = written(self.labelled(members.filter("rep != pivot"), components), "rest")
+        own = F.exists("pivots", lambda p: p["pivot"] == F.col("rep"))
+        rest = written(self.labelled(members.filter(~own), components), "rest")
         small = rest.filter(f"n <= {LEAF}").select("node", "rep", "component", "sketch.*")
         a, b = small.alias("a"), small.alias("b")
         close = (F.col("a.node") == F.col("b.node")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
@@ -195,23 +215,21 @@ class _Join:
 
     def branch(self, large: DataFrame, sims: DataFrame, components: DataFrame, depth: int) -> DataFrame:
         """Members of large nodes that may still have a link, dealt to the next depth's nodes."""
-        pivots = components.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-        far = sims.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "common", "total")
-        far = far.unionByName(sims.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), "common", "total"))
-        rows = large.join(pivots, "pivot", "left").join(far, ["rep", "pivot"], "left")
-        other = F.col("component") != F.coalesce("pivot_component", "pivot")
-        linked = F.col("common") * 100 >= F.col("total") * self.percent
-        like = F.coalesce(F.col("common") / F.col("total"), F.lit(0.0))
-        rows = written(rows.select("node", "tree", "rep", "sketch", like.alias("like"), F.coalesce(linked, F.lit(False)).alias("linked"), other.alias("other")), "large-nodes")
-        nearest = rows.groupBy("node").agg(F.max(F.when(F.col("other"), F.col("like"))).alias("nearest")).filter("nearest is not null")
-        slack = 1 - self.percent / 100
-        kept = rows.join(nearest, "node").filter(f"not linked or like <= nearest + {slack}").select("node", "tree", "rep", "sketch")
-        sets = COORDINATES // BRANCH // TREES
-        if depth > sets * TREES:
+        names = components.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
+        alike = sims.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (F.col("common") / F.col("total")).alias("like"))
+        alike = alike.unionByName(sims.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), (F.col("common") / F.col("total")).alias("like")))
+        rows = large.select("node", "rep", "component", F.explode("pivots.pivot").alias("pivot")).join(names, "pivot", "left").join(alike, ["rep", "pivot"], "left")
+        rows = written(rows.select("node", "rep", "pivot", "like", (F.col("component") != F.coalesce("pivot_component", "pivot")).alias("other")), "large-nodes")
+        others = F.max(F.when(F.col("other"), F.coalesce("like", F.lit(UNSEEN))))
+        nearest = rows.groupBy("node", "pivot").agg(F.greatest(others, F.lit(UNSEEN)).alias("nearest"), F.max("other").alias("open"))
+        leave = rows.filter("not other").join(nearest, ["node", "pivot"]).filter(f"not open or like > nearest + {1 - self.percent / 100}").select("node", "rep").distinct()
+        kept = large.join(leave, ["node", "rep"], "left_anti").select("node", "tree", "rep", "sketch")
+        depths = (COORDINATES - _FIRST) // DEEPER // TREES
+        if depth > depths * TREES:  # each coordinate has been chosen on the path
             return kept
-        turn = (depth - 1) // sets
-        at = (((depth - 1) % sets) * TREES + F.pmod(F.col("tree") + turn, F.lit(TREES))) * BRANCH
-        picks = kept.join(self.reps.select("rep", "coords"), "rep").select("node", "tree", "rep", "sketch", F.posexplode(F.slice("coords", at.cast("int") + 1, F.lit(BRANCH))).alias("pick", "token"))
+        turn = (depth - 1) // depths
+        at = _FIRST + (((depth - 1) % depths) * TREES + F.pmod(F.col("tree") + turn, F.lit(TREES))) * DEEPER
+        picks = kept.join(self.reps.select("rep", "coords"), "rep").select("node", "tree", "rep", "sketch", F.posexplode(F.slice("coords", at.cast("int") + 1, F.lit(DEEPER))).alias("pick", "token"))
         return picks.select(self._node("node", "pick", "token").alias("node"), "tree", "rep", "sketch")
 
 
@@ -243,5 +261,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept."""
+    kept = near_duplicates(docs, words, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
