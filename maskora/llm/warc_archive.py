@@ -1,10 +1,10 @@
 """WARC archives with a two-level capture index.
 
-Pages are range-partitioned by their reversed-host URL key; each partition writes one archive, in which every
-record is a gzip member of its own, and beside it the index lines of the same order in compressed blocks. The
-second level, the directory, is a table with a row for each block: its first and last key and its place. A
-lookup finds the block in the directory, searches the block's lines in two halves again and again, and reads
-the record's byte range.
+Pages are written where they are: each task writes one archive, in which every record is a gzip member of its
+own. What is sorted is the index alone: lines of reversed-host URL key, archive, place and size are
+range-partitioned by key and written in compressed blocks. The second level, the directory, is a table with a
+row for each block: its first and last key and its place. A lookup finds the block in the directory, searches
+the block's lines in two halves again and again, and reads the record's byte range.
 
 Of records with equal payloads one is the response and the others are revisits without a payload. Groups are
 summed by digest before anything moves; only the join that deals out the response's id touches the rows of a
@@ -33,7 +33,8 @@ BLOCK_LINES = 512
 LEAST_REVISIT = 0
 #: pages has no capture time; an archive of it says this one.
 CAPTURED = "1970-01-01T00:00:00Z"
-ARCHIVE_BYTES = 256 << 20
+#: Index lines in a partition of the sort.
+PART_LINES = 250_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _UNSAFE = re.compile(r"[^\x21-\x7E]")
 
@@ -94,41 +95,50 @@ def parse(data: bytes) -> dict:
     return {"page_id": number("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To"), "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
-DIRECTORY = pa.schema([("warc", pa.string()), ("index", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("lines", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string())])
+LINES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("warc", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+DIRECTORY = pa.schema([("index", pa.string()), ("at", pa.int64()), ("size", pa.int64()), ("lines", pa.int64()), ("first_key", pa.string()), ("last_key", pa.string())])
 
 
-def _write(batches, folder: str):
-    name, warc, index, place, index_place, lines, blocks = uuid.uuid4().hex, None, None, 0, 0, [], []
-
-    def flush():
-        nonlocal index_place
-        block = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
-        index.write(block)
-        blocks.append({"warc": f"{folder}/{name}.warc.gz", "index": f"{folder}/{name}.cdx", "at": index_place, "size": len(block), "lines": len(lines), "first_key": lines[0][0], "last_key": lines[-1][0]})
-        index_place += len(block)
-        lines.clear()
-
+def _write_records(batches, folder: str):
+    """Write the task's records; yields an index line for each."""
+    path, warc, place = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
     for b in batches:
+        lines = []
         for row in b.to_pylist():
-            if warc is None:
-                warc, index = create(f"{folder}/{name}.warc.gz"), create(f"{folder}/{name}.cdx")
+            warc = warc or create(path)
             digest = base64.b32encode(bytes.fromhex(row["sha1"])).decode()
             data = _member(record(row["page_id"], row["url"], row["payload"], row["refers_to"], row["n"], digest))
             warc.write(data)
-            lines.append([row["key"], row["page_id"], place, len(data)])
+            lines.append({"key": row["key"], "page_id": row["page_id"], "warc": path, "at": place, "size": len(data)})
             place += len(data)
-            if len(lines) == BLOCK_LINES:
-                flush()
-                if len(blocks) == 1_000:
-                    yield pa.RecordBatch.from_pylist(blocks, DIRECTORY)
-                    blocks.clear()
+        yield pa.RecordBatch.from_pylist(lines, LINES)
     if warc is not None:
-        if lines:
-            flush()
         warc.close()
+
+
+def _write_index(batches, folder: str):
+    """Write the partition's sorted lines in compressed blocks; yields a directory row for each."""
+    path, index, place, lines = f"{folder}/{uuid.uuid4().hex}.cdx", None, 0, []
+
+    def block() -> pa.RecordBatch:
+        nonlocal index, place
+        index = index or create(path)
+        data = zlib.compress("\n".join(json.dumps(x) for x in lines).encode())
+        index.write(data)
+        row = {"index": path, "at": place, "size": len(data), "lines": len(lines), "first_key": lines[0][0], "last_key": lines[-1][0]}
+        place += len(data)
+        lines.clear()
+        return pa.RecordBatch.from_pylist([row], DIRECTORY)
+
+    for b in batches:
+        for row in b.to_pylist():
+            lines.append([row["key"], row["page_id"], row["warc"], row["at"], row["size"]])
+            if len(lines) == BLOCK_LINES:
+                yield block()
+    if lines:
+        yield block()
+    if index is not None:
         index.close()
-        if blocks:
-            yield pa.RecordBatch.from_pylist(blocks, DIRECTORY)
 
 
 def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVISIT) -> DataFrame:
@@ -140,9 +150,11 @@ def write_archive(pages: DataFrame, folder: str, least_revisit: int = LEAST_REVI
     groups = groups.filter("copies > 1 and response is not null").drop("copies")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     roles = base.join(groups, ["sha1", "n", "check"], "left").select("page_id", "url", "key", "sha1", "n", F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, F.col("response")).alias("refers_to"))
-    archives = (base.agg(F.sum("n")).first()[0] or 0) // ARCHIVE_BYTES + 1
-    ordered = roles.repartitionByRange(max(archives, pages.sparkSession.sparkContext.defaultParallelism), "key", "page_id").sortWithinPartitions("key", "page_id")
-    return written(ordered.mapInArrow(lambda it: _write(it, folder), "warc string, index string, at long, size long, lines long, first_key string, last_key string"), "warc-directory")
+    # the lines are written before they are sorted, so the archives that they name are written once
+    lines = written(roles.mapInArrow(lambda it: _write_records(it, folder), "key string, page_id long, warc string, at long, size long"), "warc-lines")
+    parts = lines.count() // PART_LINES + 1
+    ordered = lines.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    return written(ordered.mapInArrow(lambda it: _write_index(it, folder), "index string, at long, size long, lines long, first_key string, last_key string"), "warc-directory")
 
 
 def _lines(block: dict, index) -> list[list]:
@@ -157,16 +169,31 @@ def read_archive(directory: DataFrame) -> DataFrame:
     """All records, by way of the index: ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload)``."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
-    def run(batches):
+    def lines(batches):
         for b in batches:
             for block in b.to_pylist():
-                with open_file(block["index"]) as index, open_file(block["warc"]) as warc:
-                    records = [_record_at(warc, at, n) for _, _, at, n in _lines(block, index)]
-                yield pa.RecordBatch.from_pylist(records, schema)
+                with open_file(block["index"]) as index:
+                    found = [dict(zip(LINES.names, x, strict=True)) for x in _lines(block, index)]
+                yield pa.RecordBatch.from_pylist(found, LINES)
 
-    blocks = max(1, directory.count())
-    dealt = directory.repartition(min(blocks, 4 * directory.sparkSession.sparkContext.defaultParallelism + blocks // 64))
-    return dealt.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    def records(batches):
+        path, warc = None, None
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                out = []
+                for row in b.slice(i, 256).to_pylist():
+                    if row["warc"] != path:
+                        if warc is not None:
+                            warc.close()
+                        path, warc = row["warc"], open_file(row["warc"])
+                    out.append(_record_at(warc, row["at"], row["size"]))
+                yield pa.RecordBatch.from_pylist(out, schema)
+        if warc is not None:
+            warc.close()
+
+    listed = directory.mapInArrow(lines, "key string, page_id long, warc string, at long, size long")
+    dealt = listed.repartitionByRange("warc", "at").sortWithinPartitions("warc", "at")
+    return dealt.mapInArrow(records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def lookup(directory: DataFrame, url: str) -> list[dict]:
@@ -175,12 +202,13 @@ def lookup(directory: DataFrame, url: str) -> list[dict]:
     key = spark.createDataFrame([(url,)], "url string").select(surt(F.col("url"))).first()[0]
     found = []
     for block in directory.filter((F.col("first_key") <= key) & (F.col("last_key") >= key)).collect():
-        with open_file(block["index"]) as index, open_file(block["warc"]) as warc:
+        with open_file(block["index"]) as index:
             lines = _lines(block.asDict(), index)
-            i = bisect_left(lines, key, key=lambda x: x[0])
-            while i < len(lines) and lines[i][0] == key:
-                found.append(_record_at(warc, *lines[i][2:]))
-                i += 1
+        i = bisect_left(lines, key, key=lambda x: x[0])
+        while i < len(lines) and lines[i][0] == key:
+            with open_file(lines[i][2]) as warc:
+                found.append(_record_at(warc, *lines[i][3:]))
+            i += 1
     return found
 
 
