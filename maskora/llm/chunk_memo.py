@@ -16,18 +16,22 @@ _CUT = re.compile(r" (?=\S)")
 class ChunkMemo:
     """``encode_many`` maps a list of strings to the bytes of their ids.
 
-    At ``limit`` chunks the memo starts anew, so a worker's memory is bounded; results do not depend on it.
+    At ``limit`` chunks the memo forgets those that have come in one piece of text only (and all, if those that
+    came again fill half of it), so a worker's memory is bounded; results do not depend on it.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 700_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 800_000):
         self._encode_many, self._limit = encode_many, limit
         self._inner: dict[str, bytes] = {}
+        self._again: set[str] = set()
 
     def _learn(self, chunks: set[str]) -> None:
         missing = chunks.difference(self._inner)
+        self._again |= chunks.difference(missing)
         if len(self._inner) + len(missing) > self._limit:
-            self._inner.clear()
-            missing = chunks
+            self._inner = {x: self._inner[x] for x in self._again} if 2 * len(self._again) < self._limit else {}
+            self._again = set()
+            missing = chunks.difference(self._inner)
         usable = [x for x in missing if x and not x[0].isspace()]
         self._inner.update(zip(usable, self._encode_many([" " + x for x in usable]), strict=True))
 

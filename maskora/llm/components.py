@@ -19,9 +19,17 @@ def _star(links: DataFrame, both_ways: bool) -> DataFrame:
     hung = seen.join(least, "u")
     if both_ways:
         moved = hung.filter("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
-    else:
-        moved = hung.filter("v != least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
-    return moved.filter("u != v").distinct()
+    else:  # the node's own link to the least comes with the link that had it
+        own = F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v"))
+        moved = hung.select(own.alias("u"), F.col("least").alias("v"))
+    return moved.filter("u != v")
+
+
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each node hangs on one other at most, and nothing hangs on a node that hangs."""
+    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(links.select(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs + holds > 1 and hangs > 0").isEmpty()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -29,14 +37,10 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Repeated links, both directions and links of an id to itself are allowed; an empty table gives none.
     """
-    own = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = written(own.filter("u != v").distinct(), "links")
-    mark = None
-    while True:
-        print_of = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(print_of) == mark:
-            break
-        mark = tuple(print_of)
-        now = written(_star(_star(now, True), False), "links")
+    now = links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    now = written(now, "links")
+    while not _are_stars(now):
+        now = written(_star(_star(now, True), False).distinct(), "links")
     roots = now.select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots).distinct()
+    alone = links.filter("a = b").select(F.col("a").alias("id"), F.col("a").alias("component")).join(now.select(F.col("u").alias("id")), "id", "left_anti")
+    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.unionByName(alone).distinct())

@@ -41,7 +41,8 @@ from .words import pieces
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK_BYTES = 64 << 10
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 32 << 20
+_MARKS = (",", ".", "!")
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"MSKSST01"
 #: index place, index size, filter place, filter size, rows, tokens, blocks, bytes of an id
@@ -189,6 +190,8 @@ class Encoder:
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = True
         self._model = self._tokenizer.model
+        if hasattr(self._model, "_resize_cache"):  # the memo and the matches below are the cache
+            self._model._resize_cache(0)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._matches: dict[str, bytes] = {}
@@ -197,6 +200,15 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{"H" if self.width == 2 else "I"}", *ids)
 
+    def _matches_of(self, text: str) -> list[str]:
+        """The pattern's matches; a word, alone or with one mark after it, needs no pattern."""
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return [text]
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self._split(text)
+
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
         known, whole = self._matches, []
@@ -207,7 +219,7 @@ class Encoder:
                 whole.append(i)
                 continue
             ids = []
-            for m in self._split(t):
+            for m in self._matches_of(t) if t else ():
                 x = known.get(m)
                 if x is None:
                     x = self._bytes([token.id for token in self._model.tokenize(mapped(m.encode()))])

@@ -7,9 +7,11 @@ or window expresses it: ``applyInPandas`` by ``doc_id``. A document is one page;
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 #: Which box's label and type stay when two are one.
@@ -111,13 +113,17 @@ def merge_fragments_page(rows: list[dict]) -> list[dict]:
 
 
 def _by_page(df: DataFrame, page) -> DataFrame:
+    """``page`` on each document's rows. Pages are small and many, so a batch of them crosses to Python at once."""
     columns = df.columns
+    pages_ = df.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("rows")).select("rows")
+    kind = f"array<{df.schema.simpleString()}>"
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.astype(object).where(rows.notna(), None).to_dict("records")
-        return pd.DataFrame(page(records), columns=columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([page(rows) for rows in b["rows"].to_pylist()], b.schema.field("rows").type)
+            yield pa.RecordBatch.from_arrays([made], ["rows"])
 
-    return df.groupBy("doc_id").applyInPandas(run, df.schema)
+    return pages_.mapInArrow(run, f"rows {kind}").select(F.explode("rows").alias("r")).select("r.*")
 
 
 def dedupe_boxes(boxes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,9 @@ LEAST_SIDE = 5
 STATE_DDL = "doc_id long, seq long, boxes string, shapes string, selected string, anchor string, depth int, can_undo boolean, can_redo boolean"
 
 
+STATE = pa.schema([("doc_id", pa.int64()), ("seq", pa.int64()), *((k, pa.string()) for k in ("boxes", "shapes", "selected", "anchor")), ("depth", pa.int32()), ("can_undo", pa.bool_()), ("can_redo", pa.bool_())])
+
+
 class Page:
     """The state of one document."""
 
@@ -111,12 +115,19 @@ def _run(page: Page, events: pd.DataFrame) -> None:
 def replay(edits: DataFrame) -> DataFrame:
     """The state of each document after all its events."""
 
-    def run(events: pd.DataFrame) -> pd.DataFrame:
-        page = Page()
-        _run(page, events)
-        return pd.DataFrame([page.row(int(events["doc_id"].iloc[0]), int(events["seq"].max()))])
+    logs = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "payload"))).alias("log"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, log in zip(b["doc_id"].to_pylist(), b["log"].to_pylist(), strict=True):
+                page = Page()
+                for e in log:
+                    page.apply(e["op"], json.loads(e["payload"]) if e["payload"] else {})
+                out.append(page.row(doc_id, log[-1]["seq"]))
+            yield pa.RecordBatch.from_pylist(out, STATE)
 
-    return edits.groupBy("doc_id").applyInPandas(run, STATE_DDL)
+    return logs.mapInArrow(run, STATE_DDL)
 
 
 def follow(edits: DataFrame) -> DataFrame:
