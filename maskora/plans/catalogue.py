@@ -15,6 +15,7 @@ from maskora.operators import names as N
 from maskora.operators import pixels as X
 from maskora.operators import propagate as P
 from maskora.operators import redact as R
+from maskora.operators import selection as C
 from maskora.operators import spans as S
 from maskora.sources import pages
 from maskora.sources.tables import JP_LINE, doc_lines, jp_lines, split_lines, table
@@ -202,7 +203,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     q["redacted_text"] = (lambda s, d: R.redacted_text(ocr_lines(s, d), page_boxes(s, d)), None)
     q["redaction_stats"] = (lambda s, d: R.redaction_stats(ocr_lines(s, d), page_boxes(s, d)), None)
     q["edit_replay"] = (lambda s, d: E.replay(edit_events(s, d)), None)
-    q["stall_sessions"] = (lambda s, d: E.stalled_jobs(table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", (F.pmod(F.col("event_id") * 7, F.lit(101)) / 100).alias("progress"))).select("job_id", "stalled", "over_cap"), None)
+    q["stall_sessions"] = (lambda s, d: E.stalled_jobs(table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", (F.pmod(F.col("event_id") * 7, F.lit(101)) / 100).alias("progress"))).select("job_id", "stalled", "over_cap"), _STALL_SQL)
     q["work_scale"] = (
         lambda s, d: table(s, d, "part").select("p_partkey", F.round(L.work_scale(F.lit(400.0) + F.col("p_size") * 50, F.lit(300.0) + F.col("p_size") * 40, F.col("p_size") + 4.0, F.lit(False)), 9).alias("scale")),
         "SELECT p_partkey, round(least(greatest(0.55e0, least(3.2e0, 36e0 / (p_size + 4e0))), 2200e0 / greatest(400e0 + p_size * 50, 300e0 + p_size * 40), sqrt(3000000e0 / ((400e0 + p_size * 50) * (300e0 + p_size * 40)))), 9) AS scale FROM part",
@@ -211,12 +212,68 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         lambda s, d: pages.cache_stats(table(s, d, "nation").select(F.concat(F.lit("m/"), F.element_at(F.array(*map(F.lit, ("jpn", "eng", "deu", "x"))), F.col("n_nationkey") % 4 + 1), F.when(F.col("n_nationkey") % 4 == 3, ".bin").otherwise(".traineddata")).alias("key"), F.col("n_name").cast("binary").alias("value"))).withColumn("languages", F.array_join("languages", ",")),
         "SELECT count(*) AS items, CAST(sum(strlen(n_name)) AS bigint) AS total_bytes, 'deu,eng,jpn' AS languages, true AS is_cached FROM nation WHERE n_nationkey % 4 != 3",
     )
+    chosen = F.col("x") < 200
+    page = F.lit(90.0)
+    q["bulk_toggle"] = (
+        lambda s, d: C.toggle_protection(page_boxes(s, d), chosen).select("doc_id", "seq", "enabled"),
+        f"SELECT doc_id, seq, CASE WHEN x < 200 THEN NOT bool_or(x < 200 AND enabled) OVER (PARTITION BY doc_id) ELSE enabled END AS enabled FROM ({BOX_SQL})",
+    )
+    q["bulk_relabel"] = (
+        lambda s, d: C.relabel(page_boxes(s, d), chosen, "電話番号").select("doc_id", "seq", "label", "reason"),
+        f"SELECT doc_id, seq, CASE WHEN change THEN '電話番号' ELSE label END AS label, CASE WHEN change THEN 'ユーザー指定 (電話番号)' END AS reason FROM (SELECT *, x < 200 AND label != '電話番号' AND (SELECT count(DISTINCT label) FROM ({BOX_SQL}) i WHERE i.doc_id = o.doc_id AND i.x < 200) = 1 AS change FROM ({BOX_SQL}) o)",
+    )
+    q["more_with_label"] = (
+        lambda s, d: C.more_with_label(page_boxes(s, d), chosen),
+        f"WITH b AS ({BOX_SQL}), one AS (SELECT doc_id, min(label) AS label FROM b WHERE x < 200 GROUP BY doc_id HAVING count(DISTINCT label) = 1) SELECT one.doc_id, one.label, count(b.seq) AS more FROM one LEFT JOIN b ON b.doc_id = one.doc_id AND b.label = one.label AND b.x >= 200 GROUP BY 1, 2",
+    )
+    q["step_thickness"] = (
+        lambda s, d: C.step_thickness(page_boxes(s, d), chosen, 1, page).select("doc_id", "seq", "y", "h"),
+        f"SELECT doc_id, seq, CASE WHEN x < 200 THEN greatest(0e0, least(90e0 - 20, y - 1)) ELSE y END AS y, CASE WHEN x < 200 THEN 20e0 ELSE h END AS h FROM ({BOX_SQL})",
+    )
+    q["step_down"] = (
+        lambda s, d: C.step_down(page_boxes(s, d), chosen, 1, page).select("doc_id", "seq", "y", "h"),
+        f"SELECT doc_id, seq, CASE WHEN x < 200 AND y != 72 THEN least(72e0, y + 2) ELSE y END AS y, h FROM ({BOX_SQL})",
+    )
+    q["preview_pages"] = (lambda s, d: C.previews(ocr_lines(s, d), page_boxes(s, d)), f"SELECT DISTINCT doc_id FROM ({BOX_SQL}) WHERE enabled")
+    q["document_quads"] = (
+        lambda s, d: table(s, d, "part").select("p_partkey", F.expr(QUAD).alias("quad")).select("p_partkey", C.is_document_quad(F.col("quad"), F.lit(400.0), F.lit(300.0)).alias("valid"), C.needs_warp(F.col("quad"), F.lit(400.0), F.lit(300.0), F.col("p_partkey") % 2 == 0).alias("warp")),
+        _QUAD_SQL,
+    )
     for name, kernel in (("gaussian", X.gaussian), ("clahe", X.clahe), ("bradley", X.bradley)):
         q[name] = (lambda s, d, k=kernel: X.each_plane(_planes(s, d), k).select("doc_id", "width", "height", F.md5("pixels").alias("digest"))), None
     q["deskew"] = (lambda s, d: X.skew_angles(_planes(s, d)), None)
     return q
 
 
+#: Corners of a page in a photograph of 400 x 300, for each part.
+QUAD = """named_struct('tl', named_struct('x', CAST(p_partkey % 97 AS double), 'y', CAST(p_partkey % 41 AS double)), 'tr', named_struct('x', 400e0 - p_partkey % 89, 'y', CAST(p_partkey % 53 AS double)),
+'br', named_struct('x', 400e0 - p_partkey % 13 * 20, 'y', 300e0 - p_partkey % 7 * 30), 'bl', named_struct('x', CAST(p_partkey % 11 AS double), 'y', 300e0 - p_partkey % 5 * 40))"""
+_QUAD_SQL = """
+WITH c AS (SELECT p_partkey, CAST(p_partkey % 97 AS double) AS ax, CAST(p_partkey % 41 AS double) AS ay, 400e0 - p_partkey % 89 AS bx, CAST(p_partkey % 53 AS double) AS "by", 400e0 - p_partkey % 13 * 20 AS cx, 300e0 - p_partkey % 7 * 30 AS cy, CAST(p_partkey % 11 AS double) AS dx, 300e0 - p_partkey % 5 * 40 AS dy FROM part),
+s AS (SELECT *, sqrt((ax - bx) ** 2 + (ay - "by") ** 2) AS t, sqrt((bx - cx) ** 2 + ("by" - cy) ** 2) AS r, sqrt((cx - dx) ** 2 + (cy - dy) ** 2) AS b, sqrt((dx - ax) ** 2 + (dy - ay) ** 2) AS l,
+ abs(ax * "by" - bx * ay + bx * cy - cx * "by" + cx * dy - dx * cy + dx * ay - ax * dy) / 2 AS area FROM c),
+v AS (SELECT *, area BETWEEN 14400 AND 119400 AND least(t, r, b, l) >= 24 AND greatest(t, b) / greatest(1, l, r) BETWEEN 0.22 AND 4.5
+ AND list_min([((dx - ax) * (bx - ax) + (dy - ay) * ("by" - ay)) / (l * t), ((ax - bx) * (cx - bx) + (ay - "by") * (cy - "by")) / (t * r), ((bx - cx) * (dx - cx) + ("by" - cy) * (dy - cy)) / (r * b), ((cx - dx) * (ax - dx) + (cy - dy) * (ay - dy)) / (b * l)]) >= cos(radians(128))
+ AND list_max([((dx - ax) * (bx - ax) + (dy - ay) * ("by" - ay)) / (l * t), ((ax - bx) * (cx - bx) + (ay - "by") * (cy - "by")) / (t * r), ((bx - cx) * (dx - cx) + ("by" - cy) * (dy - cy)) / (r * b), ((cx - dx) * (ax - dx) + (cy - dy) * (ay - dy)) / (b * l)]) <= cos(radians(52)) AS valid FROM s)
+SELECT p_partkey, valid, valid AND (abs(t - b) / greatest(t, b, 1) > 0.02 OR abs(l - r) / greatest(l, r, 1) > 0.02 OR abs(ay - "by") > 3 OR abs(ax - dx) > 4 OR abs(dy - cy) > 3
+ OR (p_partkey % 2 != 0 AND (least(ax, dx) > 14 OR least(ay, "by") > 10.5 OR 400 - greatest(bx, cx) > 14 OR 300 - greatest(dy, cy) > 10.5))) AS warp FROM v
+"""
+
+_STALL_SQL = """
+WITH p AS (SELECT CAST(user_id AS varchar) AS job_id, CAST(ts AS timestamp) AS ts, event_id * 7 % 101 / 100 AS progress FROM events),
+b AS (SELECT *, max(progress) OVER (PARTITION BY job_id ORDER BY ts, progress ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM p WHERE progress BETWEEN 0 AND 1),
+m AS (SELECT job_id, max(gap) AS gap, max(ts) AS moved FROM (SELECT job_id, ts, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY job_id ORDER BY ts, progress)) AS gap FROM b WHERE best IS NULL OR progress > best) GROUP BY job_id),
+e AS (SELECT job_id, min(ts) AS start, max(ts) AS stop FROM p GROUP BY job_id)
+SELECT e.job_id, greatest(coalesce(gap, 0), epoch_us(stop) - epoch_us(coalesce(moved, start))) >= 45000000 AS stalled, epoch_us(stop) - epoch_us(start) >= 60000000 AS over_cap FROM e LEFT JOIN m ON m.job_id = e.job_id
+"""
+
+_FLAGSHIP_SQL = f"""
+WITH l AS ({DOC_LINES}), s AS ({_spans_sql(DOC_LINES, [(r.pattern, 0, r.category, "true" if r.category == "email" else f"NOT regexp_matches(whole, '^[0-9]') OR {_LUHN}") for r in S.FREE if r.category in ("email", "credit_card")])}),
+c AS (SELECT doc_id, count(*) AS spans, sum(CASE category WHEN 'email' THEN 9 ELSE 7 END - length(text)) AS change FROM s GROUP BY doc_id)
+SELECT lang, CAST(sum(chars) AS bigint) AS chars, CAST(sum(coalesce(spans, 0)) AS bigint) AS spans, CAST(sum(chars + coalesce(change, 0)) AS bigint) AS redacted_chars
+FROM (SELECT doc_id, sum(length(line)) AS chars FROM l GROUP BY doc_id) t JOIN documents USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY lang
+"""
+
 _LABEL_SQL = f"""
 WITH o AS ({OCR_SQL}), k AS (SELECT *, CASE WHEN text = '氏名:' THEN 'person' WHEN text = 'TEL' THEN 'phone' WHEN text = '住所' THEN 'address' WHEN text = 'Email' THEN 'email' END AS category,
  CASE WHEN text = '氏名:' THEN '人名' WHEN text = 'TEL' THEN '電話番号' WHEN text = '住所' THEN '住所' WHEN text = 'Email' THEN 'メールアドレス' END AS label FROM o),
@@ -257,4 +314,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _registered().items() if sql}
+    return {"flagship": _FLAGSHIP_SQL} | {name: sql for name, (_, sql) in _registered().items() if sql}

@@ -148,7 +148,8 @@ def stalled_jobs(progress: DataFrame, stall_s: int = 45, cap_s: int = 60) -> Dat
 
     Only a strictly larger finite progress of at most one counts as movement.
     """
-    order = Window.partitionBy("job_id").orderBy("ts")
+    progress = progress.withColumn("ts", F.col("ts").cast("timestamp"))
+    order = Window.partitionBy("job_id").orderBy("ts", "progress")
     best = F.max("progress").over(order.rowsBetween(Window.unboundedPreceding, -1))
     valid = F.col("progress").isNotNull() & ~F.isnan("progress") & F.col("progress").between(0, 1)
     moves = progress.filter(valid).withColumn("best", best).filter(F.col("best").isNull() | (F.col("progress") > F.col("best")))
