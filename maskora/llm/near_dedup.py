@@ -13,6 +13,11 @@ others to go on (a partner of similarity 0.8 shares fewer with probability 6e-5)
 minwise values discard pairs that look less alike than 0.65, 4.1 standard deviations below 0.8. What is left is
 confirmed on full sets, so no false link is made.
 
+Pivots. The first pivot of a node is its most typical document, the one whose minwise tokens are the commonest in
+the corpus. Copies differ from each other twice as much as from what they were copied from, so a group is linked
+through its original (or the copy nearest to it) in one comparison each, where a copy taken at random would leave
+most of it to be compared pair by pair.
+
 Large groups. Only components are asked for, so pairs whose ends are already in one component are not looked
 at. A document of a larger node leaves it if it is in the component of a pivot and so like the pivot that, by
 the triangle inequality of Jaccard distance, no document of another component in the node can be linked to it;
@@ -167,12 +172,19 @@ class _Join:
         words = self.words
         sets = texts.mapInArrow(lambda it: _full_sets(it, words), "rep long, members binary")
         self.sets = written(sets.dropDuplicates(["rep"]), "sets")
-        return shared.join(active, "rep", "left_semi")
+        return shared.join(written(self.typicality(active), "typical"), "rep")
+
+    def typicality(self, active: DataFrame) -> DataFrame:
+        """``(rep, typical)``: the logarithms of how many active classes have each of its tokens, summed."""
+        tokens = self.reps.join(active, "rep", "left_semi").select("rep", F.posexplode("coords").alias("pick", "token"))
+        common = tokens.groupBy("pick", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        return tokens.join(common, ["pick", "token"]).groupBy("rep").agg(F.sum(F.log2("n").cast("float")).cast("float").alias("typical"))
 
     def with_pivots(self, nodes: DataFrame) -> DataFrame:
         """Members of nodes of two or more, with the node's size and its pivots: one, or PIVOTS in a larger node."""
         # chosen by the document alone, so a group has the same pivots in most of its nodes
-        picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "sketch")).alias(f"p{k}") for k in range(PIVOTS)]
+        first = F.struct((-F.col("typical")).alias("h"), "rep", "sketch")
+        picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "sketch") if k else first).alias(f"p{k}") for k in range(PIVOTS)]
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *picks).filter("n > 1")
         rows = nodes.join(sizes, "node")
         large = F.col("n") > LEAF
@@ -182,7 +194,7 @@ class _Join:
             rows = rows.withColumn(f"near{k}", near & large if k else near)
         pivots = F.array(*(F.struct(F.col(f"p{k}.rep").alias("pivot"), F.col(f"near{k}").alias("near")) for k in range(PIVOTS)))
         rows = rows.withColumn("pivots", F.when(large, pivots).otherwise(F.slice(pivots, 1, 1)))
-        return rows.select("node", "tree", "rep", "sketch", "n", "pivots")
+        return rows.select("node", "tree", "rep", "sketch", "typical", "n", "pivots")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """``(a, b, common, total)`` of the full sets, for distinct pairs with a < b."""
@@ -223,14 +235,14 @@ class _Join:
         others = F.max(F.when(F.col("other"), F.coalesce("like", F.lit(UNSEEN))))
         nearest = rows.groupBy("node", "pivot").agg(F.greatest(others, F.lit(UNSEEN)).alias("nearest"), F.max("other").alias("open"))
         leave = rows.filter("not other").join(nearest, ["node", "pivot"]).filter(f"not open or like > nearest + {1 - self.percent / 100}").select("node", "rep").distinct()
-        kept = large.join(leave, ["node", "rep"], "left_anti").select("node", "tree", "rep", "sketch")
+        kept = large.join(leave, ["node", "rep"], "left_anti").select("node", "tree", "rep", "sketch", "typical")
         depths = (COORDINATES - _FIRST) // DEEPER // TREES
         if depth > depths * TREES:  # each coordinate has been chosen on the path
             return kept
         turn = (depth - 1) // depths
         at = _FIRST + (((depth - 1) % depths) * TREES + F.pmod(F.col("tree") + turn, F.lit(TREES))) * DEEPER
-        picks = kept.join(self.reps.select("rep", "coords"), "rep").select("node", "tree", "rep", "sketch", F.posexplode(F.slice("coords", at.cast("int") + 1, F.lit(DEEPER))).alias("pick", "token"))
-        return picks.select(self._node("node", "pick", "token").alias("node"), "tree", "rep", "sketch")
+        picks = kept.join(self.reps.select("rep", "coords"), "rep").select("node", "tree", "rep", "sketch", "typical", F.posexplode(F.slice("coords", at.cast("int") + 1, F.lit(DEEPER))).alias("pick", "token"))
+        return picks.select(self._node("node", "pick", "token").alias("node"), "tree", "rep", "sketch", "typical")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
