@@ -6,28 +6,31 @@ so an edit costs one exchange by page at most.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from maskora.functions import text as T
 from maskora.operators.layout import round_half_up
 
-_PAGE = Window.partitionBy("doc_id")
 #: One step is this share of a box's height; label sizes go from 0.4 to 1.6 in tenths.
 STEP, SMALLEST, LABEL_LOW, LABEL_HIGH, LABEL_STEP = 0.12, 4, 0.4, 1.6, 0.1
 
 
+def _page() -> WindowSpec:
+    return Window.partitionBy("doc_id")
+
+
 def toggle_protection(boxes: DataFrame, chosen: Column) -> DataFrame:
     """If any chosen box of a page is enabled, all chosen ones are disabled; else all are enabled."""
     rows = boxes.withColumn("_chosen", F.coalesce(chosen, F.lit(False)))
-    rows = rows.withColumn("_on", F.bool_or(F.col("_chosen") & F.col("enabled")).over(_PAGE))
+    rows = rows.withColumn("_on", F.bool_or(F.col("_chosen") & F.col("enabled")).over(_page()))
     return rows.withColumn("enabled", F.when(F.col("_chosen"), ~F.coalesce("_on", F.lit(False))).otherwise(F.col("enabled"))).drop("_chosen", "_on")
 
 
 def relabel(boxes: DataFrame, chosen: Column, label: str, touched: bool = False) -> DataFrame:
     """Chosen boxes get a label and its reason. Mixed labels stay unless the field was touched; equal ones are no change."""
     old = F.when(F.coalesce(chosen, F.lit(False)), F.coalesce("label", F.lit("")))
-    rows = boxes.withColumn("_old", old).withColumns({"_low": F.min("_old").over(_PAGE), "_high": F.max("_old").over(_PAGE)})
+    rows = boxes.withColumn("_old", old).withColumns({"_low": F.min("_old").over(_page()), "_high": F.max("_old").over(_page())})
     change = F.coalesce((F.lit(touched) | (F.col("_low") == F.col("_high"))) & (F.col("_old") != label), F.lit(False))
     reason = F.col("reason") if "reason" in boxes.columns else F.lit(None).cast("string")
     rows = rows.withColumns({"label": F.when(change, label).otherwise(F.col("label")), "reason": F.when(change, f"ユーザー指定 ({label or '文字なし'})").otherwise(reason)})
@@ -72,7 +75,7 @@ def step_label_scale(boxes: DataFrame, chosen: Column, direction: int) -> DataFr
 
 def without_rotation(boxes: DataFrame) -> DataFrame:
     """All rotations cleared on the pages where any is larger than a tenth of a degree."""
-    turned = F.max(F.abs(F.coalesce("rotation", F.lit(0.0)))).over(_PAGE) > 0.1
+    turned = F.max(F.abs(F.coalesce("rotation", F.lit(0.0)))).over(_page()) > 0.1
     return boxes.withColumn("rotation", F.when(turned, F.lit(None).cast("double")).otherwise(F.col("rotation")))
 
 

@@ -212,26 +212,24 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         lambda s, d: pages.cache_stats(table(s, d, "nation").select(F.concat(F.lit("m/"), F.element_at(F.array(*map(F.lit, ("jpn", "eng", "deu", "x"))), F.col("n_nationkey") % 4 + 1), F.when(F.col("n_nationkey") % 4 == 3, ".bin").otherwise(".traineddata")).alias("key"), F.col("n_name").cast("binary").alias("value"))).withColumn("languages", F.array_join("languages", ",")),
         "SELECT count(*) AS items, CAST(sum(strlen(n_name)) AS bigint) AS total_bytes, 'deu,eng,jpn' AS languages, true AS is_cached FROM nation WHERE n_nationkey % 4 != 3",
     )
-    chosen = F.col("x") < 200
-    page = F.lit(90.0)
     q["bulk_toggle"] = (
-        lambda s, d: C.toggle_protection(page_boxes(s, d), chosen).select("doc_id", "seq", "enabled"),
+        lambda s, d: C.toggle_protection(page_boxes(s, d), F.col("x") < 200).select("doc_id", "seq", "enabled"),
         f"SELECT doc_id, seq, CASE WHEN x < 200 THEN NOT bool_or(x < 200 AND enabled) OVER (PARTITION BY doc_id) ELSE enabled END AS enabled FROM ({BOX_SQL})",
     )
     q["bulk_relabel"] = (
-        lambda s, d: C.relabel(page_boxes(s, d), chosen, "電話番号").select("doc_id", "seq", "label", "reason"),
+        lambda s, d: C.relabel(page_boxes(s, d), F.col("x") < 200, "電話番号").select("doc_id", "seq", "label", "reason"),
         f"SELECT doc_id, seq, CASE WHEN change THEN '電話番号' ELSE label END AS label, CASE WHEN change THEN 'ユーザー指定 (電話番号)' END AS reason FROM (SELECT *, x < 200 AND label != '電話番号' AND (SELECT count(DISTINCT label) FROM ({BOX_SQL}) i WHERE i.doc_id = o.doc_id AND i.x < 200) = 1 AS change FROM ({BOX_SQL}) o)",
     )
     q["more_with_label"] = (
-        lambda s, d: C.more_with_label(page_boxes(s, d), chosen),
+        lambda s, d: C.more_with_label(page_boxes(s, d), F.col("x") < 200),
         f"WITH b AS ({BOX_SQL}), one AS (SELECT doc_id, min(label) AS label FROM b WHERE x < 200 GROUP BY doc_id HAVING count(DISTINCT label) = 1) SELECT one.doc_id, one.label, count(b.seq) AS more FROM one LEFT JOIN b ON b.doc_id = one.doc_id AND b.label = one.label AND b.x >= 200 GROUP BY 1, 2",
     )
     q["step_thickness"] = (
-        lambda s, d: C.step_thickness(page_boxes(s, d), chosen, 1, page).select("doc_id", "seq", "y", "h"),
+        lambda s, d: C.step_thickness(page_boxes(s, d), F.col("x") < 200, 1, F.lit(90.0)).select("doc_id", "seq", "y", "h"),
         f"SELECT doc_id, seq, CASE WHEN x < 200 THEN greatest(0e0, least(90e0 - 20, y - 1)) ELSE y END AS y, CASE WHEN x < 200 THEN 20e0 ELSE h END AS h FROM ({BOX_SQL})",
     )
     q["step_down"] = (
-        lambda s, d: C.step_down(page_boxes(s, d), chosen, 1, page).select("doc_id", "seq", "y", "h"),
+        lambda s, d: C.step_down(page_boxes(s, d), F.col("x") < 200, 1, F.lit(90.0)).select("doc_id", "seq", "y", "h"),
         f"SELECT doc_id, seq, CASE WHEN x < 200 AND y != 72 THEN least(72e0, y + 2) ELSE y END AS y, h FROM ({BOX_SQL})",
     )
     q["preview_pages"] = (lambda s, d: C.previews(ocr_lines(s, d), page_boxes(s, d)), f"SELECT DISTINCT doc_id FROM ({BOX_SQL}) WHERE enabled")
