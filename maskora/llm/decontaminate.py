@@ -6,9 +6,11 @@ words when a window of n of its words (or the whole document, if shorter) is wit
 The CGK random walk copies a window into a longer string, stepping on by a random bit that depends on the step
 and the current symbol; windows at a small edit distance get strings at a small Hamming distance. A repetition
 draws new bits and samples PICKS steps of the walk; a window is compared with an item when all samples agree in
-one of REPEATS repetitions. At the largest allowed distance a repetition agrees with a probability of about
-0.2, so all miss with 0.8^REPEATS; nearer windows, of which a contaminated document has several, do better. Every
-candidate is then verified exactly, by the bit-parallel edit distance.
+one of the repetitions. Each edit can throw the walks out of step, so at the largest allowed distance the chance that
+a repetition agrees falls with the item's length n: it was measured at 0.26 for 30 words, 0.17 for 60, 0.08 for 200,
+0.043 for 400, 0.027 for 800 and 0.015 for 1600, always above AGREE[0] * n^-AGREE[1]. ``repeats`` takes so many
+repetitions that all miss with MISS at most. Every candidate is then verified exactly, by the bit-parallel edit
+distance.
 
 Windows that cannot be within the distance are not embedded: k edits spoil at most k * q of the item's
 n - q + 1 q-grams, so a window with fewer of the rest is out. This loses nothing.
@@ -29,15 +31,22 @@ from pyspark.sql import functions as F
 from .words import U64, all_word_hashes, mix64, odd_constants, word_hashes
 
 EDITS = 0.2
+#: Fewest repetitions, and samples in each.
 REPEATS, PICKS = 32, 2
+MISS = 0.001
+AGREE = 4.0, 0.8
 SLICE_BYTES = 8 << 20
-_WALK = odd_constants(501, REPEATS)
 _STEP = odd_constants(502, 1)[0]
 _SIGN = odd_constants(503, 2)
 _GRAM = odd_constants(504, 3)
-_MOST = 4096  # windows that are embedded at a time
-#: Where in the walk the samples lie, as a share of its length; the walk has used up n words after about 2 n steps.
-_AT = (mix64(np.arange(1, REPEATS * PICKS + 1, dtype=U64)) / 2.0**64).reshape(REPEATS, PICKS)
+_MOST = 4096 * REPEATS  # walks that are made at a time
+
+
+def repeats(sizes: np.ndarray) -> np.ndarray:
+    """Repetitions for items of so many words, in steps of half of REPEATS."""
+    agree = np.minimum(0.2, AGREE[0] * np.maximum(sizes, 1) ** -AGREE[1])
+    half = REPEATS // 2
+    return np.maximum(REPEATS, np.ceil(np.log(MISS) / np.log1p(-agree) / half).astype(np.int64) * half)
 
 
 def edits_between(a: list[int], b: list[int]) -> int:
@@ -71,25 +80,40 @@ def _grams(h: np.ndarray, q: int) -> np.ndarray:
 
 
 def signatures(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """For windows of ``h`` the sampled walk of each repetition; ``sizes`` are the items' words, which set the walk's length."""
-    out = np.empty((len(starts), REPEATS), U64)
-    for a in range(0, len(starts), _MOST):
-        at = np.repeat(starts[a : a + _MOST][:, None], REPEATS, 1)
-        end = at + lengths[a : a + _MOST][:, None]
-        steps = 2 * sizes[a : a + _MOST]
-        picks = (_AT[None] * steps[:, None, None]).astype(np.int64)
-        sign = np.repeat(steps[:, None].astype(U64), REPEATS, 1)
+    """For windows of ``h`` the sampled walk of each repetition that the longest needs; ``sizes`` are the items' words, which set the walk's length."""
+    count = int(repeats(sizes).max(initial=REPEATS))
+    walk = odd_constants(501, count)
+    # where in the walk the samples lie, as a share of its length; it has used up n words after about 2 n steps
+    places = (mix64(np.arange(1, count * PICKS + 1, dtype=U64)) / 2.0**64).reshape(count, PICKS)
+    out = np.empty((len(starts), count), U64)
+    most = max(1, _MOST // count)
+    for a in range(0, len(starts), most):
+        at = np.repeat(starts[a : a + most][:, None], count, 1)
+        end = at + lengths[a : a + most][:, None]
+        steps = 2 * sizes[a : a + most]
+        picks = (places[None] * steps[:, None, None]).astype(np.int64)
+        sign = np.repeat(steps[:, None].astype(U64), count, 1)
         for j in range(picks.max(initial=-1) + 1):
             symbol = np.where(at < end, h[np.minimum(at, len(h) - 1)], U64(0))
             for p in range(PICKS):
                 taken = picks[:, :, p] == j
                 if taken.any():
                     sign[taken] = (sign[taken] ^ symbol[taken]) * _SIGN[p]
-            at += (((symbol ^ U64(j * int(_STEP) & 2**64 - 1)) * _WALK) >> U64(63)).astype(np.int64)
-        out[a : a + _MOST] = mix64(sign + np.arange(REPEATS, dtype=U64))
+            at += (((symbol ^ U64(j * int(_STEP) & 2**64 - 1)) * walk) >> U64(63)).astype(np.int64)
+        out[a : a + most] = mix64(sign + np.arange(count, dtype=U64))
     return out
 
 
+def _signed(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray):
+    """``(window, signature)`` of all windows, those with as many repetitions together and only some at a time."""
+    counts = repeats(sizes)
+    for count in np.unique(counts):
+        like, most = np.flatnonzero(counts == count), max(1, _MOST // count)
+        for a in range(0, len(like), most):
+            some = like[a : a + most]
+            yield from zip(some.tolist(), signatures(h, starts[some], lengths[some], sizes[some]).tolist(), strict=True)
+
+
 class Items:
     """The distinct word sequences of a slice of the benchmark, their q-grams and their signatures."""
 
@@ -123,11 +147,10 @@ class Items:
             self.need[q] = self.sizes - q + 1 - q * self.most
         flat = np.array([x for w in self.words for x in w], U64)
         starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.table: list[dict[int, list[int]]] = [{} for _ in range(REPEATS)]
-        if len(self.words):
-            for i, row in enumerate(signatures(flat, starts, self.sizes, self.sizes).tolist()):
-                for r, x in enumerate(row):
-                    self.table[r].setdefault(x, []).append(i)
+        self.table: list[dict[int, list[int]]] = [{} for _ in range(repeats(self.sizes).max(initial=REPEATS))]
+        for i, row in _signed(flat, starts, self.sizes, self.sizes):
+            for r, x in enumerate(row):
+                self.table[r].setdefault(x, []).append(i)
 
     def windows(self, h: np.ndarray, bounds: np.ndarray):
         """``(text, start, length, size)`` of the windows that may be within the distance of an item of that size."""
@@ -166,8 +189,7 @@ class Items:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         if windows:
             text, start, length, size = map(np.array, zip(*windows, strict=True))
-            signed = signatures(h, start, length, size)
-            for w, row in enumerate(signed.tolist()):
+            for w, row in _signed(h, start, length, size):
                 for i in {i for r, x in enumerate(row) for i in self.table[r].get(x, ())}:
                     key = int(text[w]), i
                     a = int(start[w])

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +105,16 @@ def test_recall_at_the_largest_distance():
                 tried += 1
                 missed += not (s[0] == s[1]).any()
     assert tried > 50 and missed <= 0.03 * tried, (missed, tried)
+
+
+@pytest.mark.parametrize("n, pairs", [(200, 40), (400, 24), (800, 12)])
+def test_recall_of_long_items_at_the_largest_distance(n, pairs):
+    rng = np.random.default_rng(n)
+    texts = [[f"v{x}" for x in rng.integers(10**9, size=n)] for _ in range(pairs)]
+    items = dc.Items([(i, " ".join(t)) for i, t in enumerate(texts)])
+    for t in texts:
+        for at in rng.choice(n, int(dc.EDITS * n), replace=False):
+            t[at] = f"u{rng.integers(10**9)}"
+    h, bounds = dc.all_word_hashes([" ".join(t) for t in texts])
+    got = [(t, ids[0], d) for t, ids, _, _, d in items.matches(h, bounds)]
+    assert set(got) <= {(i, i, int(dc.EDITS * n)) for i in range(pairs)} and len(got) >= 0.97 * pairs, len(got)
