@@ -2,9 +2,10 @@
 
 Three base patterns give spans. Beyond them, long mixed tokens are candidates: each candidate's hash is summed
 over the corpus by distinct repositories (here the document) and distinct owners (its source). A candidate that
-one owner alone has looks live and becomes a span; one that several owners have is a copied example and does
-not. The same sums label the base spans. Hashes, never the secrets, are shuffled, and each task sends a hash
-once for an owner, so a widely copied example is no hot row.
+one owner alone has, in few repositories, looks live and becomes a span; one that several owners have, or one owner
+in many repositories, is a copied example and does not. The same sums label the base spans. Hashes, never the
+secrets, are shuffled, and the sums are made in steps, by owner and repository, by owner, and then by hash, so a
+widely copied example is no hot row.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ KINDS = ("assign", "access", "hex", "live")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-#: A candidate of its own: at least 24 characters of which each case, or a digit and a letter, occur.
+#: A candidate of its own: at least 24 characters with a digit and a letter, or with a capital after a small letter
+#: (so that a long word with a capital at its start is none).
 _MIXED = re.compile(r"[A-Za-z0-9+/_-]{24,}")
-_CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[0-9]")]
+_LETTER, _DIGIT, _CASES = re.compile("[A-Za-z]"), re.compile("[0-9]"), re.compile("[a-z][A-Z]")
 SHORTEST_ASSIGNED = 6
-#: At most so many distinct owners for a candidate that looks live.
-LIVE_OWNERS = 1
+#: At most so many distinct owners, and repositories, for a candidate that looks live. An owner's own key may stand
+#: in a few places; on sf0.1 none of 131 candidates is in more than 3 repositories.
+LIVE_OWNERS, LIVE_REPOSITORIES = 1, 8
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -42,7 +45,7 @@ def mixed_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple
     """Candidates that no base span overlaps."""
     out = []
     for m in _MIXED.finditer(text):
-        if sum(c.search(m[0]) is not None for c in _CLASSES) >= 2 and _CLASSES[2].search(m[0]) and all(m.end() <= s or e <= m.start() for s, _, e, _ in taken):
+        if (_DIGIT.search(m[0]) and _LETTER.search(m[0]) or _CASES.search(m[0])) and all(m.end() <= s or e <= m.start() for s, _, e, _ in taken):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -76,7 +79,13 @@ def _as_text(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = LIVE_OWNERS) -> DataFrame:
+def _sums(each: DataFrame) -> DataFrame:
+    """``(hash, repositories, owners)`` of ``(hash, owner, doc_id)``; each step adds up within tasks first."""
+    pairs = each.groupBy("hash", "owner", "doc_id").count().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
+    return pairs.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+
+
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", live_owners: int = LIVE_OWNERS, live_repositories: int = LIVE_REPOSITORIES) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied)``, one row for each input row.
 
     ``n_live`` and ``n_copied`` count the row's candidates, base ones included, by what the corpus says of them.
@@ -87,8 +96,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"))
     found = written(base.mapInArrow(_scan, _DDL).withColumn("row", F.monotonically_increasing_id()), "secret-spans")
     each = found.select("row", "doc_id", "owner", F.explode("spans").alias("span")).select("row", "doc_id", "owner", F.col("span.hash").alias("hash"), "span")
-    owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("owners"))
-    verdicts = each.join(owners, "hash").select("row", "span", (F.col("owners") <= live_owners).alias("live"))
+    live = (F.col("owners") <= live_owners) & (F.col("repositories") <= live_repositories)
+    verdicts = each.join(_sums(each), "hash").select("row", "span", live.alias("live"))
     by_row = verdicts.groupBy("row").agg(
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_copied"),
@@ -109,9 +118,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
 def candidate_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """``(hash, repositories, owners)`` of every candidate in the corpus."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"))
-    each = base.mapInArrow(_scan, _DDL).select("doc_id", "owner", F.explode("spans.hash").alias("hash"))
-    pairs = each.groupBy("hash", "owner", "doc_id").count().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return pairs.groupBy("hash").agg(F.sum("repositories").alias("repositories"), F.count(F.lit(1)).alias("owners"))
+    return _sums(base.mapInArrow(_scan, _DDL).select("doc_id", "owner", F.explode("spans.hash").alias("hash")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,3 +67,15 @@ def test_operator(spark):
     owners = {r["owners"]: r["repositories"] for r in ss.candidate_owners(docs).collect() if r["owners"] > 1}
     assert owners == {2: 3}
     assert ss.secrets(docs_frame(spark, [])).collect() == []
+
+
+def test_repositories_and_classes(spark):
+    key, few, cased = "Ab12" * 8, "Cd34" * 8, "AbCdEfGh" * 4
+    rows = [(i, f"example {key}") for i in range(40)] + [(100 + i, f"own {few}") for i in range(3)] + [(200, f"{cased} Donaudampfschifffahrtsgesellschaft")]
+    rows += [(100, f"own {few}")] * 20  # repeated rows are one repository
+    got = ss.secrets(docs_frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_live"], r["n_copied"]) == ((0, 1) if r["doc_id"] < 40 else (1, 0))
+    assert {r["spans"] for r in got if r["doc_id"] == 200} == {"live:0:32"}
+    assert {r["spans"] for r in got if r["doc_id"] < 40} == {""}
