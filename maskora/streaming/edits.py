@@ -113,19 +113,27 @@ def _run(page: Page, events: pd.DataFrame) -> None:
 
 
 def replay(edits: DataFrame) -> DataFrame:
-    """The state of each document after all its events."""
+    """The state of each document after all its events.
 
-    logs = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "payload"))).alias("log"))
+    Events come sorted, and one page's state is carried from row to row and batch to batch, so a task holds a batch
+    and a state however long a document's log is.
+    """
+    logs = edits.select("doc_id", "seq", "op", "payload").repartition("doc_id").sortWithinPartitions("doc_id", "seq", "op", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        page = None
         for b in batches:
             out = []
-            for doc_id, log in zip(b["doc_id"].to_pylist(), b["log"].to_pylist(), strict=True):
-                page = Page()
-                for e in log:
-                    page.apply(e["op"], json.loads(e["payload"]) if e["payload"] else {})
-                out.append(page.row(doc_id, log[-1]["seq"]))
+            for key, at, op, payload in zip(*(b[c].to_pylist() for c in ("doc_id", "seq", "op", "payload")), strict=True):
+                if page is None or key != doc_id:
+                    if page is not None:
+                        out.append(page.row(doc_id, seq))
+                    page, doc_id = Page(), key
+                page.apply(op, json.loads(payload) if payload else {})
+                seq = at
             yield pa.RecordBatch.from_pylist(out, STATE)
+        if page is not None:
+            yield pa.RecordBatch.from_pylist([page.row(doc_id, seq)], STATE)
 
     return logs.mapInArrow(run, STATE_DDL)
 

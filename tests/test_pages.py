@@ -124,3 +124,22 @@ def test_sources(spark):
     tree = spark.createDataFrame([(1, None, [([([(" ab ", box, 80.0, [("ab", box, 80.0, [("a", box, 1.0), ("b", box, 1.0)])]), ("  ", box, 1.0, [])],)],)])], S.RECOGNITION)
     row = S.flatten_recognition(tree).first()
     assert row["text"] == "ab" and len(row["symbols"]) == 2 and S.full_text(tree).first()["full_text"] == "ab"
+
+
+def test_long_log_is_carried_over_batches(spark):
+    todo = [(op, {"id": f"b{i % 7}", "rect": [0, 0, 9 + i % 5, 9], "patch": {"label": str(i)}}) for i in range(60) for op in ("add", "toggle", "update", "undo")]
+    page = E.Page()
+    for op, p in todo:
+        page.apply(op, p)
+    table = events(spark, todo, 1).union(events(spark, EVENTS, 2)).union(events(spark, todo, 3)).union(events(spark, EVENTS, None)).union(events(spark, [("open", {})], 4))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 7)
+    try:
+        done = E.replay(table)
+        got = {r["doc_id"]: r.asDict() for r in done.collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert set(got) == {1, 2, 3, 4, None} and all(got[k] == page.row(k, len(todo) - 1) for k in (1, 3))
+    assert got[2]["boxes"] == got[None]["boxes"] == E.replay(events(spark)).first()["boxes"] and got[4]["seq"] == 0
+    assert "collect_list" not in done._jdf.queryExecution().toString()
