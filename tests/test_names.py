@@ -1,4 +1,4 @@
-from maskora.operators.names import detect_companies, detect_persons, surname_prefixes
+from maskora.operators.names import SURNAMES, detect_companies, detect_persons, surname_prefixes
 
 
 def lines(spark, texts):
@@ -34,3 +34,10 @@ def test_surname_join(spark):
     names = spark.createDataFrame([("佐々木葵",), ("林檎",), ("xyz",), (None,)], "name string")
     found = surname_prefixes(names, spark.createDataFrame([("佐",), ("佐々木",), ("林",)], "surname string"))
     assert {r["name"]: r["surname"] for r in found.collect()} == {"佐々木葵": "佐々木", "林檎": "林", "xyz": None, None: None}
+
+
+def test_whole_dictionary(spark):
+    texts = ["和久井 葵", "鷲尾・望月", "南野 拓也"]
+    assert len(set(SURNAMES)) == len(SURNAMES) == 682
+    rows = detect_persons(lines(spark, texts)).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == dict(enumerate(texts))
