@@ -49,3 +49,21 @@ def test_on_a_table(spark):
     boxes = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 8.0, True)], "doc_id long, x double, y double, w double, h double, enabled boolean")
     out = {r["doc_id"]: np.frombuffer(r["pixels"], np.uint8) for r in X.masked_planes(df, boxes).collect()}
     assert not out[1].reshape(8, 10, 4)[..., :3].any() and out[2].any()
+
+
+def test_turned_mask():
+    a = np.full((60, 80, 4), 200, np.uint8)
+    out = X.mask(a, [(10, 25, 60, 10, 30.0)])[..., 0] == 0
+    y, x = np.mgrid[0:60, 0:80] + 0.5
+    u, v = (x - 40) * np.cos(np.pi / 6) + (y - 30) * np.sin(np.pi / 6), (y - 30) * np.cos(np.pi / 6) - (x - 40) * np.sin(np.pi / 6)
+    assert out[(abs(u) <= 30) & (abs(v) <= 5)].all() and not out[(abs(u) > 31.5) | (abs(v) > 6.5)].any()
+    assert (X.mask(a, [(10, 25, 60, 10, 0.05)]) == X.mask(a, [(10, 25, 60, 10)])).all()
+
+
+def test_skew_uses_all_dark_pixels(monkeypatch):
+    a = np.full((300, 400), 255, np.uint8)
+    a[::3, :] = 0
+    seen = []
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda r, *p, **k: seen.append(len(r)) or count(r, *p, **k))
+    assert X.skew_angle(a) == 0 and set(seen[1:]) == {40_000}
