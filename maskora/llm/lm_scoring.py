@@ -2,54 +2,50 @@
 
 Smoothed n-grams are states: a state has an arc for each token that was seen after it and a failure arc to the
 state of the shorter history, with a weight. A text is scored in one walk from left to right that carries the
-state and adds log-probabilities. The model is a Dirichlet-smoothed n-gram model,
+state and adds log-probabilities. The model is a Dirichlet-smoothed n-gram model of ORDER tokens,
 
     p_1(w)     = (c(w) + 1) / (N + V + 1)
     p_k(w | h) = (c(h w) + MASS * p_{k-1}(w | h')) / (c(h) + MASS),
 
-so an unseen arc costs log10(MASS / (c(h) + MASS)), the failure weight of h, before h' is tried. The
+so the failure arc of h costs log10(MASS / (c(h) + MASS)), and the root's failure is the unknown token. The
 distribution over the V known tokens and one unknown token sums to one in each state.
 
-The full model grows with the corpus and is on no machine. Documents are dealt into blocks; a block asks for
-the corpus counts of its own distinct n-grams, in hash ranges (buckets); each bucket adds up what the blocks
-have counted and answers each of them; a block then builds the part of the automaton that its texts can reach.
-Neither a hot n-gram nor a hot source fills a task: in a bucket an n-gram comes once from a block at most.
+The full model grows with the corpus and is on no machine. Scan tasks pack their rows into blocks of BLOCK_BYTES
+of text; a block asks for the corpus counts of its own distinct n-grams, in hash ranges (buckets); each bucket
+adds up what the blocks have counted and answers each of them in place; a block then builds the part of the
+automaton that its texts can reach (states, arcs, failure links) and walks it. The packed texts are shuffled
+once: both uses of a block read the same exchange. Neither a hot n-gram nor a hot source nor a repeated doc_id
+fills a task: in a bucket an n-gram comes once from a block at most, and blocks are cut by size alone. A task
+holds one block or one bucket, whatever the corpus; the messages are blocks times buckets, at most one for each
+n-gram of a block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
-from .words import U64, all_word_hashes, mix64, odd_constants
+from .words import U64, all_word_hashes, mix64, odd_constants, pieces
 
-ORDER = 2
+ORDER = 3
 #: Weight of the shorter history in a smoothed state, in tokens.
 MASS = 4.0
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 12 << 20
+#: N-grams that all blocks together ask of a bucket, about.
+BUCKET_KEYS = 4_000_000
+#: Tokens of a text that are walked in one go; the state depends on ORDER - 1 tokens alone, so a walk can start anywhere after these.
+SEGMENT = 512
 HELD_OUT_OF, HELD_OUT = 7, 2
 END = mix64(np.array([0x5EED], U64))[0]
 _MULTIPLY = odd_constants(29, 8)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Byte planes: equal high bytes lie together, so that the shuffle's compression removes them."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
-
-
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> U64(32)) * U64(buckets)) >> U64(32)
-
-
 def _token_stream(texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and one end token after them; bounds of each text."""
     h, b = all_word_hashes(texts)
@@ -62,123 +58,243 @@ def _token_stream(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def _ngram_keys(tokens: np.ndarray, bounds: np.ndarray, k: int) -> np.ndarray:
-    """Key of the k-gram that ends at each token. A text starts after an end token; what lies before that is not used."""
-    key = tokens * _MULTIPLY[0]
-    starts = np.repeat(bounds[:-1], np.diff(bounds))
-    at = np.arange(len(tokens))
+def _ngram_keys(tokens: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a k-gram ends, and its key. A text starts after an end token; nothing reaches back beyond that."""
+    into = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    at = np.flatnonzero(into >= k - 2)
+    key = tokens[at] * _MULTIPLY[0]
     for back in range(1, k):
-        before = np.where(at - back >= starts, tokens[np.maximum(at - back, 0)], END if back == 1 else U64(0))
-        before = np.where(at - back == starts - 1, END, before)
-        key = key + before * _MULTIPLY[back]
-    return mix64(key ^ _MULTIPLY[4 + k % 4])
+        before = tokens[np.maximum(at - back, 0)]
+        before[into[at] < back] = END
+        key += before * _MULTIPLY[back]
+    return at, mix64(key ^ _MULTIPLY[4 + k % 4])
+
+
+def _word_counts(batches) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the training tokens; a row without key has the bytes of a piece."""
+    for b in batches:
+        texts, train = b["text"].to_pylist(), ~b["held_out"].to_numpy(zero_copy_only=False)
+        for i, j in pieces(texts, BLOCK_BYTES):
+            tokens, bounds = _token_stream(texts[i:j])
+            keys, n = np.unique(tokens[np.repeat(train[i:j], np.diff(bounds))], return_counts=True)
+            size = sum(len(t.encode()) for t in texts[i:j])
+            key = pa.array(np.append(keys, U64(0)).view(np.int64), mask=np.arange(len(keys) + 1) == len(keys))
+            yield pa.RecordBatch.from_arrays([key, pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(keys), np.int64), size))], ["key", "n", "size"])
+
+
+def _pack(batches) -> Iterator[pa.RecordBatch]:
+    """The rows of a task as compressed blocks, each with a number of its own."""
+    number, rows, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def block() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for r in rows:
+                out.write_batch(r)
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
+
+    for b in batches:
+        lengths = np.array([len(t or "") for t in b["text"].to_pylist()])
+        at = 0
+        while at < b.num_rows:
+            fits = max(int(np.searchsorted(np.cumsum(lengths[at:]), BLOCK_BYTES - size, "right")), 0 if rows else 1)
+            if fits:
+                rows.append(b.slice(at, fits))
+                size += int(lengths[at : at + fits].sum())
+                at += fits
+            if at < b.num_rows:
+                yield block()
+                number, rows, size = number + 1, [], 0
+    if rows:
+        yield block()
+
+
+def _unpack(block: pa.Table) -> pa.Table:
+    return pa.ipc.open_stream(block["packed"][0].as_buffer()).read_all()
+
+
+def _grams(tokens: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted keys of the distinct n-grams of all orders; for each order the places and the number of the n-gram that ends there."""
+    found = [_ngram_keys(tokens, bounds, k) for k in range(1, order + 1)]
+    keys = np.concatenate([key for _, key in found])
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    number = np.empty(len(by), np.int32)
+    number[by] = np.cumsum(new, dtype=np.int32) - 1
+    cuts = np.cumsum([len(at) for at, _ in found])[:-1]
+    return keys[new], [at for at, _ in found], np.split(number, cuts)
 
 
 def _requests(block: pa.Table, buckets: int, order: int) -> pa.Table:
-    tokens, bounds = _token_stream(block["text"].to_pylist())
-    train = np.repeat(~block["held_out"].to_numpy(), np.diff(bounds))
-    number = block["block"][0].as_py()
-    rows = []
-    for k in range(1, order + 1):
-        keys = _ngram_keys(tokens, bounds, k)
-        by = np.argsort(keys, kind="stable")
-        keys, seen = keys[by], train[by]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        counts = np.add.reduceat(seen.astype(np.uint32), first, dtype=np.uint32)
-        keys = keys[first]
-        cuts = np.searchsorted(_bucket(keys, buckets), np.arange(buckets + 1, dtype=U64))
-        for b in np.flatnonzero(np.diff(cuts)):
-            part = keys[cuts[b] : cuts[b + 1]]
-            rows.append((number, int(b), k, _planes(np.diff(part, prepend=U64(0))), _planes(counts[cuts[b] : cuts[b + 1]])))
-    return pa.table(list(map(list, zip(*rows, strict=True))), names=["block", "bucket", "n", "keys", "counts"])
+    """A message to each bucket: the block's distinct n-grams there, as steps from one key to the next, and their training counts."""
+    docs = _unpack(block)
+    tokens, bounds = _token_stream(docs["text"].to_pylist())
+    train = np.repeat(~docs["held_out"].to_numpy(), np.diff(bounds))
+    keys, places, numbers = _grams(tokens, bounds, order)
+    counts = sum(np.bincount(x[train[at]], minlength=len(keys)) for at, x in zip(places, numbers, strict=True)).astype(np.uint32)
+    bucket = (((keys >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bucket, prepend=-1))
+    steps = np.diff(keys, prepend=U64(0))
+    steps[first] = 0
+    pack = zstandard.ZstdCompressor(level=1).compress
+    planes = lambda x: pack(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
+    ends = [*first[1:], len(keys)]
+    return pa.table(
+        {
+            "block": np.full(len(first), block["block"][0].as_py()),
+            "bucket": bucket[first],
+            "start": keys[first].view(np.int64),
+            "steps": pa.array([planes(steps[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
+            "counts": pa.array([planes(counts[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
+        }
+    )
+
+
+def _from_planes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
 def _answers(bucket: pa.Table) -> pa.Table:
-    """Corpus counts for the n-grams that each block has asked for; tokens and types of this bucket on the first row."""
-    out = {"block": [], "bucket": [], "n": [], "totals": [], "tokens": [], "types": []}
-    for n in sorted(set(bucket["n"].to_pylist())):
-        asked = bucket.filter(pa.compute.equal(bucket["n"], n))
-        keys = [np.cumsum(_from_planes(x, U64), dtype=U64) for x in asked["keys"].to_pylist()]
-        counts = np.concatenate([_from_planes(x, np.uint32) for x in asked["counts"].to_pylist()])
-        sizes = [len(x) for x in keys]
-        keys = np.concatenate(keys)
-        by = np.argsort(keys, kind="stable")
-        keys = keys[by]
-        new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        sums = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(new))
-        totals = np.empty(len(by), np.int64)
-        totals[by] = sums[np.cumsum(new) - 1]
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for i, block in enumerate(asked["block"].to_pylist()):
-            out["block"].append(block)
-            out["bucket"].append(asked["bucket"][i].as_py())
-            out["n"].append(n)
-            out["totals"].append(_planes(totals[at[i] : at[i + 1]].astype(U64)))
-            out["tokens"].append(int(sums.sum()) if n == 1 and i == 0 else 0)
-            out["types"].append(int((sums > 0).sum()) if n == 1 and i == 0 else 0)
-    return pa.table(out)
-
-
-def _walk(local: list[np.ndarray], counts: list[np.ndarray], bounds: np.ndarray, n: int, v: int) -> np.ndarray:
-    """Log10-probability of each text.
-
-    ``local[k]`` has the local number of the (k+1)-gram that ends at each token, ``counts[k]`` the corpus count
-    of each local (k+1)-gram. All texts of the block take their steps together.
+    """To each block the corpus counts of the n-grams it has asked for, in their order."""
+    steps = [_from_planes(x, U64) for x in bucket["steps"].to_pylist()]
+    starts = bucket["start"].to_numpy().view(U64)
+    keys = np.concatenate([np.cumsum(x, dtype=U64) + a for x, a in zip(steps, starts, strict=True)])
+    counts = np.concatenate([_from_planes(x, np.uint32) for x in bucket["counts"].to_pylist()])
+    by = np.argsort(keys)
+    keys = keys[by]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    sums = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(new))
+    totals = np.empty(len(by), np.int64)
+    totals[by] = sums[np.cumsum(new) - 1]
+    pack, out, at = zstandard.ZstdCompressor(level=1).compress, [], 0
+    for x in steps:
+        mine = totals[at : at + len(x)]
+        at += len(x)
+        mine = mine.astype(np.min_scalar_type(mine.max()))
+        out.append(bytes([mine.itemsize]) + pack(mine.view(np.uint8).reshape(len(mine), mine.itemsize).T.tobytes()))
+    return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "totals": pa.array(out, pa.binary())})
+
+
+class Automaton:
+    """The part of the backoff automaton that the given n-grams reach. State 0 is the root, the empty history.
+
+    ``totals`` has the corpus count of each distinct n-gram, ``places`` and ``numbers`` are as from ``_grams``.
+    Arcs lie in order of (state, token); a token is the number of its unigram.
     """
-    order = len(local)
-    unigram = np.log10((counts[0] + 1) / (n + v + 1))
-    longest = np.argsort(-np.diff(bounds), kind="stable")
-    lengths = np.diff(bounds)[longest]
-    starts = bounds[:-1][longest]
-    score = np.zeros(len(starts))
-    end = local[0][bounds[1] - 1]
-    #: Per history length k: how often the current state's history was seen; the walk starts in the end token's state.
-    state = [np.full(len(starts), counts[0][end], np.float64)] + [np.zeros(len(starts)) for _ in range(2, order)]
-    for t in range(lengths[0]):
-        live = int(np.searchsorted(-lengths, -t, "left"))
-        at = starts[:live] + t
-        token = local[0][at]
-        log_p = unigram[token]
-        for k in range(1, min(order, t + 2)):
-            seen, history = counts[k][local[k][at]], state[k - 1][:live]
-            fail = np.log10(MASS / (history + MASS))
-            arc = np.log10((seen + MASS * 10.0**log_p) / (history + MASS))
-            log_p = np.where(seen > 0, arc, fail + log_p)
-        score[:live] += log_p
-        state = [counts[k][local[k][at]].astype(np.float64) for k in range(order - 1)] or state
-    out = np.empty(len(starts))
-    out[longest] = score
-    return out
+
+    def __init__(self, totals: np.ndarray, places: list, numbers: list, bounds: np.ndarray, n: int, v: int):
+        order, size = len(numbers), len(totals)
+        token = np.empty(bounds[-1], np.int32)
+        token[places[0]] = numbers[0]
+        self.tokens, self._width = token, size
+        end = token[bounds[1] - 1]
+        begins = np.zeros(bounds[-1], bool)
+        begins[bounds[:-1]] = True
+        seen = totals > 0
+        history = np.zeros(size, bool)
+        for x in numbers[: order - 1]:
+            history[x] = True
+        history &= seen
+        state = np.where(history, np.cumsum(history), 0)  # of each n-gram that is a history
+        states = int(history.sum()) + 1
+        self.fail = np.zeros(states, np.int64)
+        self.fail_weight = np.zeros(states)
+        self.fail_weight[1:] = np.log10(MASS / (totals[history] + MASS))
+        self.unknown = np.log10(1 / (n + v + 1))
+        p = np.full(size, 1 / (n + v + 1))
+        p[numbers[0]] = (totals[numbers[0]] + 1) / (n + v + 1)
+        keys, targets, weights = [], [], []
+        shorter = np.zeros(bounds[-1], np.int32)  # the n-gram of one token less that ends at each place
+        for k, (at, x) in enumerate(zip(places, numbers, strict=True), 1):
+            source = np.zeros(len(at), np.int64)
+            suffix = shorter[at].copy()
+            if k > 1:
+                prefix = np.where(begins[at], end, shorter[at - 1])
+                source = state[prefix]
+                p[x] = (totals[x] + MASS * p[suffix]) / (totals[prefix] + MASS)
+                if k < order:
+                    self.fail[state[x]] = state[suffix]
+            to = state[x] if k < order else state[suffix] if k > 1 else source
+            live = np.flatnonzero(seen[x])
+            _, once = np.unique(x[live], return_index=True)
+            live = live[once]
+            keys.append(source[live] * size + token[at[live]])
+            targets.append(to[live])
+            weights.append(np.log10(p[x[live]]))
+            shorter[at] = x
+        self.fail[0] = 0
+        keys = np.concatenate([*keys, [np.iinfo(np.int64).max]])
+        by = np.argsort(keys)
+        self._arcs = keys[by]
+        self._target = np.concatenate([*targets, [0]])[by]
+        self._weight = np.concatenate([*weights, [0.0]])[by]
+        self.start = state[end] if order > 1 else 0
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states and log10-probabilities: failure arcs are followed until a state has an arc for the token."""
+        to, log_p, left = np.zeros(len(state), np.int64), np.zeros(len(state)), np.arange(len(state))
+        while len(left):
+            key = state[left] * self._width + token[left]
+            arc = np.searchsorted(self._arcs, key)
+            hit = self._arcs[arc] == key
+            done = left[hit]
+            log_p[done] += self._weight[arc[hit]]
+            to[done] = self._target[arc[hit]]
+            left = left[~hit]
+            root = state[left] == 0
+            log_p[left[root]] += self.unknown
+            left = left[~root]
+            log_p[left] += self.fail_weight[state[left]]
+            state[left] = self.fail[state[left]]
+        return to, log_p
+
+    def walk(self, bounds: np.ndarray, order: int) -> np.ndarray:
+        """Log10-probability of each text. All texts, and the segments of a long one, take their steps together; a
+        segment comes into its state on the order - 1 tokens before it, which it does not count."""
+        counts = -(-np.diff(bounds) // SEGMENT)
+        text = np.repeat(np.arange(len(counts)), counts)
+        begin = bounds[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * SEGMENT
+        until = np.minimum(begin + SEGMENT, bounds[1:][text])
+        warm = np.where(begin > bounds[:-1][text], order - 1, 0)
+        state = np.where(warm > 0, 0, self.start)
+        score, by = np.zeros(len(text)), np.argsort(-(until - begin + warm), kind="stable")
+        begin, until, warm, state = begin[by] - warm[by], until[by], warm[by], state[by]
+        lengths = until - begin
+        for t in range(lengths[0]):
+            live = int(np.searchsorted(-lengths, -t, "left"))
+            state[:live], log_p = self.step(state[:live].copy(), self.tokens[begin[:live] + t])
+            score[:live] += np.where(t >= warm[:live], log_p, 0.0)
+        return np.bincount(text[by], weights=score, minlength=len(counts))
 
 
 def _scores(block: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> pa.Table:
-    if not block.num_rows:
-        return SCORES.empty_table()
-    tokens, bounds = _token_stream(block["text"].to_pylist())
-    local, counts = [], []
-    for k in range(1, order + 1):
-        mine = answers.filter(pa.compute.equal(answers["n"], k)).sort_by("bucket")
-        distinct, inverse = np.unique(_ngram_keys(tokens, bounds, k), return_inverse=True)
-        totals = np.concatenate([_from_planes(x, U64) for x in mine["totals"].to_pylist()]).astype(np.float64)
-        assert len(totals) == len(distinct), "answers do not fit the block"
-        local.append(inverse)
-        counts.append(totals)
-    known = counts[0][local[0]]
+    docs = _unpack(block)
+    tokens, bounds = _token_stream(docs["text"].to_pylist())
+    keys, places, numbers = _grams(tokens, bounds, order)
+    mine = answers.sort_by("bucket")["totals"].to_pylist()
+    totals = np.concatenate([_from_planes(x[1:], f"<u{x[0]}").astype(np.float64) for x in mine])
+    if len(totals) != len(keys):
+        raise ValueError("the answers do not fit the block")
+    automaton = Automaton(totals, places, numbers, bounds, n, v)
+    known = totals[automaton.tokens]
     return pa.table(
         {
-            "doc_id": block["doc_id"],
-            "held_out": block["held_out"],
+            "doc_id": docs["doc_id"],
+            "held_out": docs["held_out"],
             "n_tokens": np.diff(bounds).astype(np.int64),
             "n_known": np.add.reduceat((known > 0).astype(np.int64), bounds[:-1]),
-            "train_tokens": np.full(block.num_rows, n, np.int64),
+            "train_tokens": np.full(docs.num_rows, n, np.int64),
             "base_score": np.add.reduceat(np.log10((known + 1) / (n + v + 1)), bounds[:-1]),
-            "score": _walk(local, counts, bounds, n, v),
-        },
-        schema=SCORES,
+            "score": automaton.walk(bounds, order),
+        }
     )
 
 
-SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -186,32 +302,21 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
 
     Null and empty texts are scored as the end token alone. Rows whose crc32(doc_id as text) mod 7 is 2 teach
     the model nothing; a null doc_id counts as the empty text there. Repeated rows count as often as they come.
-    Without any training row every token is unknown, with probability 1 / (0 + 0 + 1). Other columns are not read.
+    Without any training row every token is unknown, with probability 1 / (0 + 0 + 1). A text longer than a block
+    is a block by itself and is walked in segments. An empty table gives no rows. Other columns are not read.
     """
     base = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % HELD_OUT_OF == HELD_OUT).alias("held_out"),
     )
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, buckets = size // BLOCK_BYTES + 1, size * order * 3 // 2 // BUCKET_BYTES + 1
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("long"))
-    requests = dealt.groupBy("block").applyInArrow(
-        lambda t: _requests(t, buckets, order), "block long, bucket long, n long, keys binary, counts binary"
-    )
-    answers = requests.groupBy("bucket").applyInArrow(
-        _answers, "block long, bucket long, n long, totals binary, tokens long, types long"
-    )
-    answers = written(answers, "lm-answers")
-    n, v = answers.agg(F.sum("tokens"), F.sum("types")).first()
-    return (
-        dealt.groupBy("block")
-        .cogroup(answers.select("block", "bucket", "n", "totals").groupBy("block"))
-        .applyInArrow(
-            lambda a, b: _scores(a, b, order, n or 0, v or 0),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
-    )
+    words = base.select("text", "held_out").mapInArrow(_word_counts, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
+    n, v, size = (x or 0 for x in words.agg(F.sum("n"), F.count("key"), F.sum("size")).first())
+    buckets = size * order // 5 // BUCKET_KEYS + 1
+    blocks = base.mapInArrow(_pack, "block long, packed binary")
+    requests = blocks.groupBy("block").applyInArrow(lambda t: _requests(t, buckets, order), "block long, bucket long, start long, steps binary, counts binary")
+    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, totals binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order, n, v), SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

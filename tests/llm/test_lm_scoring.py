@@ -1,5 +1,7 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -46,7 +48,7 @@ def brute(rows, order):
 @pytest.mark.parametrize("block", [2_000, 8 << 20])
 def test_scores_equal_brute_force(spark, monkeypatch, order, block):
     monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", block)
-    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 4 * block)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", block)
     rows = awkward_docs()
     got = sorted((tuple(r) for r in lm_scoring.lm_scores(docs_frame(spark, rows), order).collect()), key=repr)
     want = sorted(brute(rows, order), key=repr)
@@ -57,3 +59,26 @@ def test_scores_equal_brute_force(spark, monkeypatch, order, block):
 
 def test_empty_table(spark):
     assert lm_scoring.lm_scores(docs_frame(spark, [])).collect() == []
+
+
+def test_nothing_to_learn_from(spark):
+    rows = [(i, "a b a") for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = lm_scoring.lm_scores(docs_frame(spark, rows)).collect()
+    assert len(got) == len(rows) > 1
+    assert {tuple(r)[1:] for r in got} == {(True, 4, 0, 0, 0.0, 0.0)}
+
+
+def test_worker_needs_no_other_imports():
+    """What a task calls works where nothing but the module has been imported."""
+    code = (
+        "import pyarrow as pa, zstandard; from unittest import mock; from maskora.llm import lm_scoring as m\n"
+        "b = pa.record_batch({'doc_id': [1, 2], 'text': ['a b c', 'a b d'], 'held_out': [False, True]})\n"
+        "list(m._word_counts([b]))\n"
+        "with mock.patch.object(m, 'TaskContext') as t:\n"
+        "    t.get.return_value.partitionId.return_value = 0\n"
+        "    block = pa.Table.from_batches(m._pack([b]))\n"
+        "answers = m._answers(m._requests(block, 1, 3))\n"
+        "print(m._scores(block, answers, 3, 4, 4).num_rows)"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False)
+    assert out.stdout.strip() == "2", out.stderr
