@@ -17,7 +17,7 @@ automaton that its texts can reach (states, arcs, failure links) and walks it. T
 once: both uses of a block read the same exchange. Neither a hot n-gram nor a hot source nor a repeated doc_id
 fills a task: in a bucket an n-gram comes once from a block at most, and blocks are cut by size alone. A task
 holds one block or one bucket, whatever the corpus; the messages are blocks times buckets, at most one for each
-n-gram of a block.
+n-gram of a block. Each answer has its bucket's tokens and types, so a block knows N and V by adding up.
 """
 
 from __future__ import annotations
@@ -70,18 +70,6 @@ def _ngram_keys(tokens: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndar
     return at, mix64(key ^ _MULTIPLY[4 + k % 4])
 
 
-def _word_counts(batches) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the training tokens; a row without key has the bytes of a piece."""
-    for b in batches:
-        texts, train = b["text"].to_pylist(), ~b["held_out"].to_numpy(zero_copy_only=False)
-        for i, j in pieces(texts, BLOCK_BYTES):
-            tokens, bounds = _token_stream(texts[i:j])
-            keys, n = np.unique(tokens[np.repeat(train[i:j], np.diff(bounds))], return_counts=True)
-            size = sum(len(t.encode()) for t in texts[i:j])
-            key = pa.array(np.append(keys, U64(0)).view(np.int64), mask=np.arange(len(keys) + 1) == len(keys))
-            yield pa.RecordBatch.from_arrays([key, pa.array(np.append(n, 0)), pa.array(np.append(np.zeros(len(keys), np.int64), size))], ["key", "n", "size"])
-
-
 def _pack(batches) -> Iterator[pa.RecordBatch]:
     """The rows of a task as compressed blocks, each with a number of its own."""
     number, rows, size = TaskContext.get().partitionId() << 32, [], 0
@@ -113,126 +101,137 @@ def _unpack(block: pa.Table) -> pa.Table:
     return pa.ipc.open_stream(block["packed"][0].as_buffer()).read_all()
 
 
-def _grams(tokens: np.ndarray, bounds: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Sorted keys of the distinct n-grams of all orders; for each order the places and the number of the n-gram that ends there."""
-    found = [_ngram_keys(tokens, bounds, k) for k in range(1, order + 1)]
-    keys = np.concatenate([key for _, key in found])
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the number of each key among them."""
     by = np.argsort(keys)
     keys = keys[by]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
     number = np.empty(len(by), np.int32)
     number[by] = np.cumsum(new, dtype=np.int32) - 1
-    cuts = np.cumsum([len(at) for at, _ in found])[:-1]
-    return keys[new], [at for at, _ in found], np.split(number, cuts)
+    return keys[new], number
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The width, and byte planes, compressed: equal high bytes lie together."""
+    x = x.astype(np.min_scalar_type(x.max(initial=0)))
+    return bytes([x.itemsize]) + zstandard.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), 1)
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    x = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.ascontiguousarray(x.T).view(f"<u{data[0]}").ravel()
+
+
+_LOW, _LOW_BYTES = U64((1 << 40) - 1), 5
+
+
+def _steps(keys: np.ndarray) -> tuple[bytes, bytes]:
+    """Sorted keys as steps from one to the next: the five low bytes as they are, for they are random, and the rest packed."""
+    steps = np.diff(keys, prepend=keys[:1])
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :_LOW_BYTES]).tobytes(), _planes(steps >> U64(40))
+
+
+def _from_steps(start: int, low: bytes, high: bytes) -> np.ndarray:
+    steps = np.zeros((len(low) // _LOW_BYTES, 8), np.uint8)
+    steps[:, :_LOW_BYTES] = np.frombuffer(low, np.uint8).reshape(-1, _LOW_BYTES)
+    steps = steps.view(U64).ravel() | _from_planes(high).astype(U64) << U64(40)
+    return np.cumsum(steps, dtype=U64) + U64(start)
 
 
 def _requests(block: pa.Table, buckets: int, order: int) -> pa.Table:
-    """A message to each bucket: the block's distinct n-grams there, as steps from one key to the next, and their training counts."""
+    """Messages to the buckets: the block's distinct n-grams of each order there, and their training counts.
+
+    Each bucket gets a message of unigrams, if an empty one, and so tells each block how many tokens and types it has.
+    """
     docs = _unpack(block)
     tokens, bounds = _token_stream(docs["text"].to_pylist())
     train = np.repeat(~docs["held_out"].to_numpy(), np.diff(bounds))
-    keys, places, numbers = _grams(tokens, bounds, order)
-    counts = sum(np.bincount(x[train[at]], minlength=len(keys)) for at, x in zip(places, numbers, strict=True)).astype(np.uint32)
-    bucket = (((keys >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    steps = np.diff(keys, prepend=U64(0))
-    steps[first] = 0
-    pack = zstandard.ZstdCompressor(level=1).compress
-    planes = lambda x: pack(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes())
-    ends = [*first[1:], len(keys)]
-    return pa.table(
-        {
-            "block": np.full(len(first), block["block"][0].as_py()),
-            "bucket": bucket[first],
-            "start": keys[first].view(np.int64),
-            "steps": pa.array([planes(steps[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
-            "counts": pa.array([planes(counts[a:b]) for a, b in zip(first, ends, strict=True)], pa.binary()),
-        }
-    )
-
-
-def _from_planes(data: bytes, dtype) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+    rows = []
+    for k in range(1, order + 1):
+        at, keys = _ngram_keys(tokens, bounds, k)
+        keys, number = _distinct(keys)
+        counts = np.bincount(number[train[at]], minlength=len(keys))
+        cuts = np.searchsorted(keys, (np.arange(buckets + 1, dtype=U64) << U64(32)) // U64(buckets) << U64(32))
+        cuts[-1] = len(keys)
+        for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if low < high or k == 1:
+                part = keys[low:high]
+                rows.append((b, k, int(part[:1].view(np.int64).sum()), *_steps(part), _planes(counts[low:high])))
+    columns = dict(zip(["bucket", "n", "start", "low", "high", "counts"], map(list, zip(*rows, strict=True)), strict=True))
+    return pa.table({"block": np.full(len(rows), block["block"][0].as_py()), **columns})
 
 
 def _answers(bucket: pa.Table) -> pa.Table:
-    """To each block the corpus counts of the n-grams it has asked for, in their order."""
-    steps = [_from_planes(x, U64) for x in bucket["steps"].to_pylist()]
-    starts = bucket["start"].to_numpy().view(U64)
-    keys = np.concatenate([np.cumsum(x, dtype=U64) + a for x, a in zip(steps, starts, strict=True)])
-    counts = np.concatenate([_from_planes(x, np.uint32) for x in bucket["counts"].to_pylist()])
-    by = np.argsort(keys)
-    keys = keys[by]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    sums = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(new))
-    totals = np.empty(len(by), np.int64)
-    totals[by] = sums[np.cumsum(new) - 1]
-    pack, out, at = zstandard.ZstdCompressor(level=1).compress, [], 0
-    for x in steps:
-        mine = totals[at : at + len(x)]
-        at += len(x)
-        mine = mine.astype(np.min_scalar_type(mine.max()))
-        out.append(bytes([mine.itemsize]) + pack(mine.view(np.uint8).reshape(len(mine), mine.itemsize).T.tobytes()))
-    return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "totals": pa.array(out, pa.binary())})
+    """To each block the corpus counts of the n-grams it has asked for, in their order; tokens and types of this bucket."""
+    messages = zip(*(bucket[c].to_pylist() for c in ("start", "low", "high")), strict=True)
+    keys = [_from_steps(start & 2**64 - 1, low, high) for start, low, high in messages]
+    sizes = np.array([len(x) for x in keys])
+    ends = np.cumsum(sizes)
+    keys, number = _distinct(np.concatenate(keys))
+    counts = np.concatenate([_from_planes(x) for x in bucket["counts"].to_pylist()])
+    sums = np.bincount(number, weights=counts, minlength=len(keys)).astype(np.int64)
+    words = np.unique(number[np.repeat(bucket["n"].to_numpy() == 1, sizes)])
+    out = [_planes(sums[number[end - n : end]]) for n, end in zip(sizes, ends, strict=True)]
+    of_all = lambda x: np.full(len(out), x, np.int64)
+    return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "n": bucket["n"], "totals": pa.array(out, pa.binary()), "tokens": of_all(sums[words].sum()), "types": of_all((sums[words] > 0).sum())})
 
 
 class Automaton:
-    """The part of the backoff automaton that the given n-grams reach. State 0 is the root, the empty history.
+    """The part of the backoff automaton that the texts' n-grams reach. State 0 is the root, the empty history.
 
-    ``totals`` has the corpus count of each distinct n-gram, ``places`` and ``numbers`` are as from ``_grams``.
-    Arcs lie in order of (state, token); a token is the number of its unigram.
+    ``totals[k]`` has the corpus count of each distinct (k + 1)-gram, ``places[k]`` and ``numbers[k]`` where one ends
+    and which it is. Arcs lie in order of (state, token); a token is the number of its unigram.
     """
 
-    def __init__(self, totals: np.ndarray, places: list, numbers: list, bounds: np.ndarray, n: int, v: int):
-        order, size = len(numbers), len(totals)
-        token = np.empty(bounds[-1], np.int32)
-        token[places[0]] = numbers[0]
-        self.tokens, self._width = token, size
-        end = token[bounds[1] - 1]
+    def __init__(self, totals: list, places: list, numbers: list, bounds: np.ndarray, n: int, v: int):
+        order = len(numbers)
+        self.tokens, self._width = numbers[0], len(totals[0])
+        end = self.tokens[bounds[1] - 1]
         begins = np.zeros(bounds[-1], bool)
         begins[bounds[:-1]] = True
-        seen = totals > 0
-        history = np.zeros(size, bool)
-        for x in numbers[: order - 1]:
-            history[x] = True
-        history &= seen
-        state = np.where(history, np.cumsum(history), 0)  # of each n-gram that is a history
-        states = int(history.sum()) + 1
-        self.fail = np.zeros(states, np.int64)
-        self.fail_weight = np.zeros(states)
-        self.fail_weight[1:] = np.log10(MASS / (totals[history] + MASS))
         self.unknown = np.log10(1 / (n + v + 1))
-        p = np.full(size, 1 / (n + v + 1))
-        p[numbers[0]] = (totals[numbers[0]] + 1) / (n + v + 1)
+        self.fail, self.fail_weight = [np.zeros(1, np.int32)], [np.zeros(1)]
         keys, targets, weights = [], [], []
-        shorter = np.zeros(bounds[-1], np.int32)  # the n-gram of one token less that ends at each place
-        for k, (at, x) in enumerate(zip(places, numbers, strict=True), 1):
-            source = np.zeros(len(at), np.int64)
-            suffix = shorter[at].copy()
-            if k > 1:
-                prefix = np.where(begins[at], end, shorter[at - 1])
-                source = state[prefix]
-                p[x] = (totals[x] + MASS * p[suffix]) / (totals[prefix] + MASS)
-                if k < order:
-                    self.fail[state[x]] = state[suffix]
-            to = state[x] if k < order else state[suffix] if k > 1 else source
-            live = np.flatnonzero(seen[x])
-            _, once = np.unique(x[live], return_index=True)
-            live = live[once]
-            keys.append(source[live] * size + token[at[live]])
-            targets.append(to[live])
-            weights.append(np.log10(p[x[live]]))
-            shorter[at] = x
-        self.fail[0] = 0
+        # of the n-gram of one token less that ends at each place: its state, its count, its probability after its history
+        state, seen_before, p_shorter, states = np.zeros(bounds[-1], np.int32), None, None, 1
+        for k, (total, at, x) in enumerate(zip(totals, places, numbers, strict=True), 1):
+            once = np.empty(len(total), np.int64)
+            once[x] = np.arange(len(x))
+            where = at[once]  # a place for each distinct n-gram
+            if k == 1:
+                p = (total + 1) / (n + v + 1)
+                source = np.zeros(len(total), np.int32)
+            else:
+                start = begins[where]
+                source = np.where(start, end_state, state[where - 1])
+                history = np.where(start, end_count, seen_before[where - 1])
+                p = (total + MASS * p_shorter[where]) / (history + MASS)
+            live = total > 0
+            suffix = state[where]
+            if k < order:
+                own = np.where(live, states - 1 + np.cumsum(live), 0).astype(np.int32)
+                states += int(live.sum())
+                self.fail.append(suffix[live])
+                self.fail_weight.append(np.log10(MASS / (total[live] + MASS)))
+            else:
+                own = suffix
+            keys.append(source[live].astype(np.int64) * self._width + self.tokens[where[live]])
+            targets.append(own[live])
+            weights.append(np.log10(p[live]))
+            if k < order:
+                if k == 1:
+                    end_state, end_count = own[end], total[end]
+                state[at] = own[x]
+                seen_before, p_shorter = np.zeros(bounds[-1]), np.zeros(bounds[-1])
+                seen_before[at], p_shorter[at] = total[x], p[x]
+        self.fail, self.fail_weight = np.concatenate(self.fail), np.concatenate(self.fail_weight)
         keys = np.concatenate([*keys, [np.iinfo(np.int64).max]])
         by = np.argsort(keys)
         self._arcs = keys[by]
-        self._target = np.concatenate([*targets, [0]])[by]
+        self._target = np.concatenate([*targets, [0]]).astype(np.int32)[by]
         self._weight = np.concatenate([*weights, [0.0]])[by]
-        self.start = state[end] if order > 1 else 0
+        self.start = int(end_state) if order > 1 else 0
 
     def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next states and log10-probabilities: failure arcs are followed until a state has an arc for the token."""
@@ -271,16 +270,28 @@ class Automaton:
         return np.bincount(text[by], weights=score, minlength=len(counts))
 
 
-def _scores(block: pa.Table, answers: pa.Table, order: int, n: int, v: int) -> pa.Table:
+def _scores(block: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     docs = _unpack(block)
     tokens, bounds = _token_stream(docs["text"].to_pylist())
-    keys, places, numbers = _grams(tokens, bounds, order)
-    mine = answers.sort_by("bucket")["totals"].to_pylist()
-    totals = np.concatenate([_from_planes(x[1:], f"<u{x[0]}").astype(np.float64) for x in mine])
-    if len(totals) != len(keys):
-        raise ValueError("the answers do not fit the block")
+    answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
+    of_order = answers["n"].to_numpy()
+    words = answers.slice(0, int((of_order == 1).sum()))
+    n, v = (int(words[c].to_numpy().sum()) for c in ("tokens", "types"))
+    packed = answers["totals"].to_pylist()
+    totals, places, numbers = [], [], []
+    for k in range(1, order + 1):
+        at, keys = _ngram_keys(tokens, bounds, k)
+        keys, number = _distinct(keys)
+        total = np.concatenate([_from_planes(packed[i]).astype(np.float64) for i in np.flatnonzero(of_order == k)])
+        if len(total) != len(keys):
+            raise ValueError("the answers do not fit the block")
+        totals.append(total)
+        places.append(at)
+        numbers.append(number)
+    del packed, answers, keys
     automaton = Automaton(totals, places, numbers, bounds, n, v)
-    known = totals[automaton.tokens]
+    known = totals[0][numbers[0]]
+    del totals, places, numbers
     return pa.table(
         {
             "doc_id": docs["doc_id"],
@@ -310,13 +321,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % HELD_OUT_OF == HELD_OUT).alias("held_out"),
     )
-    words = base.select("text", "held_out").mapInArrow(_word_counts, "key long, n long, size long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    n, v, size = (x or 0 for x in words.agg(F.sum("n"), F.count("key"), F.sum("size")).first())
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = size * order // 5 // BUCKET_KEYS + 1
     blocks = base.mapInArrow(_pack, "block long, packed binary")
-    requests = blocks.groupBy("block").applyInArrow(lambda t: _requests(t, buckets, order), "block long, bucket long, start long, steps binary, counts binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, totals binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order, n, v), SCORES)
+    requests = blocks.groupBy("block").applyInArrow(lambda t: _requests(t, buckets, order), "block long, bucket long, n long, start long, low binary, high binary, counts binary")
+    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, n long, totals binary, tokens long, types long")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order), SCORES)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -73,12 +73,11 @@ def test_worker_needs_no_other_imports():
     code = (
         "import pyarrow as pa, zstandard; from unittest import mock; from maskora.llm import lm_scoring as m\n"
         "b = pa.record_batch({'doc_id': [1, 2], 'text': ['a b c', 'a b d'], 'held_out': [False, True]})\n"
-        "list(m._word_counts([b]))\n"
         "with mock.patch.object(m, 'TaskContext') as t:\n"
         "    t.get.return_value.partitionId.return_value = 0\n"
         "    block = pa.Table.from_batches(m._pack([b]))\n"
         "answers = m._answers(m._requests(block, 1, 3))\n"
-        "print(m._scores(block, answers, 3, 4, 4).num_rows)"
+        "print(m._scores(block, answers, 3).num_rows)"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False)
     assert out.stdout.strip() == "2", out.stderr
