@@ -1,29 +1,28 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class. A class has COORDINATES minwise tokens; each of TREES trees
-branches its documents by BRANCH chosen coordinates, and each node below by DEEPER more; a node holds the
-documents that agree on the tokens chosen on its path. A node of at most LEAF documents is compared
-exhaustively; a larger one is compared with PIVOTS of its documents and branches on.
-
-Recall. Two documents of similarity s share a chosen coordinate with probability s, so they part in all first
-branches with (1 - s)^(TREES * BRANCH), 4e-9 at 0.8. Below, a common node has 2 s common children on average, so
-the two stay together to any depth with probability 0.93 in a tree at 0.8, and lose each other in all trees,
-which choose different coordinates, with about 3e-5. A class must share MIN_SHARED of its first coordinates with
-others to go on (a partner of similarity 0.8 shares fewer with probability 6e-5). Sketches of SKETCH four-bit
-minwise values discard pairs that look less alike than 0.65, 4.1 standard deviations below 0.8. What is left is
-confirmed on full sets, so no false link is made.
-
-Pivots. The first pivot of a node is its most typical document, the one whose minwise tokens are the commonest in
-the corpus. Copies differ from each other twice as much as from what they were copied from, so a group is linked
-through its original (or the copy nearest to it) in one comparison each, where a copy taken at random would leave
-most of it to be compared pair by pair.
-
-Large groups. Only components are asked for, so pairs whose ends are already in one component are not looked
-at. A document of a larger node leaves it if it is in the component of a pivot and so like the pivot that, by
-the triangle inequality of Jaccard distance, no document of another component in the node can be linked to it;
-a node whose documents are all in one component is done. A group of n near copies thus costs about n
-comparisons for each tree, not n squared. Every pass takes the pivots out of each large node, so the passes
-end whatever the data are.
+branches it by the tokens of two chosen coordinates, each branch by two others, and those by two others again; the
+coordinates depend on the path. A node holds the classes that agree on all tokens of its path.
+
+A node is compared in two passes. In the first, SKETCH four-bit minwise values are compared: each member with all
+members before it, in a node of more than LEAF with the LEADERS first ones; the most typical members come first, those
+whose tokens are commonest, so the copies of one original are hung on it. A member is linked with one partner at
+most, the first that is surely alike or else the most alike; these links are confirmed on full sets and give
+components. The second pass looks only at nodes that hold several components. Every link that is still to be found
+has an end outside the node's largest component, so the members outside it, the strangers, are compared with all
+members, exhaustively and on the sets themselves; a member is linked with one member of each other component. Where
+more than LEAF strangers meet, the node branches on by DEEPER more coordinates, and both passes run on the new nodes;
+where no coordinate is left, the strangers are compared a block of LEAF at a time.
+
+So a group of n near copies costs about n links for each node, not n squared, and the rows that Spark moves are
+members and links, never all pairs. A node of more than PART members is dealt to several tasks: each gets the
+node's first member (pass one) or all its strangers (pass two) and a share of the others.
+
+Recall. Two documents of similarity s share no path of a tree with probability 1 - q, q = 1 - (1 - s q2)^2, q2 =
+1 - (1 - s q3)^2, q3 = 1 - (1 - s)^2: 0.059 at 0.8, so 1.2e-5 in all TREES. A class must share MIN_SHARED of its first
+coordinates with others to go on (a partner of similarity 0.8 shares fewer with probability 6e-5). Sketches discard
+pairs that look less alike than 0.65, 4.1 standard deviations below 0.8. What is left is confirmed on full sets,
+so no false link is made.
 """
 
 from __future__ import annotations
@@ -39,19 +38,24 @@ from .shared import written
 from .words import U64, mix64, odd_constants, pieces, word_hashes
 
 SHINGLE, PERCENT = 5, 80
-TREES, BRANCH, DEEPER, COORDINATES, LEAF, MIN_SHARED = 4, 3, 2, 64, 1024, 4
+TREES, COORDINATES, DEEPER = 4, 80, 3
+#: Coordinates of a tree: two of the first depth, two below each, and two below each of those.
+_TREE = 14
+_PATHS = [(i, 2 + 2 * i + j, 6 + 4 * i + 2 * j + k) for i in range(2) for j in range(2) for k in range(2)]
+FIRST, MIN_SHARED = 12, 4
+#: Members that are compared exhaustively, first members of a larger node that the others are compared with, members for a task.
+LEAF, LEADERS, PART = 1024, 64, 8192
 SKETCH = 128
-#: Of the SKETCH four-bit values: equal ones at a similarity of about 0.65, for a link, and 0.49, to know a pivot's distance.
-LINK_EQUAL, PIVOT_EQUAL = 86, 66
-#: Documents of a larger node that the others are compared with; what was not compared on full sets counts as this alike.
-PIVOTS, UNSEEN = 3, 0.5
-_FIRST = TREES * BRANCH
+#: Of the SKETCH four-bit values: equal ones at a similarity of about 0.65, for a link, and of 0.8, for a sure one.
+LINK_EQUAL, SURE_EQUAL = 86, 104
 #: At most so many eight-byte ids are broadcast to pick out the texts that may have a link.
 BROADCAST_IDS = 2_000_000
+#: Pairs whose sketches a task compares at a time.
+_PAIRS = 1 << 18
 _LONGS = SKETCH // 16
 _S = [f"s{q}" for q in range(_LONGS)]
 _XOR, _TIMES = odd_constants(101, SKETCH).astype(np.uint32), odd_constants(202, SKETCH).astype(np.uint32) | np.uint32(1)
-_NIBBLES = 0x1111111111111111
+_NIBBLES = U64(0x1111111111111111)
 
 
 def shingle_sets(texts: list, words: int):
@@ -84,6 +88,10 @@ def _minwise(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _set_key(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
 def _sketches(batches, words: int):
     for b in batches:
         ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
@@ -98,12 +106,13 @@ def _sketches(batches, words: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[i:j], pa.int64()),
+                    b["text_key"][i:j],
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    pa.array([_set_key(s) for s in sets], pa.binary()),
                     pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(coords[:, :COORDINATES]).view(np.int32).ravel()), COORDINATES).cast(pa.list_(pa.int32())),
                     *(pa.array(np.ascontiguousarray(packed[:, q])) for q in range(_LONGS)),
                 ],
-                ["doc_id", "n_shingles", "set_key", "coords", *_S],
+                ["doc_id", "text_key", "n_shingles", "set_key", "coords", *_S],
             )
 
 
@@ -111,8 +120,15 @@ def _full_sets(batches, words: int):
     for b in batches:
         texts = b["text"].to_pylist()
         for i, j in pieces(texts):
-            sets = [s.tobytes() for s in shingle_sets(texts[i:j], words)]
-            yield pa.RecordBatch.from_arrays([b["rep"][i:j], pa.array(sets, pa.binary())], ["rep", "members"])
+            sets = list(shingle_sets(texts[i:j], words))
+            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
+
+
+def _prints(batches):
+    """Sets in four bytes a shingle; equal halves of different shingles can only add to an overlap."""
+    for b in batches:
+        halves = [np.sort(np.frombuffer(x.as_buffer(), U64).astype(np.uint32)).tobytes() for x in b["members"]]
+        yield pa.RecordBatch.from_arrays([b["cls"], pa.array(halves, pa.binary())], ["cls", "prints"])
 
 
 def _overlaps(batches):
@@ -126,123 +142,266 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([b["a"], b["b"], pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
 
-def _equal_values(a: str, b: str) -> Column:
-    """How many of the SKETCH values of the rows ``a`` and ``b`` are equal."""
-    differ = F.lit(0)
-    for q in range(_LONGS):
-        x = F.col(f"{a}.s{q}").bitwiseXOR(F.col(f"{b}.s{q}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(_NIBBLES)))
-    return F.lit(SKETCH) - differ
+def _column(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b[name].to_numpy(zero_copy_only=False)
+
+
+def _equal_values(sketches: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many of the SKETCH values of the rows ``x`` and ``y`` are equal."""
+    d = sketches[x] ^ sketches[y]
+    d |= d >> U64(1)
+    d |= d >> U64(2)
+    return SKETCH - np.bitwise_count(d & _NIBBLES).sum(axis=1, dtype=np.int64)
+
+
+def _chunks(counts: np.ndarray, most: int):
+    """Ranges of rows whose counts add up to ``most`` about."""
+    ends = np.cumsum(counts)
+    a = 0
+    while a < len(counts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def _first_links(batches, percent: int, leaf: int, leaders_of_large: int):
+    """Pass one over rows that come node by node, first members first: the members that have a partner, each with one at most.
+
+    All that is carried from batch to batch are the first members of the node that is not ended.
+    """
+    names = ["part", "node", "cls", "n_shingles", "size"]
+    carried, had = None, 0  # the open node's first members, and how many members it has had
+    for b in batches:
+        rows = {c: _column(b, c) for c in names} | {"sketch": np.stack([_column(b, c) for c in _S], axis=1).view(U64)}
+        kept = 0
+        if carried is not None and len(rows["part"]) and carried["part"][0] == rows["part"][0]:
+            kept = len(carried["part"])
+            rows = {c: np.concatenate([carried[c], rows[c]]) for c in rows}
+        else:
+            had = 0
+        n = len(rows["part"])
+        if n == kept:
+            continue
+        first = np.flatnonzero(np.concatenate([[True], rows["part"][1:] != rows["part"][:-1]]))
+        begin = np.repeat(first, np.diff(np.append(first, n)))
+        large = rows["size"] > leaf
+        leaders = np.minimum(np.arange(n) - begin, np.where(large, leaders_of_large, leaf))
+        leaders[:kept] = 0
+        partner, wanted = np.full(n, -1), large.copy()
+        wanted[:kept] = False
+        for a, e in _chunks(leaders, _PAIRS):
+            count = leaders[a:e]
+            row = np.repeat(np.arange(a, e), count)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            other = begin[row] + nth
+            equal = _equal_values(rows["sketch"], row, other)
+            small, big = np.minimum(rows["n_shingles"][row], rows["n_shingles"][other]), np.maximum(rows["n_shingles"][row], rows["n_shingles"][other])
+            ok = np.flatnonzero((equal >= LINK_EQUAL) & (100 * small >= percent * big))
+            if not len(ok):
+                continue
+            row, other, nth, equal = row[ok], other[ok], nth[ok], equal[ok]
+            wanted[row] = wanted[other] = True
+            rank = np.where(equal >= SURE_EQUAL, SKETCH + 1, equal) * 2 * leaf - nth
+            by = np.lexsort((rank, row))
+            last = by[np.append(row[by][1:] != row[by][:-1], True)]
+            partner[row[last]] = other[last]
+        out = np.flatnonzero(wanted)
+        best = rows["cls"][partner[out]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows["node"][out]), pa.array(rows["cls"][out]), pa.array(rows["size"][out]), pa.array(best, mask=partner[out] < 0)], ["node", "cls", "size", "best"]
+        )
+        open_from = first[-1]
+        most = leaders_of_large if large[-1] else leaf
+        carried = {c: x[open_from : open_from + most].copy() for c, x in rows.items()}
+
+
+class _Strangers:
+    """The strangers of a node with their sets as postings, and what meets them."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.prints, self.component, self.cls = [], [], []
+        self._ready = False
+
+    def add(self, prints, component, cls):
+        self.prints.append(prints)
+        self.component.append(component)
+        self.cls.append(cls)
+
+    def _index(self):
+        flat = np.concatenate(self.prints)
+        self.sizes = np.array([len(p) for p in self.prints])
+        by = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(self.prints)), self.sizes)[by]
+        self.keys, first = np.unique(flat[by], return_index=True)
+        self.first = np.append(first, len(flat))
+        self.components = np.array(self.component)
+        self._ready = True
+
+    def links(self, prints, component) -> np.ndarray:
+        """For each other component the first stranger in it that is alike."""
+        if not self._ready:
+            self._index()
+        at = np.searchsorted(self.keys, prints)
+        at[at == len(self.keys)] = 0
+        at = at[self.keys[at] == prints]
+        count = self.first[at + 1] - self.first[at]
+        places = np.repeat(self.first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        common = np.bincount(self.owner[places], minlength=len(self.sizes))
+        alike = np.flatnonzero((100 * common >= self.percent * (self.sizes + len(prints) - common)) & (self.components != component))
+        return alike[np.unique(self.components[alike], return_index=True)[1]]
+
+
+def _cross_links(batches, percent: int):
+    """Pass two over rows that come node by node, strangers first: links ``(a, b)`` between components.
+
+    What is held are the open node's strangers, LEAF at most. A stranger meets the strangers from the first row of a
+    follower on, so strangers of one part meet each other there as well.
+    """
+    part, strangers, early = None, None, []
+    for b in batches:
+        a_side, b_side = [], []
+
+        def meet(cls, prints, component, a_side=a_side, b_side=b_side):
+            for i in strangers.links(prints, component):  # noqa: B023
+                a_side.append(cls)
+                b_side.append(strangers.cls[i])  # noqa: B023
+
+        parts, leads, cls, component = (_column(b, c) for c in ("part", "lead", "cls", "component"))
+        for k, x in enumerate(b["prints"]):
+            prints = np.frombuffer(x.as_buffer(), np.uint32)
+            if parts[k] != part:
+                part, strangers = parts[k], _Strangers(percent)
+            if leads[k]:
+                strangers.add(prints, component[k], cls[k])
+            elif strangers.cls:
+                meet(cls[k], prints, component[k])
+        yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], ["a", "b"])
 
 
 class _Join:
-    """The tables of one run: ``reps`` (a row for each class), ``sets`` (of the classes that may have links)."""
+    """The tables of one run: ``active`` (classes that may have links, with tokens and sketch) and ``sets`` (theirs)."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
-        self.percent = percent
-        self.docs = docs
+        self.percent, self.words, self.docs = percent, words, docs
         sketches = docs.mapInArrow(
             lambda it: _sketches(it, words),
-            "doc_id long, n_shingles long, set_key binary, coords array<int>, " + ", ".join(f"{c} long" for c in _S),
+            "doc_id long, text_key long, n_shingles long, set_key binary, coords array<int>, " + ", ".join(f"{c} long" for c in _S),
         )
         self.sketches = written(sketches, "sketches")
         named = self.sketches.filter("doc_id is not null and n_shingles > 0")
-        first = F.min(F.struct("doc_id", "coords", F.struct(*_S).alias("sketch"))).alias("first")
+        first = F.min(F.struct("doc_id", "n_shingles", "coords", *_S)).alias("first")
         classes = named.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"))
-        self.reps = written(classes.select("set_key", "copies", F.col("first.doc_id").alias("rep"), "first.coords", "first.sketch"), "classes")
-        self.classes = self.reps.select("set_key", "copies", "rep")
+        # the written number tells classes apart, even those of one doc_id with several texts
+        self.classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "copies", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.coords", *(f"first.{c}" for c in _S)), "classes")
         self.links = None
-        self.words = words
-
-    def _node(self, *parts) -> Column:
-        return F.xxhash64(*parts)
-
-    def first_members(self) -> DataFrame:
-        """Members of the first branches that are shared, of classes that share enough of them."""
-        picks = self.reps.select("rep", "sketch", F.posexplode(F.slice("coords", 1, _FIRST)).alias("pick", "token"))
-        nodes = picks.select(self._node("pick", "token").alias("node"), F.floor(F.col("pick") / BRANCH).cast("int").alias("tree"), "rep", "sketch")
-        common = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
-        shared = written(nodes.join(common, "node", "left_semi"), "first-nodes")
-        active = shared.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {MIN_SHARED}").select("rep")
-        active = written(active, "active")
-        few = active.count() <= BROADCAST_IDS  # else a join by id, which moves the texts once
-        texts = self.docs.withColumnRenamed("doc_id", "rep").join(F.broadcast(active) if few else active, "rep", "left_semi")
+
+    def find_active(self) -> None:
+        picks = self.classes.select("cls", F.posexplode(F.slice("coords", 1, FIRST)).alias("pick", "token"))
+        common = picks.groupBy("pick", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = picks.join(common, ["pick", "token"]).groupBy("cls").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.log2("n")).cast("float").alias("typical"))
+        active = shared.filter(F.col("shared") >= MIN_SHARED).select("cls", "typical")
+        self.active = written(self.classes.join(active, "cls"), "active")
+        ids = self.active.select(F.col("rep").alias("doc_id")).distinct()
+        few = self.active.count() <= BROADCAST_IDS  # else a join by id, which moves the texts once
+        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
         words = self.words
-        sets = texts.mapInArrow(lambda it: _full_sets(it, words), "rep long, members binary")
-        self.sets = written(sets.dropDuplicates(["rep"]), "sets")
-        return shared.join(written(self.typicality(active), "typical"), "rep")
-
-    def typicality(self, active: DataFrame) -> DataFrame:
-        """``(rep, typical)``: the logarithms of how many active classes have each of its tokens, summed."""
-        tokens = self.reps.join(active, "rep", "left_semi").select("rep", F.posexplode("coords").alias("pick", "token"))
-        common = tokens.groupBy("pick", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        return tokens.join(common, ["pick", "token"]).groupBy("rep").agg(F.sum(F.log2("n").cast("float")).cast("float").alias("typical"))
-
-    def with_pivots(self, nodes: DataFrame) -> DataFrame:
-        """Members of nodes of two or more, with the node's size and its pivots: one, or PIVOTS in a larger node."""
-        # chosen by the document alone, so a group has the same pivots in most of its nodes
-        first = F.struct((-F.col("typical")).alias("h"), "rep", "sketch")
-        picks = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), "rep", "sketch") if k else first).alias(f"p{k}") for k in range(PIVOTS)]
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), *picks).filter("n > 1")
-        rows = nodes.join(sizes, "node")
-        large = F.col("n") > LEAF
-        for k in range(PIVOTS):
-            equal = _equal_values("sketch", f"p{k}.sketch")
-            near = (F.col("rep") != F.col(f"p{k}.rep")) & (equal >= F.when(large, PIVOT_EQUAL).otherwise(LINK_EQUAL))
-            rows = rows.withColumn(f"near{k}", near & large if k else near)
-        pivots = F.array(*(F.struct(F.col(f"p{k}.rep").alias("pivot"), F.col(f"near{k}").alias("near")) for k in range(PIVOTS)))
-        rows = rows.withColumn("pivots", F.when(large, pivots).otherwise(F.slice(pivots, 1, 1)))
-        return rows.select("node", "tree", "rep", "sketch", "typical", "n", "pivots")
+        sets = texts.mapInArrow(lambda it: _full_sets(it, words), "set_key binary, members binary").dropDuplicates(["set_key"])
+        self.sets = written(sets.join(self.active.select("set_key", "cls"), "set_key").select("cls", "members"), "sets")
+
+    def first_nodes(self) -> DataFrame:
+        tokens = F.col("coords")
+        node = [F.xxhash64(F.lit(t * len(_PATHS) + k), *(tokens[t * _TREE + c] for c in path)) for t in range(TREES) for k, path in enumerate(_PATHS)]
+        return self.active.select(F.explode(F.array(*node)).alias("node"), "cls", "n_shingles", "typical", *_S)
+
+    def sized(self, nodes: DataFrame) -> DataFrame:
+        """Members of nodes of two or more, dealt to parts; each part of a large node starts with the node's first member."""
+        member = ["cls", "n_shingles", "typical", *_S]
+        first = F.min(F.struct((-F.col("typical")).alias("order"), *member)).alias("first")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1")
+        parts = F.ceil(F.col("size") / PART).cast("int")
+        salted = F.when(F.col("size") > PART, F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts).cast("int"))).otherwise(F.col("node"))
+        rows = nodes.join(sizes.select("node", "size"), "node").select(salted.alias("part"), "node", "size", *member)
+        heads = sizes.filter(f"size > {PART}").select("node", "size", "first.*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        heads = heads.select(F.xxhash64("node", "salt").alias("part"), "node", "size", *member)
+        return rows.unionByName(heads)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """``(a, b, common, total)`` of the full sets, for distinct pairs with a < b."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        x, y = self.sets.select(F.col("rep").alias("a"), F.col("members").alias("left")), self.sets.select(F.col("rep").alias("b"), F.col("members").alias("right"))
-        sims = written(pairs.join(x, "a").join(y, "b").mapInArrow(_overlaps, "a long, b long, common long, total long"), "similarities")
-        links = sims.filter(f"100 * common >= {self.percent} * total").select("a", "b")
-        self.links = links if self.links is None else self.links.unionByName(links)
-        return sims
-
-    def labelled(self, members: DataFrame, components: DataFrame) -> DataFrame:
-        """With each member's component so far."""
-        c = components.select(F.col("id").alias("rep"), "component")
-        return members.join(c, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-
-    def level(self, nodes: DataFrame, depth: int) -> DataFrame:
-        """One pass over the nodes of a depth; returns the nodes of the next."""
-        members = written(self.with_pivots(nodes), "members")
-        near = members.select("rep", F.explode(F.filter("pivots", lambda p: p["near"])).alias("p"))
-        sims = self.confirm(near.select(F.col("rep").alias("a"), F.col("p.pivot").alias("b")))
-        components = written(connected_components(self.links), "components")
-        own = F.exists("pivots", lambda p: p["pivot"] == F.col("rep"))
-        rest = written(self.labelled(members.filter(~own), components), "rest")
-        small = rest.filter(f"n <= {LEAF}").select("node", "rep", "component", "sketch.*")
-        a, b = small.alias("a"), small.alias("b")
-        close = (F.col("a.node") == F.col("b.node")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component"))
-        pairs = a.join(b, close & (_equal_values("a", "b") >= LINK_EQUAL)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        self.confirm(pairs)
-        return self.branch(rest.filter(f"n > {LEAF}"), sims, components, depth)
-
-    def branch(self, large: DataFrame, sims: DataFrame, components: DataFrame, depth: int) -> DataFrame:
-        """Members of large nodes that may still have a link, dealt to the next depth's nodes."""
-        names = components.select(F.col("id").alias("pivot"), F.col("component").alias("pivot_component"))
-        alike = sims.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), (F.col("common") / F.col("total")).alias("like"))
-        alike = alike.unionByName(sims.select(F.col("b").alias("rep"), F.col("a").alias("pivot"), (F.col("common") / F.col("total")).alias("like")))
-        rows = large.select("node", "rep", "component", F.explode("pivots.pivot").alias("pivot")).join(names, "pivot", "left").join(alike, ["rep", "pivot"], "left")
-        rows = written(rows.select("node", "rep", "pivot", "like", (F.col("component") != F.coalesce("pivot_component", "pivot")).alias("other")), "large-nodes")
-        others = F.max(F.when(F.col("other"), F.coalesce("like", F.lit(UNSEEN))))
-        nearest = rows.groupBy("node", "pivot").agg(F.greatest(others, F.lit(UNSEEN)).alias("nearest"), F.max("other").alias("open"))
-        leave = rows.filter("not other").join(nearest, ["node", "pivot"]).filter(f"not open or like > nearest + {1 - self.percent / 100}").select("node", "rep").distinct()
-        kept = large.join(leave, ["node", "rep"], "left_anti").select("node", "tree", "rep", "sketch", "typical")
-        depths = (COORDINATES - _FIRST) // DEEPER // TREES
-        if depth > depths * TREES:  # each coordinate has been chosen on the path
-            return kept
-        turn = (depth - 1) // depths
-        at = _FIRST + (((depth - 1) % depths) * TREES + F.pmod(F.col("tree") + turn, F.lit(TREES))) * DEEPER
-        picks = kept.join(self.reps.select("rep", "coords"), "rep").select("node", "tree", "rep", "sketch", "typical", F.posexplode(F.slice("coords", at.cast("int") + 1, F.lit(DEEPER))).alias("pick", "token"))
-        return picks.select(self._node("node", "pick", "token").alias("node"), "tree", "rep", "sketch", "typical")
+        """The links ``(a, b)`` among the pairs, by their full sets."""
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        x, y = self.sets.select(F.col("cls").alias("a"), F.col("members").alias("left")), self.sets.select(F.col("cls").alias("b"), F.col("members").alias("right"))
+        overlaps = pairs.join(x, "a").join(y, "b").mapInArrow(_overlaps, "a long, b long, common long, total long")
+        return written(overlaps.filter(f"100 * common >= {self.percent} * total").select("a", "b"), "links")
+
+    def level(self, nodes: DataFrame, depth: int) -> DataFrame | None:
+        """Both passes over the nodes of a depth; returns the nodes of the next, if there are any."""
+        percent, leaf, leaders = self.percent, LEAF, LEADERS
+        rows = self.sized(nodes).repartition("part").sortWithinPartitions("part", F.desc("typical"), "cls")
+        found = written(rows.mapInArrow(lambda it: _first_links(it, percent, leaf, leaders), "node long, cls long, size long, best long"), "members")
+        links = self.confirm(found.filter("best is not null").select(F.col("cls").alias("a"), F.col("best").alias("b")))
+        # links of one pass are enough as stars: what they join stays joined
+        joined = links if self.links is None else self.links.unionByName(links)
+        components = written(connected_components(joined), "components")
+        stars = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        members = found.select("node", "cls").distinct().join(components.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        members = written(members, "labelled")
+        by_component = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
+        largest = F.max(F.struct("n", "component"))
+        mixed = by_component.groupBy("node").agg(F.sum("n").alias("size"), largest["component"].alias("largest"), (F.sum("n") - largest["n"]).alias("strangers")).filter("strangers > 0")
+        mixed = members.join(mixed, "node").withColumn("stranger", F.col("component") != F.col("largest")).drop("largest")
+        mixed = written(mixed, "mixed")
+        last = FIRST_DEEPER + (depth + 1) * DEEPER > COORDINATES
+        crossing = self.cross(mixed if last else mixed.filter(f"strangers <= {LEAF}"))
+        self.links = stars.unionByName(self.confirm(crossing))
+        large = mixed.filter(f"strangers > {LEAF}").select("node", "cls")
+        if last or large.isEmpty():
+            return None
+        picked = large.join(self.active, "cls").select("node", "cls", "n_shingles", "typical", *_S, F.posexplode(F.slice("coords", FIRST_DEEPER + depth * DEEPER + 1, DEEPER)).alias("pick", "token"))
+        return picked.withColumn("node", F.xxhash64("node", "pick", "token")).select("node", "cls", "n_shingles", "typical", *_S)
+
+    def cross(self, mixed: DataFrame) -> DataFrame:
+        """Links between a node's components: every stranger with every member, a part and a block of strangers at a time."""
+        parts, blocks = F.ceil(F.col("size") / PART).cast("int"), F.ceil(F.col("strangers") / LEAF).cast("int")
+        all_blocks = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+        all_parts = F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt")
+        block_of, salt_of = F.pmod(F.xxhash64("cls", F.lit(7)), blocks).cast("int"), F.pmod(F.xxhash64("cls"), parts).cast("int")
+        meets = mixed.select("node", "cls", "component", F.lit(False).alias("lead"), salt_of.alias("salt"), all_blocks)
+        leads = mixed.filter("stranger").select("node", "cls", "component", F.lit(True).alias("lead"), block_of.alias("block"), all_parts)
+        rows = meets.unionByName(leads).select(F.xxhash64("node", "salt", "block").alias("part"), "cls", "component", "lead")
+        percent = self.percent
+        prints = self.sets.mapInArrow(_prints, "cls long, prints binary")
+        rows = rows.join(prints, "cls").repartition("part").sortWithinPartitions("part", F.desc("lead"), "cls")
+        return rows.mapInArrow(lambda it: _cross_links(it, percent), "a long, b long")
+
+    def components(self) -> DataFrame:
+        """``(cls, component_id)``: the smallest doc_id of each class's component, for classes that are linked."""
+        found = written(connected_components(self.links), "components").withColumnRenamed("id", "cls")
+        found = found.join(self.active.select("cls", "rep"), "cls")
+        return found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component_id")
+
+
+#: Coordinates from here on are for the depths below the trees'.
+FIRST_DEEPER = TREES * _TREE
+
+
+def _verdicts(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    run = _Join(base, words, percent)
+    run.find_active()
+    nodes, depth = run.first_nodes(), 0
+    while nodes is not None:
+        nodes = run.level(nodes, depth)
+        depth += 1
+    whole = run.classes.select("cls", "set_key", "copies", "rep").join(run.components(), "cls", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    changed = whole.filter("copies > 1 or component_id != rep").select("set_key", "component_id")
+    return run.sketches.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(changed, "set_key", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
+        "text_key",
+    )
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,31 +411,17 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     linked when 100 * intersection >= ``percent`` * union; component_id is the smallest doc_id reachable, and
     the row that has it is kept. Null and wordless texts have no shingles and are linked with nothing, as are
     rows without doc_id, which stay. Rows repeated with a doc_id and text have one verdict; where one doc_id has
-    several texts, the texts stand for one document and are linked as such. Other columns are not read.
+    several texts, each text is linked as its own set says. Very long texts are read a piece at a time and their
+    sets are held whole. Other columns are not read.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    run = _Join(base, words, percent)
-    nodes, depth = run.first_members(), 1
-    while True:
-        nodes = written(run.level(nodes, depth), "nodes")
-        depth += 1
-        if nodes.isEmpty():
-            break
-    components = connected_components(run.links)
-    whole = run.classes.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    changed = whole.filter("copies > 1 or component_id != rep").select("set_key", "component_id")
-    return run.sketches.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(changed, "set_key", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-        F.coalesce(F.col("doc_id") == F.coalesce("component_id", "doc_id"), F.lit(True)).alias("kept"),
-    )
+    return _verdicts(docs, words, percent, id_col, text_col).drop("text_key")
 
 
 def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept."""
-    kept = near_duplicates(docs, words, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` that are kept. A row is known by its doc_id and text: of one doc_id with several texts, those that are kept stay."""
+    kept = _verdicts(docs, words, percent, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_key").alias("_kept_text")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == kept["_kept_text"])
+    return docs.join(kept, same, "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

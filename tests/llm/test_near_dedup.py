@@ -78,13 +78,36 @@ def groups(seed):
     return rows
 
 
-@pytest.mark.parametrize("leaf,words", [(1024, 4), (16, 5)])
-def test_components_equal_brute_force(spark, monkeypatch, leaf, words):
-    monkeypatch.setattr(near_dedup, "LEAF", leaf)
+@pytest.mark.parametrize("leaf,leaders,part,words", [(1024, 64, 8192, 4), (16, 4, 40, 5), (3, 2, 7, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, leaf, leaders, part, words):
+    """With small limits nodes branch on, are dealt to several tasks, and strangers come in blocks."""
+    for name, value in {"LEAF": leaf, "LEADERS": leaders, "PART": part}.items():
+        monkeypatch.setattr(near_dedup, name, value)
     rows = [*awkward_docs(), *groups(leaf + words)]
     assert found(near_dedup.near_duplicates(docs_frame(spark, rows), words)) == brute(rows, words)
 
 
+def test_last_depth_compares_blocks_of_strangers(spark, monkeypatch):
+    """No coordinate is left below the trees, so more strangers than a block holds are met block by block."""
+    monkeypatch.setattr(near_dedup, "COORDINATES", near_dedup.FIRST_DEEPER)
+    for name, value in {"LEAF": 3, "LEADERS": 2, "PART": 7}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(100)]
+    rows = [(i, edited(base, rng, 3 + i % 9)) for i in range(150)]
+    assert found(near_dedup.near_duplicates(docs_frame(spark, rows), 4)) == brute(rows, 4)
+
+
+def test_one_doc_id_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "pq")
+    rows = [(1, " ".join(a)), (2, edited(a, rng, 1)), (2, " ".join(b)), (3, edited(b, rng, 1)), (None, " ".join(b))]
+    got = near_dedup.near_duplicates(docs_frame(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1), (2, 1), (2, 2), (3, 2), (None, None)], key=repr)
+    kept = near_dedup.one_of_each(docs_frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([rows[0], rows[2], rows[4]], key=repr)
+
+
 def test_empty_table(spark):
     assert found(near_dedup.near_duplicates(docs_frame(spark, []))) == []
 
