@@ -8,42 +8,68 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from itertools import islice
 
 _CUT = re.compile(r" (?=\S)")
 
 
 class ChunkMemo:
-    """``encode_many`` maps a list of strings to the bytes of their ids.
+    """``encode_many`` maps a list of strings to the bytes of their ids; ``encode_chunks`` does so for chunks, which
+    start with a space and a non-space.
 
-    At ``limit`` chunks the memo forgets those that have come in one piece of text only (and all, if those that
-    came again fill half of it), so a worker's memory is bounded; results do not depend on it.
+    The memo has two halves. A chunk that is looked up goes into the young half; when that holds ``limit`` bytes, it
+    becomes the old half and what was old and not looked up since is forgotten. So a worker's memory is bounded,
+    whatever the texts hold; a chunk longer than ``longest`` is never kept. Results do not depend on any of this.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 800_000):
-        self._encode_many, self._limit = encode_many, limit
-        self._inner: dict[str, bytes] = {}
-        self._again: set[str] = set()
-
-    def _learn(self, chunks: set[str]) -> None:
-        missing = chunks.difference(self._inner)
-        self._again |= chunks.difference(missing)
-        if len(self._inner) + len(missing) > self._limit:
-            self._inner = {x: self._inner[x] for x in self._again} if 2 * len(self._again) < self._limit else {}
-            self._again = set()
-            missing = chunks.difference(self._inner)
-        usable = [x for x in missing if x and not x[0].isspace()]
-        self._inner.update(zip(usable, self._encode_many([" " + x for x in usable]), strict=True))
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], encode_chunks: Callable[[list[str]], list[bytes]] | None = None, limit: int = 96 << 20, longest: int = 64):
+        self._encode_many, self._encode_chunks = encode_many, encode_chunks or encode_many
+        self._limit, self._longest = limit, longest
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+        self._size = 0
+
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        if len(chunk) <= self._longest:
+            self._young[chunk] = ids
+            self._size += 150 + len(chunk) + len(ids)  # with the objects around them
+
+    def _learned(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the young half; those that are no place to cut are left out."""
+        if self._size > self._limit:
+            self._old, self._young, self._size = self._young, {}, 0
+        found = {x: self._old[x] for x in missing if x in self._old}
+        new = [x for x in missing if x not in found and x and not x[0].isspace()]
+        found.update(zip(new, self._encode_chunks([" " + x for x in new]), strict=True))
+        for x, ids in found.items():
+            self._keep(x, ids)
+        return found
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text; a null one counts as empty."""
         cut = [t.split(" ") if t else [""] for t in texts]
-        self._learn(set().union(*(islice(c, 1, None) for c in cut)))
-        out = []
-        for head, c, t in zip(self._encode_many([c[0] for c in cut]), cut, texts, strict=True):
+        get, found, holes = self._young.get, [], []
+        for i, c in enumerate(cut):
+            f = list(map(get, c))
+            f[0], k = b"", -1
             try:
-                out.append(head + b"".join(map(self._inner.__getitem__, islice(c, 1, None))))
-            except KeyError:  # a space that more white space or the end follows is no place to cut
-                first, *rest = _CUT.split(t)
+                while True:
+                    k = f.index(None, k + 1)
+                    holes.append((i, k))
+            except ValueError:
+                found.append(f)
+        learned = self._learned({cut[i][k] for i, k in holes})
+        apart = set()
+        for i, k in holes:
+            x = learned.get(cut[i][k])
+            if x is None:  # a space that more white space or the end follows is no place to cut
+                apart.add(i)
+            found[i][k] = x
+        out = []
+        for i, (head, f) in enumerate(zip(self._encode_many([c[0] for c in cut]), found, strict=True)):
+            if i in apart:
+                first, *rest = _CUT.split(texts[i])
                 out.append(b"".join(self._encode_many([first, *(" " + x for x in rest)])))
+            else:
+                f[0] = head
+                out.append(b"".join(f))
         return out

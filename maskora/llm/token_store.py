@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import mapped
+from .bpe_codec import BYTE_CHARS, mapped
 from .chunk_memo import ChunkMemo
 from .files import create, open_file
 from .shared import scratch, written
@@ -43,6 +43,10 @@ END_ID = 0
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 32 << 20
 _MARKS = (",", ".", "!")
+#: Matches whose ids a worker remembers (longer ones than 64 characters never), and that are merged as one text.
+MATCHES, _TOGETHER = 400_000, 4000
+#: The mapped space.
+_SPACE = BYTE_CHARS[0x20]
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"MSKSST01"
 #: index place, index size, filter place, filter size, rows, tokens, blocks, bytes of an id
@@ -180,58 +184,88 @@ class ShardReader:
 class Encoder:
     """Whole texts to ids with the tokenizers library; special tokens' strings in a text are ordinary text.
 
-    Distinct chunks of the Latin script are split by the library's own pattern here and merged by its model
-    one match at a time, which skips most of the library's bookkeeping; other chunks go through all of it.
+    Distinct chunks of the Latin script are split by the library's own pattern here; their distinct matches go through
+    its merges many at a time, as one text with a delimiter that no match holds, and the ids are dealt back by the
+    characters that each stands for. Other chunks go through all of the library.
     """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = True
-        self._model = self._tokenizer.model
-        if hasattr(self._model, "_resize_cache"):  # the memo and the matches below are the cache
-            self._model._resize_cache(0)
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self._dtype = f"<u{self.width}"
+        model = Tokenizer.from_str(tokenizer_json).model
+        if hasattr(model, "_resize_cache"):  # the memo below is the cache
+            model._resize_cache(0)
+        self._merges = Tokenizer(model)
+        self._merges.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        vocabulary = self._merges.get_vocab()
+        self._sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self._sizes[i] = len(token)
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self._matches: dict[str, bytes] = {}
-        self.memo = ChunkMemo(self._encode_many)
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{"H" if self.width == 2 else "I"}", *ids)
-
-    def _matches_of(self, text: str) -> list[str]:
-        """The pattern's matches; a word, alone or with one mark after it, needs no pattern."""
-        word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            return [text]
-        if word[-1:] in _MARKS and word[:-1].isalpha():
-            return [text[:-1], text[-1]]
-        return self._split(text)
+        self.memo = ChunkMemo(self._encode_many, self._encode_chunks)
+
+    def _merged(self, matches: list[str]) -> list[bytes]:
+        """Ids of matches, given as mapped characters."""
+        out, at = [], 0
+        while at < len(matches):
+            group = matches[at : at + _TOGETHER]
+            at += len(group)
+            (e,) = self._merges.encode_batch_fast(["\n".join(group)], add_special_tokens=False)
+            ids = np.array(e.ids, self._dtype)
+            ends, reached = np.cumsum([len(m) for m in group]), np.cumsum(self._sizes[ids])
+            cuts = np.searchsorted(reached, ends, "right")
+            if (reached[cuts - 1] != ends).any():
+                raise ValueError("the vocabulary does not cover all bytes")
+            data, begin = ids.tobytes(), 0
+            for end in (cuts * self.width).tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
 
     def _encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list = [None] * len(texts)
-        known, whole = self._matches, []
-        if len(known) > 500_000:
-            known.clear()
-        for i, t in enumerate(texts):
-            if t and max(t) >= "\u0250":
-                whole.append(i)
-                continue
-            ids = []
-            for m in self._matches_of(t) if t else ():
-                x = known.get(m)
-                if x is None:
-                    x = self._bytes([token.id for token in self._model.tokenize(mapped(m.encode()))])
-                    if len(m) < 64:
-                        known[m] = x
-                ids.append(x)
-            out[i] = b"".join(ids)
-        for i, e in zip(whole, self._tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = self._bytes(e.ids)
+        return [np.array(e.ids, self._dtype).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """A word of ASCII letters, alone or with one mark after it, needs no pattern, and its characters map to themselves."""
+        split: list = []
+        for t in chunks:
+            if t.isascii():
+                word = t[1:]
+                if word.isalpha():
+                    split.append((_SPACE + word,))
+                elif word[-1] in _MARKS and word[:-1].isalpha():
+                    split.append((_SPACE + word[:-1], word[-1]))
+                else:
+                    split.append(_mapped_ascii(t, self._split))
+            elif max(t) < "\u0250":
+                split.append([mapped(m.encode()) for m in self._split(t)])
+            else:
+                split.append(None)
+        if len(self._matches) > MATCHES:
+            self._matches = {}
+        known = self._matches
+        new = list({m for s in split if s for m in s if m not in known})
+        known.update(zip(new, self._merged(new), strict=True))
+        others = iter(self._encode_many([t for t, s in zip(chunks, split, strict=True) if s is None]))
+        out = [next(others) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[m] for m in s]) for s in split]
+        for m in new:
+            if len(m) > 64:
+                del known[m]
         return out
 
 
+def _mapped_ascii(text: str, split) -> list[str]:
+    """As ``mapped`` of each match; without control characters only spaces change."""
+    if text.isprintable():
+        return [m.replace(" ", _SPACE) for m in split(text)]
+    return [mapped(m.encode()) for m in split(text)]
+
+
 @lru_cache(maxsize=2)
 def _encoder(tokenizer_json: str) -> Encoder:
     return Encoder(tokenizer_json)
