@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Rows of a plane that are worked on at a time, so that they stay in the cache.
+_BAND = 32
 PLANES = "doc_id long, width int, height int, channels int, pixels binary"
 
 
@@ -31,19 +33,25 @@ def median3(gray: np.ndarray) -> np.ndarray:
 
 
 def gaussian(gray: np.ndarray, sigma: float = 1.2) -> np.ndarray:
-    """Separable blur of radius ceil(2.2 sigma), edges repeated, 8 bits between the passes."""
+    """Separable blur of radius ceil(2.2 sigma) with weights in single precision, edges repeated, 8 bits between the passes."""
     r = max(1, int(np.ceil(sigma * 2.2)))
-    kernel = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
-    kernel /= kernel.sum()
+    weights = np.exp(-(np.arange(-r, r + 1) ** 2) / (2 * sigma * sigma))
+    weights = (weights.astype(np.float32) / weights.sum()).astype(np.float32).astype(np.float64)
 
-    def rows(a: np.ndarray) -> np.ndarray:
-        padded = np.pad(a.astype(np.float64), ((0, 0), (r, r)), "edge")
-        total = np.zeros(a.shape)
-        for i, k in enumerate(kernel):
-            total += padded[:, i : i + a.shape[1]] * k
-        return _byte(total)
+    def blurred(a: np.ndarray, axis: int) -> np.ndarray:
+        out = np.empty_like(a)
+        padded = np.pad(a, [(r, r) if k == axis else (0, 0) for k in range(2)], "edge")
+        for y in range(0, a.shape[0], _BAND):
+            rows = min(_BAND, a.shape[0] - y)
+            total = np.zeros((rows, a.shape[1]))
+            term = np.empty_like(total)
+            for i, k in enumerate(weights):
+                total += np.multiply(padded[y + i : y + i + rows] if axis == 0 else padded[y : y + rows, i : i + a.shape[1]], k, out=term)
+            total += 0.5
+            out[y : y + rows] = total
+        return out
 
-    return rows(rows(gray).T).T
+    return blurred(blurred(gray, 1), 0)
 
 
 def box_mean(a: np.ndarray, r: int) -> np.ndarray:
@@ -74,30 +82,49 @@ def invert(gray: np.ndarray) -> np.ndarray:
     return 255 - gray
 
 
-def clahe(gray: np.ndarray, tiles: int = 8, clip: float = 2.5) -> np.ndarray:
-    """Equalisation by tiles with clipped histograms; the four nearest tiles' tables are blended."""
+def clahe(gray: np.ndarray, tiles: int = 8, clip: float = 2.4) -> np.ndarray:
+    """Equalisation by tiles of eight pixels at least, with clipped histograms; the tables of four tiles are blended.
+
+    Counts are in single precision and tables in whole numbers, cut off; a pixel's place among the tiles is its
+    coordinate over the tile's size, so a tile's own table holds at its first pixel.
+    """
     h, w = gray.shape
-    ty, tx = min(tiles, h), min(tiles, w)
-    tables = np.empty((ty, tx, 256))
-    for i in range(ty):
-        for j in range(tx):
-            tile = gray[i * h // ty : (i + 1) * h // ty, j * w // tx : (j + 1) * w // tx]
-            counts = np.bincount(tile.ravel(), minlength=256).astype(np.float64)
-            top = max(1.0, clip * tile.size / 256)
-            over = np.maximum(counts - top, 0).sum()
-            tables[i, j] = np.minimum(np.minimum(counts, top) + over / 256, tile.size).cumsum() * 255 / tile.size
-    y, x = (np.arange(h) + 0.5) * ty / h - 0.5, (np.arange(w) + 0.5) * tx / w - 0.5
-    y0, x0 = np.clip(np.floor(y).astype(int), 0, ty - 1), np.clip(np.floor(x).astype(int), 0, tx - 1)
-    y1, x1 = np.minimum(y0 + 1, ty - 1), np.minimum(x0 + 1, tx - 1)
-    fy, fx = np.clip(y - y0, 0, 1)[:, None], np.clip(x - x0, 0, 1)[None]
-    at = lambda a, b: tables[a[:, None], b[None], gray]
-    return _byte((at(y0, x0) * (1 - fx) + at(y0, x1) * fx) * (1 - fy) + (at(y1, x0) * (1 - fx) + at(y1, x1) * fx) * fy)
-
-
-def bradley(gray: np.ndarray, t: float = 0.12) -> np.ndarray:
-    """Black where a pixel is darker than its window's mean by the share ``t``; the window is about 3.5 % of the short side."""
-    side = int(np.clip(round(min(gray.shape) * 0.035), 15, 65)) | 1
-    return np.where(gray <= box_mean(gray, side // 2) * (1 - t), 0, 255).astype(np.uint8)
+    th, tw = max(8, -(-h // tiles)), max(8, -(-w // tiles))
+    ny, nx = -(-h // th), -(-w // tw)
+    tile = (np.arange(h) // th * nx)[:, None] + np.arange(w) // tw
+    counts = np.bincount((tile * 256 + gray).ravel(), minlength=ny * nx * 256).reshape(ny * nx, 256).astype(np.float64)
+    size = counts.sum(1, keepdims=True)
+    top = np.maximum(1.0, clip * size / 256)
+    spread = np.maximum(counts - top, 0).sum(1, keepdims=True) / 256
+    counts = np.minimum(counts, top).astype(np.float32).astype(np.float64)
+    counts = (counts + spread).astype(np.float32).astype(np.float64)
+    tables = np.clip(counts.cumsum(1) * (255 / np.maximum(1, size)), 0, 255).astype(np.uint8)
+
+    def places(n: int, size: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.minimum(last - 1, np.arange(n) / size)
+        low = np.floor(at).astype(np.int64)
+        return low, np.minimum(last - 1, low + 1), at - low
+
+    y0, y1, fy = places(h, th, ny)
+    x0, x1, fx = places(w, tw, nx)
+    out = np.empty_like(gray)
+    for y in range(0, h, th):  # a band of rows between two rows of tiles
+        band, rows = slice(y, y + th), gray[y : y + th].astype(np.int64)
+
+        def across(row: int, rows=rows) -> np.ndarray:
+            left, right = tables.ravel()[rows + ((row * nx + x0) * 256)], tables.ravel()[rows + ((row * nx + x1) * 256)]
+            return left * (1 - fx) + right * fx
+
+        f = fy[band][:, None]
+        out[band] = (across(y0[y]) * (1 - f) + across(y1[y]) * f + 0.5).astype(np.uint8)
+    return out
+
+
+def bradley(gray: np.ndarray, t: float = 0.12, window: int | None = None, dark_text: bool = True) -> np.ndarray:
+    """Text where a pixel is darker than its window's mean by more than the share ``t``; the window is about 3.5 % of the short side."""
+    side = max(15, min(65, int(np.floor(min(gray.shape) * 0.035 + 0.5)) | 1)) if window is None else window | 1
+    text = gray < box_mean(gray, side // 2) * (1 - t)
+    return np.where(text == dark_text, 0, 255).astype(np.uint8)
 
 
 def otsu(gray: np.ndarray) -> int:

@@ -1,3 +1,4 @@
+import hashlib
 import numpy as np
 import pytest
 
@@ -67,3 +68,23 @@ def test_skew_uses_all_dark_pixels(monkeypatch):
     count = np.bincount
     monkeypatch.setattr(np, "bincount", lambda r, *p, **k: seen.append(len(r)) or count(r, *p, **k))
     assert X.skew_angle(a) == 0 and set(seen[1:]) == {40_000}
+
+
+def test_filters_give_the_published_checksum():
+    """Fixed value: one SHA-256 over 35 outputs, five sizes of generated planes under four blurs and three equalisations."""
+    digest = hashlib.sha256()
+    for width, height in [(1, 1), (3, 5), (31, 23), (97, 61), (480, 320)]:
+        seed, data = 7321, bytearray()
+        for _ in range(width * height):
+            seed = (seed * 1664525 + 1013904223) & 0xFFFFFFFF
+            data.append(seed >> 24)
+        gray = np.frombuffer(bytes(data), np.uint8).reshape(height, width)
+        for sigma in (0.4, 0.55, 0.65, 0.75):
+            digest.update(X.gaussian(gray, sigma).tobytes())
+        for tiles, clip in ((6, 1.8), (8, 2.2), (8, 2.3)):
+            digest.update(X.clahe(gray, tiles, clip).tobytes())
+    assert digest.hexdigest() == "8963229ab207deafc56df146508ba80b3810acbe3bb4fc126bd9221a5672192f"
+
+
+def test_black_planes_have_no_text():
+    assert (X.bradley(np.zeros((40, 50), np.uint8)) == 255).all()
