@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from maskora.operators import layout as L
 from maskora.operators import names as N
 from maskora.operators import propagate as P
 from maskora.operators import redact as R
-from maskora.operators.spans import detect_pii
+from maskora.operators.spans import detect_pii, pii_spans
+from maskora.sources.scratch import materialised
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def boxes(lines: DataFrame, options: Options = Options(), width: float = 1e9, he
     rows = rows.withColumn("r", raw).filter("r is not null")
     rows = rows.withColumn("r", L.padded(*(F.col(f"r.{k}") for k in "xywh"), options.padding, F.lit(width), F.lit(height)))
     key = F.xxhash64("line_no", "start", "end", "type", "label")
-    rows = rows.select("doc_id", F.concat_ws("-", "type", key.cast("string")).alias("box_id"), (F.col("line_no") * 10_000 + F.col("start")).cast("int").alias("seq"), "type", "label", "text", "r.*", F.lit(0.0).alias("rotation"), F.lit(True).alias("enabled"), F.lit(False).alias("is_manual"), (F.col("confidence") / 100).alias("confidence"))
+    rows = rows.select("doc_id", F.concat_ws("-", "type", key.cast("string")).alias("box_id"), (F.col("line_no").cast("long") * (1 << 32) + F.col("start")).alias("seq"), "type", "label", "text", "r.*", F.lit(0.0).alias("rotation"), F.lit(True).alias("enabled"), F.lit(False).alias("is_manual"), (F.col("confidence") / 100).alias("confidence"))
     return B.merge_adjacent(B.dedupe_boxes(rows))
 
 
@@ -81,11 +83,52 @@ def redact(lines: DataFrame, found: DataFrame) -> DataFrame:
     return R.redacted_text(lines, found)
 
 
+_SPANS = "array<struct<start:int,end:int,type:string,label:string,text:string>>"
+
+
+def _row_spans(lines: DataFrame, options: Options) -> DataFrame:
+    """``lines`` with ``persons``, ``companies`` and ``spans``, all that a line shows by itself; no shuffle."""
+
+    def of(column: str, kind: str, label: str):
+        return F.transform(column, lambda s: F.struct(s["start"], s["end"], F.lit(kind), F.lit(label), s["text"])).cast(_SPANS)
+
+    empty = F.array().cast(_SPANS)
+    rows, parts = lines, [empty]
+    if options.persons:
+        rows = N.with_persons(rows, options.surnames)
+        parts.append(of("persons", "person", "人名"))
+    if options.companies:
+        rows = N.with_companies(rows)
+        parts.append(of("companies", "company", "会社名"))
+    if options.pii:
+        found = pii_spans(F.coalesce("line", F.lit("")))
+        if not options.persons:
+            found = F.filter(found, lambda s: s["category"] != "person")
+        parts.append(F.transform(found, lambda s: F.struct(s["start"], s["end"], F.when(s["category"] == "person", "person").otherwise("pii"), s["label"], s["text"])).cast(_SPANS))
+    return rows.withColumn("spans", F.concat(*parts))
+
+
 def redact_plain(lines: DataFrame, options: Options = Options()) -> DataFrame:
-    """``(doc_id, line_no, line, redacted)`` of plain lines, by their spans."""
-    spans = detect(lines, options).groupBy("doc_id", "line_no").agg(F.collect_list(F.struct("start", "end", "label")).alias("spans"))
-    rows = lines.join(spans, ["doc_id", "line_no"], "left")
-    return rows.select("doc_id", "line_no", "line", F.when(F.col("spans").isNull(), F.col("line")).otherwise(R.redact_spans(F.col("line"), F.col("spans"))).alias("redacted"))
+    """``(doc_id, line_no, line, redacted)`` of plain lines, by their spans.
+
+    The spans of a line are found on its row. Only what comes from elsewhere, names that the document confirms and
+    keywords, is joined by ``(doc_id, line_no)``, and only where there is any. With propagation the lines are written
+    once with what was found on them, so that nothing is detected twice.
+    """
+    rows, more = _row_spans(lines, options), []
+    if options.keywords:
+        hits = P.keyword_hits(lines, list(options.keywords))
+        more.append(hits.select("doc_id", "line_no", "start", "end", F.lit("custom").alias("type"), F.lit("カスタム単語").alias("label"), F.col("keyword").alias("text")))
+    if options.propagate and options.persons and options.companies:
+        rows = materialised(rows, "line-spans")
+        names = P.confirmed_names(rows.select("doc_id", F.explode("persons.text").alias("text")), rows.select("doc_id", F.explode("companies.text").alias("text")))
+        again = P.propagate(rows.select("doc_id", "line_no", "line"), names)
+        label = F.when(F.col("kind") == "person", "人名 (文書内一致)").otherwise("会社名 (文書内一致)")
+        more.append(materialised(again.select("doc_id", "line_no", "start", "end", F.col("kind").alias("type"), label.alias("label"), "text"), "propagated"))
+    if more:
+        joined = reduce(DataFrame.unionByName, more).groupBy("doc_id", "line_no").agg(F.collect_list(F.struct("start", "end", "type", "label", "text")).cast(_SPANS).alias("more"))
+        rows = rows.join(joined, ["doc_id", "line_no"], "left").withColumn("spans", F.concat("spans", F.coalesce("more", F.array().cast(_SPANS))))
+    return rows.select("doc_id", "line_no", "line", R.redact_spans(F.col("line"), F.col("spans")).alias("redacted"))
 
 
 __all__ = ["Options", "boxes", "detect", "redact", "redact_plain"]

@@ -261,7 +261,7 @@ def snap_drags(drags: DataFrame, lines: DataFrame, edges: DataFrame | None = Non
 
     The nearest line within reach wins (a line that the drag overlaps sideways is preferred, the earlier of equals);
     its top and bottom are taken, and each end moves to the nearest edge of a line, word or character
-    (``edges(doc_id, line_no, at)``). A drag much taller than the line stays as it is.
+    (``edges(doc_id, line_no, at)``). A drag much taller than the line, or with no line in reach, stays as it is.
     """
     c = F.col
     d = drags.withColumns({"minx": F.least("sx", "cx"), "maxx": F.greatest("sx", "cx"), "miny": F.least("sy", "cy"), "maxy": F.greatest("sy", "cy")})
@@ -274,7 +274,7 @@ def snap_drags(drags: DataFrame, lines: DataFrame, edges: DataFrame | None = Non
     score = distance * 2 - F.when(overlap > 0, 20).otherwise(0)
     best = d.join(lines, "doc_id").filter(near).groupBy("doc_id", "drag_id").agg(F.min(F.struct(score.alias("score"), "line_no", "x0", "y0", "x1", "y1")).alias("line"))
     rows = d.join(best, ["doc_id", "drag_id"], "left").select("*", "line.line_no", "line.x0", "line.y0", "line.x1", "line.y1").drop("line")
-    rows = rows.withColumn("snapped", F.coalesce(c("rh") <= h * 2.4, F.lit(False)))
+    rows = rows.withColumn("snapped", c("line_no").isNotNull() & (c("rh") <= h * 2.4))
     own = F.array("x0", "x1")
     if edges is not None:
         lists = edges.groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list("at")).alias("edges"))

@@ -114,11 +114,17 @@ def detect_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
 
     Spaces inside names are ignored; greetings are no names; a name must stand at a boundary. No shuffle.
     """
+    found = with_persons(lines, surnames)
+    return found.select("doc_id", "line_no", F.posexplode("persons").alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+
+
+def with_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
+    """``lines`` with ``persons``, the names of each line as an array."""
     line = F.coalesce("line", F.lit(""))
     places = F.filter(F.sequence(F.lit(0), F.length(line)), lambda i: (i < F.length(line)) & ~F.substring(line, i + 1, F.lit(1)).isin(" ", "\t", "　"))
-    base = lines.select("doc_id", "line_no", line.alias("line"), F.regexp_replace(line, "[ \t　]", "").alias("c"), places.alias("at"))
-    base = base.withColumn("greet", matches(F.col("c"), _GREETING))
-    c, at, text = F.col("c"), F.col("at"), F.col("line")
+    base = lines.withColumns({"_line": line, "_c": F.regexp_replace(line, "[ \t　]", ""), "_at": places})
+    base = base.withColumn("_greet", matches(F.col("_c"), _GREETING))
+    c, at, text = F.col("_c"), F.col("_at"), F.col("_line")
     place = lambda i: F.try_element_at(at, i + 1)
 
     def boundary(start: Column, end: Column) -> Column:
@@ -128,7 +134,7 @@ def detect_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
         return left & right
 
     def free(start: Column, end: Column) -> Column:
-        return ~F.exists(F.col("greet"), lambda g: (start < g["at"] + F.length(g["whole"])) & (end > g["at"]))
+        return ~F.exists(F.col("_greet"), lambda g: (start < g["at"] + F.length(g["whole"])) & (end > g["at"]))
 
     def span(start: Column, end: Column, name: Column, reason: str, reading: bool = False) -> Column:
         s, e = place(start), place(end - 1) + 1
@@ -166,13 +172,19 @@ def detect_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
     runs = F.filter(runs, lambda m: free(m["at"], m["at"] + F.length(m["whole"])))
     runs = F.filter(F.transform(runs, named), lambda x: x.isNotNull())
     found = _no_cover(F.concat(titled.cast(_NAMES), pairs.cast(_NAMES), runs.cast(_NAMES)))
-    return base.select("doc_id", "line_no", F.posexplode(found).alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+    return base.withColumn("persons", found).drop("_line", "_c", "_at", "_greet")
 
 
 def detect_companies(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, seq, start, end, text, name, reason)``: a corporate type before or after a name, then organisations by suffix. No shuffle."""
-    text, folded = F.col("line"), F.col("folded")
-    base = lines.select("doc_id", "line_no", F.coalesce("line", F.lit("")).alias("line")).withColumn("folded", T.fold_lookalikes(F.col("line")))
+    found = with_companies(lines)
+    return found.select("doc_id", "line_no", F.posexplode("companies").alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+
+
+def with_companies(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``companies``, the company names of each line as an array."""
+    text, folded = F.col("_line"), F.col("_folded")
+    base = lines.withColumn("_line", F.coalesce("line", F.lit(""))).withColumn("_folded", T.fold_lookalikes(F.col("_line")))
     name = rf"{_H}{_K}a-zA-Z0-9_ー・-"
     fold = str.maketrans(T.LOOKALIKE, T.LOOKALIKE_AS)
 
@@ -200,7 +212,7 @@ def detect_companies(lines: DataFrame) -> DataFrame:
     kept = _no_cover(F.concat(*(x.cast(_NAMES) for x in found)), checked=True)
     # most lines hold neither a corporate type nor a suffix: one scan decides before seventy
     likely = folded.rlike("|".join(f"\\Q{k.translate(fold)}\\E" for k in CORPORATE_TYPES) + "|" + _longest_first(DISTINCT_SUFFIXES + OTHER_SUFFIXES))
-    return base.filter(likely).select("doc_id", "line_no", F.posexplode(kept).alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+    return base.withColumn("companies", F.when(likely, kept).otherwise(F.array().cast(_NAMES))).drop("_line", "_folded")
 
 
 def is_chat_sender(value: Column, is_person: Column, context: Column) -> Column:

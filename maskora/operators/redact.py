@@ -118,9 +118,21 @@ def with_instruction(texts: DataFrame, template: str = "summary") -> DataFrame:
 
 
 def redact_spans(line: Column, spans: Column) -> Column:
-    """A line with each span's text replaced by its placeholder; spans must be merged."""
-    ordered = F.array_sort(spans)
-    step = lambda acc, s: F.struct(F.concat(acc["out"], F.substring(line, acc["pos"] + 1, s["start"] - acc["pos"]), F.concat(F.lit("["), s["label"], F.lit("]"))).alias("out"), s["end"].alias("pos"))
-    clear = F.filter(ordered, lambda s: ~F.exists(ordered, lambda o: (o["start"] < s["start"]) & (o["end"] > s["start"])))
+    """A line with the text under its spans (``start, end, type, label, text``) replaced by placeholders.
+
+    Spans may overlap, chain or repeat: what lies under any of them is hidden. Spans that overlap are one gap in the
+    text, with the placeholder of the one that starts first (of those, the longest); a placeholder that would
+    follow its like with nothing but white space between is not written again. Linear in the spans.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("order"), placeholder(s["type"], s["label"], F.coalesce(s["text"], F.lit(""))).alias("mark"))))
+
+    def step(acc: Column, s: Column) -> Column:
+        end = -s["order"]
+        gap = F.substring(line, acc["pos"] + 1, s["start"] - acc["pos"])
+        again = (T.trim_all(gap) == "") & F.endswith(acc["out"], s["mark"])
+        apart = F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], gap, s["mark"])).alias("out"), end.alias("pos"))
+        under = F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], end).alias("pos"))
+        return F.when(s["start"] >= acc["pos"], apart).otherwise(under)
+
     empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"))
-    return F.aggregate(clear, empty, step, lambda acc: F.concat(acc["out"], F.substring(line, acc["pos"] + 1, F.length(line))))
+    return F.aggregate(ordered, empty, step, lambda acc: F.concat(acc["out"], F.substring(line, acc["pos"] + 1, F.length(line))))

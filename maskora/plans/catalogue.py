@@ -17,7 +17,9 @@ from maskora.operators import propagate as P
 from maskora.operators import redact as R
 from maskora.operators import selection as C
 from maskora.operators import spans as S
+from maskora.plans import expected as W
 from maskora.sources import pages
+from maskora.sources.scratch import materialised
 from maskora.sources.tables import JP_LINE, doc_lines, jp_lines, split_lines, table
 from maskora.streaming import edits as E
 
@@ -59,10 +61,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses and card numbers of documents, redacted; characters, spans and rewritten characters by language."""
     docs = table(spark, sf_dir, "documents")
     rules = [r for r in S.FREE if r.category in ("email", "credit_card")]
-    lines = split_lines(docs, "doc_id", "text").withColumn("spans", S.pii_spans(F.col("line"), rules))
-    lines = lines.withColumn("redacted", R.redact_spans(F.col("line"), F.col("spans")))
-    sums = lines.groupBy("doc_id").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.size("spans")).alias("spans"), F.sum(F.length("redacted")).alias("redacted_chars"))
-    return sums.join(docs.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("chars", "spans", "redacted_chars")))
+    lines = docs.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("spans", S.pii_spans(F.col("line"), rules))
+    typed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("pii").alias("type"), s["label"].alias("label"), s["text"].alias("text")))
+    lines = lines.withColumn("redacted", R.redact_spans(F.col("line"), typed))
+    return lines.groupBy("lang").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.size("spans")).alias("spans"), F.sum(F.length("redacted")).alias("redacted_chars"))
 
 
 # --- DuckDB forms -------------------------------------------------------------------------------------------------
@@ -135,9 +137,10 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     q["width_fold"] = (lambda s, d: jp_lines(s, d).select("doc_id", T.half_width(F.col("line")).alias("folded")), f"SELECT doc_id, {_HALF} AS folded FROM ({JP_LINES})")
     q["visual_fold"] = (lambda s, d: jp_lines(s, d).select("doc_id", T.fold_lookalikes(F.col("line")).alias("folded"), T.fold_digits(F.col("line")).alias("digits")), f"SELECT doc_id, translate(line, {_q(T.LOOKALIKE)}, {_q(T.LOOKALIKE_AS)}) AS folded, translate(line, {_q(T.DIGIT_LIKE)}, {_q(T.DIGIT_LIKE_AS)}) AS digits FROM ({JP_LINES})")
     blocks, ws = T._BLOCKS, T.WS
+    clean = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, {_q(f'([{blocks}])[{ws}]+([{blocks}])')}, '\\1\\2', 'g'), {_q(f'[{ws}]*([:：])[{ws}]*')}, '\\1 ', 'g'), {_q('[ 	　]{2,}')}, ' ', 'g'), {_q(f'^[{ws}]+|[{ws}]+$')}, '', 'g')"
     q["export_clean"] = (
         lambda s, d: jp_lines(s, d).select("doc_id", T.clean_export(F.col("line")).alias("clean")),
-        f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, {_q(f'([{blocks}])[{ws}]+([{blocks}])')}, '\\1\\2', 'g'), {_q(f'[{ws}]*([:：])[{ws}]*')}, '\\1 ', 'g'), {_q('[ 	　]{2,}')}, ' ', 'g'), {_q(f'^[{ws}]+|[{ws}]+$')}, '', 'g') AS clean FROM ({JP_LINES})",
+        f"SELECT doc_id, {clean} AS clean FROM ({JP_LINES})",
     )
     half = f"translate(line, {_q(T.WIDE)}, {_q(T.NARROW)})"
     cjk = _re2(T.CJK)
@@ -149,15 +152,15 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         lambda s, d: jp_lines(s, d).select("doc_id", F.regexp_extract("line", r"([\p{IsHan}々]{2,})", 1).alias("name")).withColumn("surname", N.surname_of(F.col("name"))),
         f"SELECT doc_id, name, (SELECT s FROM (VALUES {names}) t(s) WHERE starts_with(name, s) OR (length(s) > 1 AND starts_with(translate(name, {_q(T.LOOKALIKE)}, {_q(T.LOOKALIKE_AS)}), translate(s, {_q(T.LOOKALIKE)}, {_q(T.LOOKALIKE_AS)}))) ORDER BY length(s) DESC LIMIT 1) AS surname FROM (SELECT doc_id, regexp_extract(line, '([\\p{{Han}}々]{{2,}})', 1) AS name FROM ({JP_LINES}))",
     )
-    q["pii_all_spans"] = (lambda s, d: S.detect_pii(jp_lines(s, d)), None)
-    q["person_spans"] = (lambda s, d: N.detect_persons(jp_lines(s, d)), None)
-    q["company_spans"] = (lambda s, d: N.detect_companies(jp_lines(s, d)), None)
+    q["pii_all_spans"] = (lambda s, d: S.detect_pii(jp_lines(s, d)), W.PII_SQL)
+    q["person_spans"] = (lambda s, d: N.detect_persons(jp_lines(s, d)), W.PERSON_SQL)
+    q["company_spans"] = (lambda s, d: N.detect_companies(jp_lines(s, d)), W.COMPANY_SQL)
     q["keyword_hits"] = (
         lambda s, d: P.keyword_hits(doc_lines(s, d), ["apache license", "password"]),
         f"SELECT doc_id, line_no, keyword, CAST(place AS integer) AS start, CAST(place + length(keyword) AS integer) AS \"end\" FROM (SELECT doc_id, line_no, keyword, coalesce(list_sum(list_transform(gs[1:i], lambda z: length(z))), 0) + (i - 1) * length(keyword) AS place FROM (SELECT *, unnest(range(1, len(gs))) AS i FROM (SELECT *, string_split(lower(line), keyword) AS gs FROM ({DOC_LINES}) l CROSS JOIN (VALUES ('apache license'), ('password')) k(keyword)) m) x) y",
     )
-    q["entity_propagation"] = (lambda s, d: _propagated(s, d), None)
-    q["redacted_jp"] = (lambda s, d: engine.redact_plain(jp_lines(s, d), engine.Options(propagate=False)), None)
+    q["entity_propagation"] = (lambda s, d: _propagated(s, d), W.PROPAGATED_SQL)
+    q["redacted_jp"] = (lambda s, d: engine.redact_plain(jp_lines(s, d)), W.REDACTED_SQL)
     q["chat_sender_context"] = (
         lambda s, d: L.sender_headers(ocr_lines(s, d)).select("doc_id", "line_no", "text"),
         f"WITH o AS ({OCR_SQL}) SELECT doc_id, line_no, text FROM o a WHERE regexp_matches(text, '\\s[0-9]{{1,2}}:[0-9]{{2}}$') AND EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.line_no != a.line_no AND length(trim(b.text)) >= 3 AND b.y0 >= a.y1 - (a.y1 - a.y0) * 0.1 AND b.y0 - a.y1 <= (a.y1 - a.y0) * 2.5 AND abs(b.x0 - a.x0) <= (a.y1 - a.y0) * 2)",
@@ -177,17 +180,17 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         lambda s, d: L.recognition_status(L.recognition_quality(ocr_lines(s, d))).select("doc_id", "chars", F.round("avg_confidence", 6).alias("avg_confidence"), F.round("score", 6).alias("score"), "status"),
         f"SELECT doc_id, chars, round(a, 6) AS avg_confidence, round(chars * greatest(1e0, a), 6) AS score, CASE WHEN a < 35 THEN 'low_confidence' ELSE 'ok' END AS status FROM (SELECT doc_id, CAST(sum(n) AS bigint) AS chars, sum(confidence * greatest(1, n)) / sum(n) AS a FROM (SELECT *, length(regexp_replace(text, '\\s', '', 'g')) AS n FROM ({OCR_SQL})) GROUP BY doc_id)",
     )
-    q["ocr_choose"] = (lambda s, d: L.better_result(L.recognition_quality(ocr_lines(s, d)), L.recognition_quality(ocr_lines(s, d).withColumn("confidence", F.pmod(F.col("confidence") * 7, F.lit(100))))), None)
+    q["ocr_choose"] = (lambda s, d: L.better_result(L.recognition_quality(ocr_lines(s, d)), L.recognition_quality(ocr_lines(s, d).withColumn("confidence", F.pmod(F.col("confidence") * 7, F.lit(100))))), W.choice_sql(OCR_SQL))
     q["median_line_height"] = (lambda s, d: L.typical_line_height(ocr_lines(s, d)), f"SELECT doc_id, list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS bigint) + 1] + 4 AS line_height FROM ({OCR_SQL}) WHERE y1 - y0 > 4 GROUP BY doc_id")
     q["text_columns_topk"] = (
-        lambda s, d: L.text_columns(ocr_lines(s, d), 820.0, 1).select("doc_id", "edge", "n"),
-        f"SELECT doc_id, CAST(edge AS bigint) AS edge, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_line) AS place FROM (SELECT doc_id, floor(x0 / 12.3e0 + 0.5) AS edge, count(*) AS n, min(line_no) AS first_line FROM ({OCR_SQL}) GROUP BY 1, 2)) WHERE place = 1",
+        lambda s, d: L.text_columns(ocr_lines(s, d), 820.0).select("doc_id", "place", "edge", "n"),
+        f"SELECT doc_id, CAST(place AS integer) AS place, CAST(edge AS bigint) AS edge, n FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_line) AS place FROM (SELECT doc_id, floor(x0 / 12.3e0 + 0.5) AS edge, count(*) AS n, min(line_no) AS first_line FROM ({OCR_SQL}) GROUP BY 1, 2)) WHERE place <= 4",
     )
     q["marquee_select"] = (lambda s, d: L.marquee(page_boxes(s, d), 100.0, 30.0, 60.0, 40.0).select("doc_id", "box_id"), f"SELECT doc_id, box_id FROM ({BOX_SQL}) WHERE x < 160 AND x + w > 100 AND y < 70 AND y + h > 30")
     points = "SELECT l_orderkey AS doc_id, 1 AS point_id, 115e0 AS px, 30e0 AS py FROM lineitem GROUP BY l_orderkey"
     q["point_hit"] = (lambda s, d: L.box_at(page_boxes(s, d), _sql(s, d, points)), f"SELECT doc_id, 1 AS point_id, arg_max(box_id, seq) AS box_id FROM ({BOX_SQL}) WHERE 115 BETWEEN x AND x + w AND 30 BETWEEN y AND y + h GROUP BY doc_id")
-    q["line_snap"] = (lambda s, d: L.snap_drags(_sql(s, d, "SELECT l_orderkey AS doc_id, 1 AS drag_id, 12e0 AS sx, 30e0 AS sy, 80e0 AS cx, 34e0 AS cy FROM lineitem GROUP BY l_orderkey"), ocr_lines(s, d)), None)
-    q["stroke_merge"] = (lambda s, d: L.absorb_strokes(page_boxes(s, d), _sql(s, d, "SELECT l_orderkey AS doc_id, 90e0 AS x, 25e0 AS y, 20e0 AS w, 18e0 AS h FROM lineitem GROUP BY l_orderkey"), 1.6), None)
+    q["line_snap"] = (lambda s, d: L.snap_drags(_sql(s, d, "SELECT l_orderkey AS doc_id, 1 AS drag_id, 12e0 AS sx, 30e0 AS sy, 80e0 AS cx, 34e0 AS cy FROM lineitem GROUP BY l_orderkey"), ocr_lines(s, d)), W.snap_sql(OCR_SQL))
+    q["stroke_merge"] = (lambda s, d: L.absorb_strokes(page_boxes(s, d), _sql(s, d, "SELECT l_orderkey AS doc_id, 90e0 AS x, 25e0 AS y, 20e0 AS w, 18e0 AS h FROM lineitem GROUP BY l_orderkey"), 1.6), W.strokes_sql(BOX_SQL))
     q["box_counts"] = (
         lambda s, d: L.box_counts(page_boxes(s, d)),
         f"SELECT doc_id, count(*) FILTER (type IN ('face', 'avatar')) AS faces, count(*) FILTER (type = 'person') AS persons, count(*) FILTER (type = 'company') AS companies, count(*) FILTER (type = 'pii') AS pii, count(*) AS total FROM ({BOX_SQL}) WHERE enabled GROUP BY doc_id",
@@ -200,8 +203,8 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     q["merge_adjacent"] = (lambda s, d: B.merge_adjacent(page_boxes(s, d)), None)
     q["merge_fragments"] = (lambda s, d: B.merge_fragments(ocr_lines(s, d)), None)
     q["char_coverage"] = (lambda s, d: R.character_cover(ocr_lines(s, d), page_boxes(s, d)).select("doc_id", "line_no", "pos", "box_id", "mark"), _COVER_SQL)
-    q["redacted_text"] = (lambda s, d: R.redacted_text(ocr_lines(s, d), page_boxes(s, d)), None)
-    q["redaction_stats"] = (lambda s, d: R.redaction_stats(ocr_lines(s, d), page_boxes(s, d)), None)
+    q["redacted_text"] = (lambda s, d: R.redacted_text(ocr_lines(s, d), page_boxes(s, d)), W.text_sql(OCR_SQL, _COVER_SQL, BOX_SQL, clean))
+    q["redaction_stats"] = (lambda s, d: R.redaction_stats(ocr_lines(s, d), page_boxes(s, d)), W.stats_sql(_COVER_SQL, BOX_SQL))
     q["edit_replay"] = (lambda s, d: E.replay(edit_events(s, d)), None)
     q["stall_sessions"] = (lambda s, d: E.stalled_jobs(table(s, d, "events").select(F.col("user_id").cast("string").alias("job_id"), "ts", (F.pmod(F.col("event_id") * 7, F.lit(101)) / 100).alias("progress"))).select("job_id", "stalled", "over_cap"), _STALL_SQL)
     q["work_scale"] = (
@@ -297,7 +300,9 @@ GROUP BY 1, 2, 3
 
 def _propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = jp_lines(spark, sf_dir).withColumn("line_no", F.col("doc_id").cast("int")).withColumn("doc_id", F.floor(F.col("doc_id") / 14))
-    return P.propagate(lines, P.confirmed_names(N.detect_persons(lines), N.detect_companies(lines)))
+    rows = materialised(N.with_companies(N.with_persons(lines)), "named-lines")
+    names = P.confirmed_names(rows.select("doc_id", F.explode("persons.text").alias("text")), rows.select("doc_id", F.explode("companies.text").alias("text")))
+    return P.propagate(rows.select("doc_id", "line_no", "line"), names)
 
 
 def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
