@@ -236,7 +236,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that no item contaminates, whole, in one pass for each slice of the benchmark."""
+    """The rows of ``docs`` that no item contaminates, whole, in one pass for each slice of the benchmark.
+
+    Null and wordless texts are never contaminated and stay; repeated rows share a verdict; empty tables on either
+    side are allowed. All columns of ``docs`` are returned as they came, whatever their names.
+    """
     for items in _slices(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -76,9 +76,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text no row with a larger doc_id has."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of ``docs`` whose text no row with a larger doc_id has, with all their columns.
+
+    A row is known by its doc_id and text: where one doc_id has several texts, each is judged by its own group, and
+    rows repeated with both all stay. Nulls and empty texts are as in ``exact_duplicates``.
+    """
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_text")).distinct()
+    same = docs[id_col].eqNullSafe(kept["_kept_id"]) & (F.sha2(F.coalesce(docs[text_col], F.lit("")), 256) == kept["_kept_text"])
+    return docs.join(kept, same, "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -157,7 +157,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, whole and in one pass."""
+    """The rows of ``docs`` that the classifier does not reject, whole and in one pass.
+
+    Null and empty texts are judged by the score of no text; repeated rows share a verdict; an empty table stays
+    empty. All columns of ``docs`` are returned as they came, whatever their names.
+    """
     forest = train(docs, labels)
     columns = docs.columns
 

@@ -40,3 +40,9 @@ def test_empty_table_and_rows_that_stay(spark):
     kept = exact_dedup.without_copies(df)
     assert kept.columns == df.columns
     assert {(r["doc_id"], r["text"] or "") for r in kept.collect()} >= {(i, t or "") for i, t in rows if i in (101, 106, 114)} - {(101, "")}
+
+
+def test_rows_are_known_by_doc_id_and_text(spark):
+    rows = [(1, "same"), (2, "same"), (1, "own"), (None, "same"), (None, "alone"), (5, None), (6, "")]
+    kept = exact_dedup.without_copies(docs_frame(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(2, "same"), (1, "own"), (None, "alone"), (6, "")], key=repr)
