@@ -2,6 +2,10 @@
 
 ``run`` writes each stage's rows as Parquet in the shared folder and reads them back, so a stage is planned
 from real sizes and a lost executor costs only the running stage's tasks.
+
+In every stage a null text counts as an empty one, rows repeated with one doc_id and text share a verdict, a null
+doc_id is allowed, an empty table gives an empty one, other columns go through unread, and a very long text is a
+text like any other. The stages' own docstrings say what that means for each.
 """
 
 from __future__ import annotations
@@ -13,27 +17,30 @@ from maskora.llm.shared import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the classifier rejects."""
+    """Without the documents that the classifier rejects; empty texts get the score of no text."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
+    """Of equal texts, the document with the largest doc_id; empty texts are one group. A null doc_id stays only where its text has no other."""
     return exact_dedup.without_copies(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 or more), the document with the smallest doc_id."""
+    """Of each group of near copies (five-word shingles, similarity of 0.8 or more), the document with the smallest doc_id.
+
+    Texts without words and rows without doc_id are like nothing and stay.
+    """
     return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark passage."""
+    """Without the documents that hold a benchmark passage; texts without words hold none."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and of the decoded text, for each document that is left."""
+    """Token count and digests of the ids and of the decoded text, for each document that is left; an empty text has no ids."""
     return bpe_codec.round_trip(docs)
 
 
