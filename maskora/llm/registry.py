@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, decontaminate, exact_dedup, lm_scoring, near_dedup, quality, quality_rules, secret_scan, token_store, url_filter, warc_archive
+from . import bpe_codec, decontaminate, exact_dedup, lm_scoring, near_dedup, prefix_trie, quality, quality_rules, secret_scan, token_store, url_filter, vector_codes, warc_archive
 
 OPERATORS = {
     "op1_lm_scoring": lm_scoring,
@@ -19,6 +19,8 @@ OPERATORS = {
     "op8_secret_scan": secret_scan,
     "op9_decontaminate": decontaminate,
     "op10_bpe_codec": bpe_codec,
+    "op11_vector_codes": vector_codes,
+    "op12_prefix_trie": prefix_trie,
     "op13_quality_rules": quality_rules,
 }
 
