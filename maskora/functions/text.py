@@ -14,6 +14,8 @@ WS = r"\t\n\x0B\f\r " + "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000
 #: What recognised text may have between characters.
 SPACE = r" \t\n\r" + "\u3000\u00a0"
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
+CJK_MARKS = "\u3000-\u303f\u3040-\u309f\u30a0-\u30ff"
+CJK_BLOCKS = CJK_MARKS + "\u4e00-\u9faf"
 HAN, HIRA, KATA = r"\p{IsHan}", r"\p{IsHiragana}", r"\p{IsKatakana}"
 
 WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000"
@@ -87,22 +89,41 @@ def normalize_recognised(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, rf"[{SPACE}]++", " "), r"^ ", "")
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body, or a lambda in it, uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def kept_places(s: Column, members: str, stays) -> Column:
+    """For each character whether it stays, as an array: runs of the class ``members`` as ``stays(before, run, after)`` says, all others do.
+
+    ``before`` and ``after`` are the neighbouring runs, null at the ends; ``stays`` gives the run's flags. Linear in the text.
+    """
+    def flags(runs: Column) -> Column:
+        one = lambda r, i: F.when(r.rlike(f"^[{members}]"), stays(F.get(runs, i - 1), r, F.get(runs, i + 1))).otherwise(F.array_repeat(F.lit(True), F.length(r)))
+        return F.flatten(F.transform(runs, one))
+
+    return bound(F.regexp_extract_all(s, F.lit(f"[{members}]+|[^{members}]+"), F.lit(0)), flags)
+
+
+def recognised_spaces(joins: str):
+    """For :func:`kept_places`: of a run of spaces the first stays, unless it starts the line or has the class ``joins`` on both sides."""
+    def stays(before: Column, run: Column, after: Column) -> Column:
+        bridge = F.coalesce(F.right(before, F.lit(1)).rlike(f"[{joins}]") & F.left(after, F.lit(1)).rlike(f"[{joins}]"), F.lit(False))
+        gone = F.array_repeat(F.lit(False), F.length(run) - 1)
+        return F.concat(F.array(before.isNotNull() & ~bridge), gone)
+
+    return stays
+
+
 def normalized_map(s: Column) -> Column:
     """For each character of :func:`normalize_recognised` its place in ``s``.
 
     A space stays if it starts its run, follows something, and is not between two CJK characters.
     """
-    wide = half_width(s)
-    places = F.filter(F.sequence(F.lit(0), F.length(s)), lambda i: i < F.length(s))
-
-    def stays(i: Column) -> Column:
-        here, before = F.substring(wide, i + 1, F.lit(1)), F.substring(wide, F.lit(1), i)
-        after = F.substring(wide, i + 1, F.length(wide))
-        space = here.rlike(rf"^[{SPACE}]")
-        bridge = before.rlike(rf"[{CJK}]\z") & after.rlike(rf"^[{SPACE}]++[{CJK}]")
-        return ~space | ((F.length(before) > 0) & ~before.rlike(rf"[{SPACE}]\z") & ~bridge)
-
-    return F.filter(places, stays)
+    stays = kept_places(half_width(s), SPACE, recognised_spaces(CJK))
+    places = lambda flags: F.filter(F.transform(flags, lambda f, i: F.when(f, i)), lambda i: i.isNotNull())
+    return bound(stays, places)
 
 
 def original_range(index_map: Column, start: Column, end: Column) -> Column:
@@ -114,17 +135,14 @@ def original_range(index_map: Column, start: Column, end: Column) -> Column:
     return F.when(last < 0, F.struct(start.alias("start"), end.alias("end"))).otherwise(mapped)
 
 
-_BLOCKS = "\u3000-\u303f\u3040-\u309f\u30a0-\u30ff\u4e00-\u9faf"
-
-
 def join_cjk(s: Column) -> Column:
     """Without white space between two characters of the CJK blocks."""
-    return F.regexp_replace(s, rf"([{_BLOCKS}])[{WS}]+(?=[{_BLOCKS}])", "$1")
+    return F.regexp_replace(s, rf"([{CJK_BLOCKS}])[{WS}]+(?=[{CJK_BLOCKS}])", "$1")
 
 
 def clean_export(s: Column) -> Column:
     """White space of exported text. The pair on both sides of a gap is consumed, so of adjacent gaps every other one stays."""
-    out = F.regexp_replace(s, rf"([{_BLOCKS}])[{WS}]+([{_BLOCKS}])", "$1$2")
+    out = F.regexp_replace(s, rf"([{CJK_BLOCKS}])[{WS}]+([{CJK_BLOCKS}])", "$1$2")
     out = F.regexp_replace(out, rf"[{WS}]*([:：])[{WS}]*", "$1 ")
     return trim_all(F.regexp_replace(out, "[ \t\u3000]{2,}", " "))
 

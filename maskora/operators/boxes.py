@@ -96,7 +96,13 @@ def _join_lines(a: dict, b: dict) -> dict:
     left, right = (a, b) if a["x0"] <= b["x0"] else (b, a)
     tall = max(1, a["y1"] - a["y0"], b["y1"] - b["y0"])
     gap = right["x0"] - left["x1"] > tall * 0.35 and not _CJK.match(left["text"][-1:]) and not _CJK.match(right["text"][:1])
-    return a | {"text": left["text"] + " " * gap + right["text"], "x0": min(a["x0"], b["x0"]), "y0": min(a["y0"], b["y0"]), "x1": max(a["x1"], b["x1"]), "y1": max(a["y1"], b["y1"]), "confidence": (a["confidence"] + b["confidence"]) / 2}
+    more = {k: (left[k] or []) + (right[k] or []) for k in ("words", "symbols", "aligned") if k in a}
+    if gap and more.get("aligned") is not None:
+        between = {"text": " ", "bbox": {"x0": left["x1"], "y0": left["y0"], "x1": right["x0"], "y1": left["y1"]}, "confidence": 0.0}
+        more["aligned"] = (left["aligned"] or []) + [between] + (right["aligned"] or [])
+    if "raw_text" in a:
+        more["raw_text"] = (left["raw_text"] or "") + " " * gap + (right["raw_text"] or "")
+    return a | more | {"text": left["text"] + " " * gap + right["text"], "x0": min(a["x0"], b["x0"]), "y0": min(a["y0"], b["y0"]), "x1": max(a["x1"], b["x1"]), "y1": max(a["y1"], b["y1"]), "confidence": (a["confidence"] + b["confidence"]) / 2}
 
 
 def merge_fragments_page(rows: list[dict]) -> list[dict]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskora.functions import text as T
+from maskora.operators.bands import BAND, banded, share_band
 
 _W = T.WS
 # Lines that are labels of a form, and what they label.
@@ -35,17 +36,21 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("double")
 
 
-def label_of(text: Column) -> Column:
+_ANY_LABEL = "|".join(f"(?:{pattern})" for *_, pattern in LABEL_LINES)
+
+
+def label_of(text: Column, trimmed: bool = False) -> Column:
     """``struct(category, label)`` of a line that is a label and nothing else."""
-    t, found = T.trim_all(text), None
+    t, found = text if trimmed else T.trim_all(text), None
     for category, label, pattern in LABEL_LINES:
         value = F.struct(F.lit(category).alias("category"), F.lit(label).alias("label"))
         found = F.when(t.rlike(pattern + _COLON), value) if found is None else found.when(t.rlike(pattern + _COLON), value)
-    return found
+    return F.when(t.rlike(f"(?:{_ANY_LABEL}){_COLON}"), found)  # few lines are labels: one pattern before thirteen
 
 
-def is_value_of(text: Column, category: Column) -> Column:
-    t = T.trim_all(text)
+def is_value_of(text: Column, category: Column, trimmed: bool = False, no_label: bool = False) -> Column:
+    """Whether a text may be the value of a label; ``trimmed`` and ``no_label`` say what is known of it already."""
+    t = text if trimmed else T.trim_all(text)
     n = F.length(F.regexp_replace(F.translate(t, "Oo〇○", "0000"), "[^0-9]", ""))
     shape = (
         F.when(category == "phone", n.between(9, 11))
@@ -57,7 +62,8 @@ def is_value_of(text: Column, category: Column) -> Column:
         .when(category == "address", T.is_address_value(t))
         .otherwise(~t.rlike(r"^[：:]\z"))
     )
-    return F.length(t).between(2, 100) & label_of(t).isNull() & shape
+    fits = F.length(t).between(2, 100) & shape
+    return fits if no_label else fits & label_of(t, True).isNull()
 
 
 def _y_overlap(a0, a1, b0, b1) -> Column:
@@ -71,28 +77,33 @@ def label_values(lines: DataFrame) -> DataFrame:
     Values on the label's row win over those below; another label in between bars the way. Ties go to the
     higher, then the left, then the earlier line.
     """
-    rows = lines.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1").withColumn("kind", label_of(F.col("text")))
-    marks = rows.filter("kind is not null")
-    a, b, o = marks.alias("a"), rows.filter("kind is null").alias("b"), marks.alias("o")
+    rows = lines.select("doc_id", "line_no", T.trim_all(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1").withColumn("kind", label_of(F.col("text"), True))
     c = F.col
+    tall = F.greatest(F.lit(8.0), c("y1") - c("y0"))
+    marks = rows.filter("kind is not null")
+    a = banded(marks, F.least("y0", c("y1") - tall * 0.15), c("y1") + tall * 2.2).alias("a")
+    b = banded(rows.filter("kind is null"), c("y0"), c("y1")).alias("b")
+    o = banded(marks.select("doc_id", "line_no", "x0", "y0", "y1"), c("y0"), c("y1")).alias("o")
     h = F.greatest(F.lit(8.0), c("a.y1") - c("a.y0"))
     wide = c("a.x1") - c("a.x0")
     same = (_y_overlap(c("a.y0"), c("a.y1"), c("b.y0"), c("b.y1")) >= 0.55) & (c("b.x0") >= c("a.x1") - h * 0.25) & (c("b.x0") - c("a.x1") <= F.greatest(h * 30, wide * 12))
     gap = c("b.y0") - c("a.y1")
     below = gap.between(h * -0.15, h * 2.2) & (F.abs(c("b.x0") - c("a.x0")) <= F.greatest(F.lit(64.0), wide))
-    pairs = a.join(b, (c("a.doc_id") == c("b.doc_id")) & (same | below)).select(
+    pairs = a.join(b, share_band("a", "b") & (same | below)).select(
         c("a.doc_id").alias("doc_id"), c("a.line_no").alias("label_line"), c("b.line_no").alias("value_line"), c("a.kind").alias("kind"), c("b.text").alias("text"),
         c("a.x0").alias("ax0"), c("a.y0").alias("ay0"), c("a.x1").alias("ax1"), c("a.y1").alias("ay1"), c("b.x0").alias("bx0"), c("b.y0").alias("by0"), h.alias("h"), same.alias("same"),
         F.when(same, F.greatest(F.lit(0.0), c("b.x0") - c("a.x1"))).otherwise(F.greatest(F.lit(0.0), gap) + F.abs(c("b.x0") - c("a.x0")) * 0.25).alias("distance"),
     )
-    pairs = pairs.filter(is_value_of(F.col("text"), F.col("kind.category"))).alias("p")
+    pairs = pairs.filter(is_value_of(F.col("text"), F.col("kind.category"), trimmed=True, no_label=True))
+    p = banded(pairs, c("ay0"), c("ay1") + c("h") * 2.2).alias("p")
     on_row = (_y_overlap(c("p.ay0"), c("p.ay1"), c("o.y0"), c("o.y1")) >= 0.55) & (c("o.x0") > c("p.ax1")) & (c("o.x0") < c("p.bx0"))
     under = (c("o.y0") > c("p.ay1")) & (c("o.y0") < c("p.by0")) & (F.abs(c("o.x0") - c("p.ax0")) <= c("p.h") * 2)
-    barred = (c("p.doc_id") == c("o.doc_id")) & (c("p.label_line") != c("o.line_no")) & ((c("p.same") & on_row) | (~c("p.same") & under))
-    open_ = pairs.join(o, barred, "left_anti")
+    barred = share_band("p", "o", once=False) & (c("p.label_line") != c("o.line_no")) & ((c("p.same") & on_row) | (~c("p.same") & under))
+    facts = [F.first(f"p.{k}").alias(k) for k in ("kind", "text", "same", "distance", "by0", "bx0")]
+    open_ = p.join(o, barred, "left").groupBy("p.doc_id", "p.label_line", "p.value_line").agg(*facts, F.count("o.line_no").alias("bars")).filter("bars = 0")
     order = Window.partitionBy("doc_id", "label_line").orderBy(F.col("same").desc(), "distance", "by0", "bx0", "value_line")
     best = open_.withColumn("place", F.row_number().over(order)).filter("place = 1")
-    return best.select("doc_id", "label_line", "value_line", F.col("kind.category").alias("category"), F.col("kind.label").alias("label"), T.trim_all(F.col("text")).alias("value"))
+    return best.select("doc_id", "label_line", "value_line", F.col("kind.category").alias("category"), F.col("kind.label").alias("label"), F.col("text").alias("value"))
 
 
 def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
@@ -100,34 +111,40 @@ def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
 
     A line follows at the first line's left edge, close below the last accepted one; a label between ends the address.
     """
-    rows = lines.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("text"), "x0", "y0", "x1", "y1")
+    rows = lines.select("doc_id", "line_no", T.trim_all(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1")
     first = values.filter("category = 'address'").join(rows.select("doc_id", F.col("line_no").alias("value_line"), F.col("x0").alias("vx0"), F.col("y1").alias("end")), ["doc_id", "value_line"])
     first = first.join(rows.select("doc_id", F.col("line_no").alias("label_line"), F.greatest(F.lit(8.0), F.col("y1") - F.col("y0")).alias("h")), ["doc_id", "label_line"])
     step, found = first.select("doc_id", "label_line", F.col("value_line").alias("first_line"), F.lit(None).cast("double").alias("after"), "vx0", "end", "h"), []
     for _ in range(2):
-        near = step.join(rows, "doc_id").filter(
+        reach = banded(step, F.col("end") - F.col("h") * 0.1, F.col("end") + F.col("h") * 1.25).drop("first_band")
+        near = reach.join(rows.withColumn("band", F.floor(F.col("y0") / BAND)), ["doc_id", "band"]).filter(
             (F.col("line_no") != F.col("label_line")) & (F.col("line_no") != F.col("first_line")) & (F.col("y0") - F.col("end")).between(F.col("h") * -0.1, F.col("h") * 1.25)
             & (F.abs(F.col("x0") - F.col("vx0")) <= F.col("h") * 1.5) & (F.col("after").isNull() | (F.col("y0") >= F.col("after")))
-        ).withColumn("is_label", label_of(F.col("text")).isNotNull())
+        ).withColumn("is_label", label_of(F.col("text"), True).isNotNull())
         near = near.filter(F.col("is_label") | T.is_address_value(F.col("text")))
         order = Window.partitionBy("doc_id", "label_line").orderBy("y0", "x0", "line_no")
         taken = near.withColumn("place", F.row_number().over(order)).filter("place = 1 and not is_label")
-        found.append(taken.select("doc_id", "label_line", F.col("line_no").alias("value_line"), T.trim_all(F.col("text")).alias("value")))
+        found.append(taken.select("doc_id", "label_line", F.col("line_no").alias("value_line"), F.col("text").alias("value")))
         step = taken.select("doc_id", "label_line", "first_line", F.col("y0").alias("after"), "vx0", F.col("y1").alias("end"), "h")
     return found[0].unionByName(found[1]).distinct()
 
 
+#: What may follow a sender's name on its line.
+SENDER_TAIL = rf"[{_W}]*(?:[0-9]{{1,2}}:[0-9]{{2}}|既読|未読|送信済み)[{_W}]*\z"
 _TIME = rf"[{_W}][0-9]{{1,2}}:[0-9]{{2}}(?:[{_W}]*(?:既読|未読|送信済み))?[{_W}]*\z"
 
 
 def sender_headers(lines: DataFrame, avatars: DataFrame | None = None) -> DataFrame:
     """Lines that stand above a message body and end in a time, or beside an avatar ``(doc_id, x, y, w, h)``."""
-    a, b = lines.alias("a"), lines.alias("b")
     c = F.col
+    tall = F.greatest(F.lit(1.0), c("y1") - c("y0"))
+    heads = lines if avatars is not None else lines.filter(c("text").rlike(_TIME))
+    a = banded(heads.select("doc_id", "line_no", "x0", "y0", "y1"), c("y1") - tall * 0.1, c("y1") + tall * 2.5).alias("a")
+    b = lines.filter(F.length(T.trim_all(c("text"))) >= 3).select("doc_id", "line_no", "x0", "y0").withColumn("band", F.floor(c("y0") / BAND)).alias("b")
     h = F.greatest(F.lit(1.0), c("a.y1") - c("a.y0"))
-    body = (c("a.doc_id") == c("b.doc_id")) & (c("a.line_no") != c("b.line_no")) & (F.length(T.trim_all(c("b.text"))) >= 3)
+    body = share_band("a", "b", once=False) & (c("a.line_no") != c("b.line_no"))
     body = body & (c("b.y0") >= c("a.y1") - h * 0.1) & (c("b.y0") - c("a.y1") <= h * 2.5) & (F.abs(c("b.x0") - c("a.x0")) <= h * 2)
-    over = a.join(b, body, "left_semi")
+    over = heads.join(a.join(b, body, "left_semi").select("doc_id", "line_no").distinct(), ["doc_id", "line_no"], "left_semi")
     timed = over.filter(F.col("text").rlike(_TIME))
     if avatars is None:
         return timed
@@ -188,10 +205,28 @@ def recognition_status(quality: DataFrame, timed_out: Column | None = None) -> D
     return quality.withColumn("status", status)
 
 
-def typical_line_height(lines: DataFrame) -> DataFrame:
-    """Upper median of the heights over four, plus four, per document."""
+def typical_line_height(lines: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """Upper median of the heights over four, plus four, per document.
+
+    ``pages(doc_id, height)`` adds those without such a line, with 2.2 % of their height, 16 at least.
+    """
     heights = lines.filter(F.col("y1") - F.col("y0") > 4).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("y1") - F.col("y0"))).alias("h"))
-    return heights.select("doc_id", (F.element_at("h", F.floor(F.size("h") / 2).cast("int") + 1) + 4).alias("line_height"))
+    median = heights.select("doc_id", (F.element_at("h", F.floor(F.size("h") / 2).cast("int") + 1) + 4).alias("line_height"))
+    if pages is None:
+        return median
+    default = F.greatest(F.lit(16.0), round_half_up(F.col("height") * 0.022))
+    return pages.join(median, "doc_id", "left").select("doc_id", F.coalesce("line_height", default).alias("line_height"))
+
+
+def usable_results(status: DataFrame, lines: DataFrame) -> DataFrame:
+    """Documents ``(doc_id, status)`` whose recognition can be used again: not failed, and with a line at least."""
+    good = status.filter(~F.coalesce(F.col("status"), F.lit("failed")).isin("failed", "timeout", "no_text"))
+    return good.join(lines, "doc_id", "left_semi").select("doc_id", "status")
+
+
+def text_boxes(boxes: DataFrame) -> DataFrame:
+    """Boxes that stand on text: found by the engine, no pictures, and of four pixels a side at least."""
+    return boxes.filter(~F.coalesce(F.col("is_manual"), F.lit(False)) & ~F.col("type").isin("manual", "face", "avatar") & (F.col("w") >= 4) & (F.col("h") >= 4))
 
 
 def text_columns(lines: DataFrame, width: float, top: int = 4) -> DataFrame:
@@ -272,7 +307,10 @@ def snap_drags(drags: DataFrame, lines: DataFrame, edges: DataFrame | None = Non
     distance = F.least(away(c("sy"), c("sy")) * 1.5, away(c("cy"), c("cy")), away(c("miny"), c("maxy")))
     near = ((overlap > 0) | ((c("minx") <= c("x1") + 40) & (c("maxx") >= c("x0") - 40))) & (distance <= F.greatest(F.lit(24.0), h * 1.25))
     score = distance * 2 - F.when(overlap > 0, 20).otherwise(0)
-    best = d.join(lines, "doc_id").filter(near).groupBy("doc_id", "drag_id").agg(F.min(F.struct(score.alias("score"), "line_no", "x0", "y0", "x1", "y1")).alias("line"))
+    drawn = banded(d, c("miny"), c("maxy")).drop("first_band")
+    tall = F.greatest(F.lit(24.0), h * 1.25)
+    reached = banded(lines.select("doc_id", "line_no", "x0", "y0", "x1", "y1"), c("y0") - tall, c("y1") + tall).drop("first_band")
+    best = drawn.join(reached, ["doc_id", "band"]).filter(near).groupBy("doc_id", "drag_id").agg(F.min(F.struct(score.alias("score"), "line_no", "x0", "y0", "x1", "y1")).alias("line"))
     rows = d.join(best, ["doc_id", "drag_id"], "left").select("*", "line.line_no", "line.x0", "line.y0", "line.x1", "line.y1").drop("line")
     rows = rows.withColumn("snapped", c("line_no").isNotNull() & (c("rh") <= h * 2.4))
     own = F.array("x0", "x1")

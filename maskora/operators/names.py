@@ -95,10 +95,6 @@ def _is_surname(s: Column, surnames) -> Column:
     return F.coalesce(surname_of(s, surnames) == s, F.lit(False))
 
 
-def _longer_than(n: int):
-    return lambda m: F.length(m["whole"]) > n
-
-
 def _no_cover(spans: Column, checked: Column | None = None) -> Column:
     """In order, without spans that a kept one covers."""
     def step(acc, x):
@@ -109,13 +105,18 @@ def _no_cover(spans: Column, checked: Column | None = None) -> Column:
     return F.aggregate(spans, F.array().cast(_NAMES), step)
 
 
+def _one_by_one(rows: DataFrame, column: str) -> DataFrame:
+    """A row for each span. An inner explode would have the optimizer filter on the array's size, and run the detector once more for that."""
+    spans = rows.select("doc_id", "line_no", F.posexplode_outer(column).alias("seq", "span")).filter("seq IS NOT NULL")
+    return spans.select("doc_id", "line_no", "seq", "span.*")
+
+
 def detect_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
     """``(doc_id, line_no, seq, start, end, text, name, reason)``: names by honorific, as pairs, and by dictionary.
 
     Spaces inside names are ignored; greetings are no names; a name must stand at a boundary. No shuffle.
     """
-    found = with_persons(lines, surnames)
-    return found.select("doc_id", "line_no", F.posexplode("persons").alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+    return _one_by_one(with_persons(lines, surnames), "persons")
 
 
 def with_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
@@ -177,8 +178,7 @@ def with_persons(lines: DataFrame, surnames=SURNAMES) -> DataFrame:
 
 def detect_companies(lines: DataFrame) -> DataFrame:
     """``(doc_id, line_no, seq, start, end, text, name, reason)``: a corporate type before or after a name, then organisations by suffix. No shuffle."""
-    found = with_companies(lines)
-    return found.select("doc_id", "line_no", F.posexplode("companies").alias("seq", "span")).select("doc_id", "line_no", "seq", "span.*")
+    return _one_by_one(with_companies(lines), "companies")
 
 
 def with_companies(lines: DataFrame) -> DataFrame:
@@ -192,15 +192,17 @@ def with_companies(lines: DataFrame) -> DataFrame:
         words = F.substring(text, start + 1, length)
         return F.struct(start.alias("start"), (start + length).alias("end"), words.alias("text"), words.alias("name"), F.lit(reason).alias("reason"))
 
-    found = []
-    for kind in CORPORATE_TYPES:
-        mark = f"\\Q{kind.translate(fold)}\\E"
-        before = matches(folded, rf"{mark}[{T.WS}]*([{name}]{{1,20}}|[{_HI}{name}]{{1,20}})", 1)
+    def of_type(mark: Column) -> Column:
+        quoted = F.concat(F.lit("\\Q"), mark, F.lit("\\E"))
+        before = matches(folded, F.concat(quoted, F.lit(rf"[{T.WS}]*([{name}]{{1,20}}|[{_HI}{name}]{{1,20}})")), 1)
         before = F.filter(before, lambda m: ~m["value"].rlike(f"^{_PARTICLE}") & ~m["value"].rlike(_NOT_COMPANY))
-        found.append(F.transform(before, lambda m: cut(m["at"], F.length(m["whole"]) - F.length(m["value"]) + F.length(F.regexp_extract(m["value"], f"(?s)^.(?:(?!{_PARTICLE}).)*", 0)), "corporate_prefix")))
-        after = matches(folded, rf"[{name}]{{1,20}}[{T.WS}]*{mark}")
-        longer = _longer_than(len(kind))
-        found.append(F.transform(F.filter(after, longer), lambda m: cut(m["at"], F.length(m["whole"]), "corporate_suffix")))
+        before = F.transform(before, lambda m: cut(m["at"], F.length(m["whole"]) - F.length(m["value"]) + F.length(F.regexp_extract(m["value"], f"(?s)^.(?:(?!{_PARTICLE}).)*", 0)), "corporate_prefix"))
+        after = F.filter(matches(folded, F.concat(F.lit(rf"[{name}]{{1,20}}[{T.WS}]*"), quoted)), lambda m: F.length(m["whole"]) > F.length(mark))
+        return F.concat(before.cast(_NAMES), F.transform(after, lambda m: cut(m["at"], F.length(m["whole"]), "corporate_suffix")).cast(_NAMES))
+
+    # only the types that the line holds are searched, in the table's order
+    kinds = F.filter(F.array(*(F.lit(k.translate(fold)) for k in CORPORATE_TYPES)), lambda k: F.contains(folded, k))
+    found = [F.flatten(F.transform(kinds, of_type))]
     orgs = matches(folded, rf"([{_H}{_K}a-zA-Z0-9_ー]{{2,15}})(?:{_longest_first(DISTINCT_SUFFIXES + OTHER_SUFFIXES)})", 1)
 
     def stands(m):

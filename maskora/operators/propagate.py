@@ -36,8 +36,9 @@ def searchable(lines: DataFrame) -> DataFrame:
     """Lines with ``search`` (folded, no white space) and ``places``, the original place of each of its characters."""
     line = F.coalesce("line", F.lit(""))
     rows = lines.select("doc_id", "line_no", line.alias("line")).withColumns({"norm": T.normalize_recognised(F.col("line")), "map": T.normalized_map(F.col("line"))})
-    chars = F.filter(F.sequence(F.lit(0), F.length("norm")), lambda i: (i < F.length("norm")) & ~F.substring(F.col("norm"), i + 1, F.lit(1)).rlike(f"[{T.WS}]"))
-    return rows.select("doc_id", "line_no", "line", T.search_fold(F.col("line")).alias("search"), F.transform(chars, lambda i: F.element_at("map", i + 1)).alias("places"))
+    chars = F.regexp_extract_all("norm", F.lit("(?s)."), F.lit(0))
+    places = T.bound(F.col("map"), lambda m: F.filter(F.transform(chars, lambda ch, i: F.when(~ch.rlike(f"[{T.WS}]"), F.get(m, i))), lambda at: at.isNotNull()))
+    return rows.select("doc_id", "line_no", "line", T.search_fold(F.col("line")).alias("search"), places.alias("places"))
 
 
 def confirmed_names(persons: DataFrame, companies: DataFrame) -> DataFrame:

@@ -6,17 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskora.functions import text as T
+from maskora.operators.bands import banded, share_band
 
 # Placeholders by what a label holds, in order; then by type.
 PLACEHOLDERS = [("メール", "[メールアドレス]"), ("電話", "[電話番号]"), ("住所", "[住所]"), ("人名", "[人名]"), ("会社", "[会社名]"), ("パスワード", "[パスワード]"), ("カード", "[カード情報]"), ("金額", "[金額]")]
 SECRET = "[非公開]"
-# Instructions around an exported text.
+# Instructions before an exported text, and the lines around it.
 WRAPPERS = {
-    "reply": "次の文章への返信案を作成してください。伏せ字はそのまま扱ってください。",
-    "action": "次の文章から、やるべきことを一覧にしてください。伏せ字はそのまま扱ってください。",
-    "risk": "次の文章の注意点とリスクを挙げてください。伏せ字はそのまま扱ってください。",
-    "summary": "次の文章を要約してください。伏せ字はそのまま扱ってください。",
+    "reply": "以下のチャット履歴を踏まえて、丁寧でプロフェッショナルな返信メール／チャットの返信案を作成してください：",
+    "action": "以下のチャット内容から、担当者ごとのToDo（タスク）と期日・連絡先事項を漏れなく抽出してください：",
+    "risk": "以下のチャット内容から、契約・納期・合意事項に関する潜在的なリスクや注意点を洗い出してください：",
+    "summary": "以下のチャット履歴の要点・決定事項・連絡先情報を分かりやすく整理してください：",
 }
+TEXT_BEGINS = "--- チャット内容（個人情報・機密情報は伏字処理済み） ---"
+TEXT_ENDS = "-------------------------------------------------------"
+
+
+# Why a person was found; short labels by what a label holds, in order, and then by type.
+PERSON_REASONS = {"surname_match": "主要名字辞書との一致", "honorific_match": "敬称・役職付き人名パターン", "full_name_pattern": "フルネーム（姓名）パターン", "chat_sender_header": "チャット送信者名の推定"}
+OTHER_PERSON_REASON = "人名パターンの検知"
+COMPACT = [("メール", "メール"), ("パスワード", "PW"), ("カード", "カード"), ("Card", "カード"), ("電話", "TEL"), ("住所", "住所"), ("会社", "会社名"), ("人名", "人名"), ("金額", "金額")]
+COMPACT_TYPES = {"person": "人名", "company": "会社名", "face": "顔写真", "avatar": "アイコン", "pii": "個人情報", "manual": "手動", "custom": "指定語"}
+
+
+def person_reason(code: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for k, v in PERSON_REASONS.items():
+        out = out.when(code == k, v)
+    return out.otherwise(OTHER_PERSON_REASON)
+
+
+def compact_label(kind: Column, label: Column) -> Column:
+    """The short label that is drawn on a box."""
+    clean = T.trim_all(F.coalesce(label, F.lit("")))
+    by_label = F.when(clean == "PW", "PW")
+    for word, short in COMPACT:
+        by_label = by_label.when(F.contains(clean, F.lit(word)), short)
+    by_type = F.when(F.lit(False), "")
+    for k, short in COMPACT_TYPES.items():
+        by_type = by_type.when(kind == k, short)
+    return F.when((clean != "") & ~clean.isin("手動指定", "手動"), by_label.otherwise(clean)).otherwise(by_type.otherwise(F.coalesce(label, F.lit(""))))
 
 
 def placeholder(kind: Column, label: Column, text: Column) -> Column:
@@ -41,9 +70,9 @@ def character_cover(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """
     c = F.col
     on = boxes.filter(c("enabled") & ~c("type").isin("face", "avatar")).withColumn("mark", placeholder(c("type"), c("label"), F.coalesce("text", F.lit("")))).withColumnRenamed("text", "box_text")
-    rows = lines.filter(F.length(T.trim_all(c("text"))) > 0).alias("l")
-    near = (c("l.doc_id") == c("b.doc_id")) & (c("b.y") + c("b.h") >= c("l.y0") - 4) & (c("b.y") <= c("l.y1") + 4)
-    pairs = rows.join(on.alias("b"), near).select("l.*", "b.box_id", "b.seq", "b.type", "b.mark", "b.box_text", "b.x", "b.y", "b.w", "b.h")
+    rows = banded(lines.filter(F.length(T.trim_all(c("text"))) > 0), c("y0") - 4, c("y1") + 4).alias("l")
+    near = share_band("l", "b") & (c("b.y") + c("b.h") >= c("l.y0") - 4) & (c("b.y") <= c("l.y1") + 4)
+    pairs = rows.join(banded(on, c("y"), c("y") + c("h")).alias("b"), near).select("l.*", "b.box_id", "b.seq", "b.type", "b.mark", "b.box_text", "b.x", "b.y", "b.w", "b.h")
     n = F.length("text")
     share = F.greatest(F.lit(1.0), c("x1") - c("x0")) / n
     word = T.trim_all(F.coalesce("box_text", F.lit("")))
@@ -114,23 +143,24 @@ def with_instruction(texts: DataFrame, template: str = "summary") -> DataFrame:
     if template == "none":
         return texts
     head = WRAPPERS.get(template, WRAPPERS["summary"])
-    return texts.withColumn("redacted_text", F.concat(F.lit(head + "\n\n---\n"), "redacted_text", F.lit("\n---")))
+    return texts.withColumn("redacted_text", F.concat(F.lit(f"{head}\n\n{TEXT_BEGINS}\n"), "redacted_text", F.lit(f"\n{TEXT_ENDS}")))
 
 
 def redact_spans(line: Column, spans: Column) -> Column:
     """A line with the text under its spans (``start, end, type, label, text``) replaced by placeholders.
 
     Spans may overlap, chain or repeat: what lies under any of them is hidden. Spans that overlap are one gap in the
-    text, with the placeholder of the one that starts first (of those, the longest); a placeholder that would
-    follow its like with nothing but white space between is not written again. Linear in the spans.
+    text, with the placeholder of the one that starts first (of those, the longest). A placeholder is not written where
+    the output already ends with its like, white space aside; text between placeholders, white space too, is kept.
+    Linear in the spans.
     """
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("order"), placeholder(s["type"], s["label"], F.coalesce(s["text"], F.lit(""))).alias("mark"))))
 
     def step(acc: Column, s: Column) -> Column:
         end = -s["order"]
-        gap = F.substring(line, acc["pos"] + 1, s["start"] - acc["pos"])
-        again = (T.trim_all(gap) == "") & F.endswith(acc["out"], s["mark"])
-        apart = F.struct(F.when(again, acc["out"]).otherwise(F.concat(acc["out"], gap, s["mark"])).alias("out"), end.alias("pos"))
+        until = F.concat(acc["out"], F.substring(line, acc["pos"] + 1, s["start"] - acc["pos"]))
+        again = F.endswith(T.trim_end(until), s["mark"])
+        apart = F.struct(F.when(again, until).otherwise(F.concat(until, s["mark"])).alias("out"), end.alias("pos"))
         under = F.struct(acc["out"].alias("out"), F.greatest(acc["pos"], end).alias("pos"))
         return F.when(s["start"] >= acc["pos"], apart).otherwise(under)
 

@@ -17,10 +17,11 @@ from maskora.functions import text as T
 SPAN = "struct<start:int,end:int,category:string,label:string,text:string>"
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All non-overlapping matches: ``array<struct<at, start, whole, value>>``, with the match's and the group's start."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    pattern = F.lit(pattern)
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    value = F.regexp_extract_all(text, pattern, F.lit(group)) if group else whole
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
     kind = "array<struct<at:int,start:int,whole:string,value:string>>"
 
@@ -32,7 +33,7 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
     empty = F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
     found = F.aggregate(parts, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
+    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(kind))
 
 
 @dataclass(frozen=True)

@@ -18,6 +18,7 @@ from maskora.operators import redact as R
 from maskora.operators import selection as C
 from maskora.operators import spans as S
 from maskora.plans import expected as W
+from maskora.plans import recognised, streams
 from maskora.sources import pages
 from maskora.sources.scratch import materialised
 from maskora.sources.tables import JP_LINE, doc_lines, jp_lines, split_lines, table
@@ -136,7 +137,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     )
     q["width_fold"] = (lambda s, d: jp_lines(s, d).select("doc_id", T.half_width(F.col("line")).alias("folded")), f"SELECT doc_id, {_HALF} AS folded FROM ({JP_LINES})")
     q["visual_fold"] = (lambda s, d: jp_lines(s, d).select("doc_id", T.fold_lookalikes(F.col("line")).alias("folded"), T.fold_digits(F.col("line")).alias("digits")), f"SELECT doc_id, translate(line, {_q(T.LOOKALIKE)}, {_q(T.LOOKALIKE_AS)}) AS folded, translate(line, {_q(T.DIGIT_LIKE)}, {_q(T.DIGIT_LIKE_AS)}) AS digits FROM ({JP_LINES})")
-    blocks, ws = T._BLOCKS, T.WS
+    blocks, ws = T.CJK_BLOCKS, T.WS
     clean = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, {_q(f'([{blocks}])[{ws}]+([{blocks}])')}, '\\1\\2', 'g'), {_q(f'[{ws}]*([:：])[{ws}]*')}, '\\1 ', 'g'), {_q('[ 	　]{2,}')}, ' ', 'g'), {_q(f'^[{ws}]+|[{ws}]+$')}, '', 'g')"
     q["export_clean"] = (
         lambda s, d: jp_lines(s, d).select("doc_id", T.clean_export(F.col("line")).alias("clean")),
@@ -243,7 +244,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
     for name, kernel in (("gaussian", X.gaussian), ("clahe", X.clahe), ("bradley", X.bradley)):
         q[name] = (lambda s, d, k=kernel: X.each_plane(_planes(s, d), k).select("doc_id", "width", "height", F.md5("pixels").alias("digest"))), None
     q["deskew"] = (lambda s, d: X.skew_angles(_planes(s, d)), None)
-    return q
+    return q | recognised.registered(ocr_lines, page_boxes, OCR_SQL, BOX_SQL) | streams.registered(lambda s, d: table(s, d, "events"))
 
 
 #: Corners of a page in a photograph of 400 x 300, for each part.
@@ -268,9 +269,11 @@ e AS (SELECT job_id, min(ts) AS start, max(ts) AS stop FROM p GROUP BY job_id)
 SELECT e.job_id, greatest(coalesce(gap, 0), epoch_us(stop) - epoch_us(coalesce(moved, start))) >= 45000000 AS stalled, epoch_us(stop) - epoch_us(start) >= 60000000 AS over_cap FROM e LEFT JOIN m ON m.job_id = e.job_id
 """
 
+#: A placeholder (9 characters for an address, 7 for a card) is not repeated where only white space lies between two of a kind.
 _FLAGSHIP_SQL = f"""
-WITH l AS ({DOC_LINES}), s AS ({_spans_sql(DOC_LINES, [(r.pattern, 0, r.category, "true" if r.category == "email" else f"NOT regexp_matches(whole, '^[0-9]') OR {_LUHN}") for r in S.FREE if r.category in ("email", "credit_card")])}),
-c AS (SELECT doc_id, count(*) AS spans, sum(CASE category WHEN 'email' THEN 9 ELSE 7 END - length(text)) AS change FROM s GROUP BY doc_id)
+WITH l AS ({DOC_LINES}), s AS ({_spans_sql(DOC_LINES, [(r.pattern, r.group, r.category, "true" if r.category == "email" else f"NOT regexp_matches(whole, '^[0-9]') OR {_LUHN}") for r in S.FREE if r.category in ("email", "credit_card")])}),
+g AS (SELECT s.*, coalesce(category = lag(category) OVER before AND regexp_matches(substr(line, lag("end") OVER before + 1, start - lag("end") OVER before), {_q(f'^[{T.WS}]*$')}), false) AS again FROM s JOIN l USING (doc_id, line_no) WINDOW before AS (PARTITION BY doc_id, line_no ORDER BY start)),
+c AS (SELECT doc_id, count(*) AS spans, sum(CASE WHEN again THEN 0 WHEN category = 'email' THEN 9 ELSE 7 END - length(text)) AS change FROM g GROUP BY doc_id)
 SELECT lang, CAST(sum(chars) AS bigint) AS chars, CAST(sum(coalesce(spans, 0)) AS bigint) AS spans, CAST(sum(chars + coalesce(change, 0)) AS bigint) AS redacted_chars
 FROM (SELECT doc_id, sum(length(line)) AS chars FROM l GROUP BY doc_id) t JOIN documents USING (doc_id) LEFT JOIN c USING (doc_id) GROUP BY lang
 """

@@ -7,15 +7,11 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table below ``spark.checkpoint.dir``, for several readers; what follows is planned from it alone.
-
-    Where the setting is missing, on one machine, a temporary folder is set; on a cluster that is an error.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``. Where the setting is missing, on one machine, a temporary folder is set; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -23,6 +19,11 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
         root = tempfile.mkdtemp(prefix="maskora-")
         atexit.register(shutil.rmtree, root, True)
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/maskora/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/maskora/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table below ``spark.checkpoint.dir``, for several readers; what follows is planned from it alone."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

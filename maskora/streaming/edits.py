@@ -7,15 +7,15 @@ order of ``seq``; the state is its boxes, shapes, selection and at most HISTORY
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from maskora.streaming import ordered
+
 HISTORY = 30
-LEAST_SIDE = 5
+LEAST_SIDE, LEAST_WIDTH = 5, 8
 STATE_DDL = "doc_id long, seq long, boxes string, shapes string, selected string, anchor string, depth int, can_undo boolean, can_redo boolean"
 
 
@@ -27,7 +27,7 @@ class Page:
 
     def __init__(self, data: dict | None = None):
         self.boxes, self.shapes, self.selected, self.anchor = [], [], [], None
-        self.history, self.at = [{"boxes": [], "shapes": []}], 0
+        self.history, self.at, self.dragged = [{"boxes": [], "shapes": []}], 0, False
         if data:
             self.__dict__.update(data)
 
@@ -42,13 +42,29 @@ class Page:
         if self.anchor not in ids:
             self.anchor = self.selected[-1] if self.selected else None
 
+    def _select(self, ids: list, anchor: str | None) -> None:
+        """Boxes that exist, each once; the anchor is the one given, if it is among them, else the last."""
+        known = {b["id"] for b in self.boxes}
+        self.selected = [i for i in dict.fromkeys(ids) if i in known]
+        self.anchor = anchor if anchor in self.selected else (self.selected[-1] if self.selected else None)
+
+    def _drag_edge(self, p: dict) -> None:
+        """One end of a box follows ``x`` while the other stays at ``fixed``; beyond it the box turns over. History gets one step, on release."""
+        left, wide = min(p["x"], p["fixed"]), max(LEAST_WIDTH, abs(p["x"] - p["fixed"]))
+        for b in self.boxes:
+            x, y, w, h = b["rect"]
+            if b["id"] == p["id"] and (abs(left - x) >= 0.5 or abs(wide - w) >= 0.5):
+                self.boxes = [o | {"rect": [left, y, wide, h]} if o is b else o for o in self.boxes]
+                self.dragged = True
+                return
+
     def _move(self, to: int) -> None:
         if 0 <= to < len(self.history):
             self.at = to
             self.boxes, self.shapes = (json.loads(json.dumps(self.history[to][k])) for k in ("boxes", "shapes"))
             self._prune()
 
-    def apply(self, op: str, p: dict) -> None:
+    def apply(self, op: str, p: dict, at_ms: int = 0) -> None:
         """One event. Unknown operations and events without effect change nothing and leave no history."""
         ids = p.get("ids") or ([p["id"]] if "id" in p else [])
         record = p.get("record", True)
@@ -83,10 +99,20 @@ class Page:
                 self._prune()
                 self._commit()
         elif op == "select":
-            known = {b["id"] for b in self.boxes}
-            self.selected = [i for i in dict.fromkeys(ids) if i in known]
-            anchor = p.get("anchor")
-            self.anchor = anchor if anchor in self.selected else (self.selected[-1] if self.selected else None)
+            self._select(ids, p.get("anchor"))
+        elif op == "toggle_select":
+            on = p["id"] not in self.selected
+            self._select([*self.selected, p["id"]] if on else [i for i in self.selected if i != p["id"]], p["id"] if on else self.anchor)
+        elif op == "marquee":
+            self._select([*p.get("base", []), *ids], self.anchor)
+        elif op == "select_all":
+            self._select([b["id"] for b in self.boxes], self.anchor)
+        elif op == "drag_edge":
+            self._drag_edge(p)
+        elif op == "drop_edge":
+            if self.dragged:
+                self._commit()
+            self.dragged = False
         elif op == "add_shape":
             self.shapes = [*self.shapes, p["shape"]]
             self._commit()
@@ -107,48 +133,14 @@ class Page:
         return {"doc_id": doc_id, "seq": seq, "boxes": text(self.boxes), "shapes": text(self.shapes), "selected": text(self.selected), "anchor": self.anchor, "depth": len(self.history), "can_undo": self.at > 0, "can_redo": self.at < len(self.history) - 1}
 
 
-def _run(page: Page, events: pd.DataFrame) -> None:
-    for op, payload in events.sort_values("seq")[["op", "payload"]].itertuples(index=False):
-        page.apply(op, json.loads(payload) if payload else {})
-
-
 def replay(edits: DataFrame) -> DataFrame:
-    """The state of each document after all its events.
+    """The state of each document after all its events ``(doc_id, seq, ts, op, payload)``."""
+    return ordered.replayed(edits, Page, STATE_DDL, STATE)
 
-    Events come sorted, and one page's state is carried from row to row and batch to batch, so a task holds a batch
-    and a state however long a document's log is.
-    """
-    logs = edits.select("doc_id", "seq", "op", "payload").repartition("doc_id").sortWithinPartitions("doc_id", "seq", "op", "payload")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page = None
-        for b in batches:
-            out = []
-            for key, at, op, payload in zip(*(b[c].to_pylist() for c in ("doc_id", "seq", "op", "payload")), strict=True):
-                if page is None or key != doc_id:
-                    if page is not None:
-                        out.append(page.row(doc_id, seq))
-                    page, doc_id = Page(), key
-                page.apply(op, json.loads(payload) if payload else {})
-                seq = at
-            yield pa.RecordBatch.from_pylist(out, STATE)
-        if page is not None:
-            yield pa.RecordBatch.from_pylist([page.row(doc_id, seq)], STATE)
-
-    return logs.mapInArrow(run, STATE_DDL)
-
-
-def follow(edits: DataFrame) -> DataFrame:
-    """The same over a stream: after each micro-batch the new state of the documents that had events."""
-
-    def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        page = Page(json.loads(state.get[0]) if state.exists else None)
-        events = pd.concat(list(batches))
-        _run(page, events)
-        state.update((json.dumps(page.__dict__),))
-        yield pd.DataFrame([page.row(int(key[0]), int(events["seq"].max()))])
-
-    return edits.groupBy("doc_id").applyInPandasWithState(run, STATE_DDL, "page string", "update", "NoTimeout")
+
+def follow(edits: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """The same over a stream with late events: the new state of a document whenever the watermark has released some of its events."""
+    return ordered.followed(edits, Page, STATE_DDL, delay)
 
 
 def stalled_jobs(progress: DataFrame, stall_s: int = 45, cap_s: int = 60) -> DataFrame:

@@ -103,19 +103,6 @@ def test_edits(spark):
     assert [json.loads(state([("undo", {})] * k)) for k in range(3)] == [[{"id": "s", "x1": 30}], [{"id": "s", "x1": 10}], []]
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    source = str(tmp_path / "in")
-    for k in range(3):
-        part = events(spark).filter(f"seq % 3 >= 0 and seq >= {3 * k} and seq < {3 * k + 3}").coalesce(1)
-        part.write.mode("append").parquet(source)
-    stream = spark.readStream.schema(events(spark).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
-    query = E.follow(stream).writeStream.outputMode("update").format("memory").queryName("pages").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    last = spark.table("pages").orderBy("seq", ascending=False).first()
-    want = E.replay(events(spark)).first()
-    assert last["boxes"] == want["boxes"] and last["depth"] == want["depth"]
-
-
 def test_sources(spark):
     blobs = spark.createDataFrame([("./jpn.traineddata", bytearray(3000)), ("a/eng.traineddata", bytearray(5000)), ("other", bytearray(9))], "key string, value binary")
     assert tuple(S.cache_stats(blobs).first()) == (2, 8000, ["eng", "jpn"], True)
