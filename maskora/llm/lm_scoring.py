@@ -16,8 +16,9 @@ adds up what the blocks have counted and answers each of them in place; a block
 automaton that its texts can reach (states, arcs, failure links) and walks it. The packed texts are shuffled
 once: both uses of a block read the same exchange. Neither a hot n-gram nor a hot source nor a repeated doc_id
 fills a task: in a bucket an n-gram comes once from a block at most, and blocks are cut by size alone. A task
-holds one block or one bucket, whatever the corpus; the messages are blocks times buckets, at most one for each
-n-gram of a block. Each answer has its bucket's tokens and types, so a block knows N and V by adding up.
+holds one block or one bucket, whatever the corpus; a message is never empty, so there is one for each n-gram of a
+block at most, and far fewer while a block has many n-grams of a bucket. Each bucket tells its tokens and types once;
+their sums N and V go to all blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -82,7 +84,7 @@ def _pack(batches) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "packed"])
 
     for b in batches:
-        lengths = np.array([len(t or "") for t in b["text"].to_pylist()])
+        lengths = pc.binary_length(b["text"]).to_numpy(zero_copy_only=False)
         at = 0
         while at < b.num_rows:
             fits = max(int(np.searchsorted(np.cumsum(lengths[at:]), BLOCK_BYTES - size, "right")), 0 if rows else 1)
@@ -140,41 +142,47 @@ def _from_steps(start: int, low: bytes, high: bytes) -> np.ndarray:
 
 
 def _requests(block: pa.Table, buckets: int, order: int) -> pa.Table:
-    """Messages to the buckets: the block's distinct n-grams of each order there, and their training counts.
-
-    Each bucket gets a message of unigrams, if an empty one, and so tells each block how many tokens and types it has.
-    """
+    """Messages to the buckets: the block's distinct n-grams of each order there, and their training counts. Buckets of which it has none get none."""
     docs = _unpack(block)
     tokens, bounds = _token_stream(docs["text"].to_pylist())
     train = np.repeat(~docs["held_out"].to_numpy(), np.diff(bounds))
+    edges = (np.arange(1, buckets, dtype=U64) << U64(32)) // U64(buckets) << U64(32)
     rows = []
     for k in range(1, order + 1):
         at, keys = _ngram_keys(tokens, bounds, k)
         keys, number = _distinct(keys)
         counts = np.bincount(number[train[at]], minlength=len(keys))
-        cuts = np.searchsorted(keys, (np.arange(buckets + 1, dtype=U64) << U64(32)) // U64(buckets) << U64(32))
-        cuts[-1] = len(keys)
-        for b, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if low < high or k == 1:
-                part = keys[low:high]
-                rows.append((b, k, int(part[:1].view(np.int64).sum()), *_steps(part), _planes(counts[low:high])))
+        bucket = np.searchsorted(edges, keys, "right")
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            part = keys[low:high]
+            rows.append((int(bucket[low]), k, int(part[:1].view(np.int64).sum()), *_steps(part), _planes(counts[low:high])))
     columns = dict(zip(["bucket", "n", "start", "low", "high", "counts"], map(list, zip(*rows, strict=True)), strict=True))
     return pa.table({"block": np.full(len(rows), block["block"][0].as_py()), **columns})
 
 
-def _answers(bucket: pa.Table) -> pa.Table:
-    """To each block the corpus counts of the n-grams it has asked for, in their order; tokens and types of this bucket."""
-    messages = zip(*(bucket[c].to_pylist() for c in ("start", "low", "high")), strict=True)
-    keys = [_from_steps(start & 2**64 - 1, low, high) for start, low, high in messages]
+def _sums(bucket: pa.Table, messages: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (some of) a bucket's messages: how many n-grams each has, the number of each n-gram, and the corpus counts by number."""
+    rows = bucket if messages is None else bucket.take(pa.array(messages))
+    keys = [_from_steps(start & 2**64 - 1, low, high) for start, low, high in zip(*(rows[c].to_pylist() for c in ("start", "low", "high")), strict=True)]
+    keys = keys or [np.zeros(0, U64)]
     sizes = np.array([len(x) for x in keys])
-    ends = np.cumsum(sizes)
-    keys, number = _distinct(np.concatenate(keys))
-    counts = np.concatenate([_from_planes(x) for x in bucket["counts"].to_pylist()])
-    sums = np.bincount(number, weights=counts, minlength=len(keys)).astype(np.int64)
-    words = np.unique(number[np.repeat(bucket["n"].to_numpy() == 1, sizes)])
-    out = [_planes(sums[number[end - n : end]]) for n, end in zip(sizes, ends, strict=True)]
-    of_all = lambda x: np.full(len(out), x, np.int64)
-    return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "n": bucket["n"], "totals": pa.array(out, pa.binary()), "tokens": of_all(sums[words].sum()), "types": of_all((sums[words] > 0).sum())})
+    distinct, number = _distinct(np.concatenate(keys))
+    counts = np.concatenate([_from_planes(x) for x in rows["counts"].to_pylist()] or [np.zeros(0)])
+    return sizes, number, np.bincount(number, weights=counts, minlength=len(distinct)).astype(np.int64)
+
+
+def _vocabulary(bucket: pa.Table) -> pa.Table:
+    """A bucket's training tokens and types."""
+    *_, sums = _sums(bucket, np.flatnonzero(bucket["n"].to_numpy() == 1))
+    return pa.table({"tokens": [int(sums.sum())], "types": [int((sums > 0).sum())]})
+
+
+def _answers(bucket: pa.Table) -> pa.Table:
+    """To each block the corpus counts of the n-grams it has asked for, in their order."""
+    sizes, number, sums = _sums(bucket)
+    out = [_planes(sums[number[end - n : end]]) for n, end in zip(sizes, np.cumsum(sizes), strict=True)]
+    return pa.table({"block": bucket["block"], "bucket": bucket["bucket"], "n": bucket["n"], "totals": pa.array(out, pa.binary())})
 
 
 class Automaton:
@@ -275,8 +283,7 @@ def _scores(block: pa.Table, answers: pa.Table, order: int) -> pa.Table:
     tokens, bounds = _token_stream(docs["text"].to_pylist())
     answers = answers.sort_by([("n", "ascending"), ("bucket", "ascending")])
     of_order = answers["n"].to_numpy()
-    words = answers.slice(0, int((of_order == 1).sum()))
-    n, v = (int(words[c].to_numpy().sum()) for c in ("tokens", "types"))
+    n, v = answers["tokens"][0].as_py(), answers["types"][0].as_py()
     packed = answers["totals"].to_pylist()
     totals, places, numbers = [], [], []
     for k in range(1, order + 1):
@@ -325,7 +332,11 @@ def lm_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_
     buckets = size * order // 5 // BUCKET_KEYS + 1
     blocks = base.mapInArrow(_pack, "block long, packed binary")
     requests = blocks.groupBy("block").applyInArrow(lambda t: _requests(t, buckets, order), "block long, bucket long, n long, start long, low binary, high binary, counts binary")
-    answers = requests.groupBy("bucket").applyInArrow(_answers, "block long, bucket long, n long, totals binary, tokens long, types long")
+    # both read one exchange; the totals are a row for each bucket, added up before they reach the blocks
+    asked = requests.groupBy("bucket")
+    answers = asked.applyInArrow(_answers, "block long, bucket long, n long, totals binary")
+    totals = asked.applyInArrow(_vocabulary, "tokens long, types long").agg(F.struct(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).alias("t"))
+    answers = answers.withColumn("t", totals.scalar()).select("block", "bucket", "n", "totals", "t.tokens", "t.types")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda a, b: _scores(a, b, order), SCORES)
 
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import math
 import re
 import subprocess
@@ -8,7 +9,7 @@ from collections import Counter
 import pytest
 
 from maskora.llm import lm_scoring
-from tests.llm.fixtures import awkward_docs, docs_frame
+from tests.llm.fixtures import awkward_docs, docs_frame, prose
 
 
 def tokens(text):
@@ -76,8 +77,35 @@ def test_worker_needs_no_other_imports():
         "with mock.patch.object(m, 'TaskContext') as t:\n"
         "    t.get.return_value.partitionId.return_value = 0\n"
         "    block = pa.Table.from_batches(m._pack([b]))\n"
-        "answers = m._answers(m._requests(block, 1, 3))\n"
+        "asked = m._requests(block, 1, 3)\n"
+        "answers, v = m._answers(asked), m._vocabulary(asked)\n"
+        "for c in ('tokens', 'types'): answers = answers.append_column(c, pa.array(v[c].to_pylist() * answers.num_rows))\n"
         "print(m._scores(block, answers, 3).num_rows)"
     )
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=False)
     assert out.stdout.strip() == "2", out.stderr
+
+
+def block_of(texts):
+    docs = pa.table({"doc_id": range(len(texts)), "text": texts, "held_out": [False] * len(texts)})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, docs.schema) as out:
+        out.write_table(docs)
+    return pa.table({"block": [1], "packed": [sink.getvalue().to_pybytes()]})
+
+
+def test_messages_follow_the_distinct_ngrams():
+    """No message is empty: many buckets cost a small block no more than its n-grams, whatever the corpus."""
+    for texts in (["a b c", "a b d"], [prose(400, k) for k in range(5)]):
+        sent = {b: [len(x) // lm_scoring._LOW_BYTES for x in lm_scoring._requests(block_of(texts), b, 3)["low"].to_pylist()] for b in (1, 100, 10_000, 1_000_000)}
+        ngrams = sum(sent[1])
+        assert len(sent[1]) == 3 and ngrams <= 3 * sum(len(tokens(t)) + 1 for t in texts)
+        assert all(sum(s) == ngrams and min(s) > 0 and len(s) <= ngrams for s in sent.values())
+
+
+def test_blocks_are_packed_by_bytes(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    b = pa.record_batch({"doc_id": range(6), "text": ["日本語" * 3] * 5 + ["x" * 100], "held_out": [False] * 6})
+    sizes = [lm_scoring._unpack(pa.Table.from_batches([x])).num_rows for x in lm_scoring._pack([b])]
+    assert sizes == [2, 2, 1, 1]
