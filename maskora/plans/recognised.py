@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskora import engine
@@ -154,11 +154,15 @@ def engine_boxes(lines: DataFrame) -> DataFrame:
     return engine.boxes(lines, engine.Options(keywords=("hello there",)), avatars=avatars, angles=angles)
 
 
+def _sides() -> Column:
+    hundredths = lambda x: F.round(x * 100).cast("long").cast("string")
+    return F.array_join(F.transform("aligned", lambda e: F.concat(hundredths(e["bbox"]["x0"]), F.lit(":"), hundredths(e["bbox"]["x1"]))), ",")
+
+
 def registered(ocr_lines: Callable, page_boxes: Callable, ocr_sql: str, box_sql: str) -> dict[str, tuple[Callable, str | None]]:
-    sides = F.array_join(F.transform("aligned", lambda e: F.concat(F.round(e["bbox"]["x0"] * 100).cast("long").cast("string"), F.lit(":"), F.round(e["bbox"]["x1"] * 100).cast("long").cast("string"))), ",")
     q: dict[str, tuple[Callable, str | None]] = {}
     q["aligned_lines"] = (
-        lambda s, d: Y.aligned_lines(symbol_lines(ocr_lines(s, d))).select("doc_id", "line_no", "text", sides.alias("sides")),
+        lambda s, d: Y.aligned_lines(symbol_lines(ocr_lines(s, d))).select("doc_id", "line_no", "text", _sides().alias("sides")),
         f"WITH {_aligned_sql(ocr_sql)} SELECT doc_id, line_no, string_agg(ch, '' ORDER BY i) AS text, string_agg(concat(CAST(round(a * 100) AS bigint), ':', CAST(round(b * 100) AS bigint)), ',' ORDER BY i) AS sides FROM s GROUP BY doc_id, line_no",
     )
     q["range_boxes"] = (lambda s, d: range_boxes(ocr_lines(s, d)), _boxes_sql(ocr_sql))
