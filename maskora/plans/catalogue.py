@@ -167,7 +167,7 @@ def _registered() -> dict[str, tuple[Callable, str | None]]:
         f"WITH o AS ({OCR_SQL}) SELECT doc_id, line_no, text FROM o a WHERE regexp_matches(text, '\\s[0-9]{{1,2}}:[0-9]{{2}}$') AND EXISTS (SELECT 1 FROM o b WHERE b.doc_id = a.doc_id AND b.line_no != a.line_no AND length(trim(b.text)) >= 3 AND b.y0 >= a.y1 - (a.y1 - a.y0) * 0.1 AND b.y0 - a.y1 <= (a.y1 - a.y0) * 2.5 AND abs(b.x0 - a.x0) <= (a.y1 - a.y0) * 2)",
     )
     q["layout_label_value"] = (lambda s, d: L.label_values(ocr_lines(s, d)), _LABEL_SQL)
-    q["layout_address_continuation"] = (lambda s, d: L.address_continuations(ocr_lines(s, d), L.label_values(ocr_lines(s, d))), None)
+    q["layout_address_continuation"] = (lambda s, d: L.address_continuations(ocr_lines(s, d), L.label_values(ocr_lines(s, d))), _CONTINUED_SQL)
     q["bbox_for_range"] = (
         lambda s, d: ocr_lines(s, d).select("doc_id", "line_no", L.range_box(F.lit(0), F.lit(2), F.length("text"), *map(F.col, ("x0", "y0", "x1", "y1"))).alias("b")).select("doc_id", "line_no", "b.*"),
         f"SELECT doc_id, line_no, floor(x0 + 0.5) AS x, y0 AS y, greatest(10e0, floor((x1 - x0) * (2e0 / length(text)) + 0.5)) AS w, y1 - y0 AS h FROM ({OCR_SQL})",
@@ -292,6 +292,22 @@ f AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM k c WHERE c.doc_id = v.doc
 SELECT doc_id, label_line, value_line, category, label, text AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, label_line ORDER BY same DESC, distance, by0, bx0, value_line) AS place FROM f) WHERE place = 1
 """
 
+
+def _next_line_sql(step: str) -> str:
+    """The first label or address-like line that follows each address of ``step``; a label ends the address."""
+    return f"""SELECT * FROM (SELECT s.doc_id, s.label_line, s.first_line, s.vx0, s.h, b.line_no, b.text, b.y0 AS after, b.y1 AS stop, b.is_label, row_number() OVER (PARTITION BY s.doc_id, s.label_line ORDER BY b.y0, b.x0, b.line_no) AS place
+ FROM {step} s JOIN c b ON b.doc_id = s.doc_id AND b.line_no NOT IN (s.label_line, s.first_line) AND b.y0 - s.stop BETWEEN s.h * -0.1 AND s.h * 1.25 AND abs(b.x0 - s.vx0) <= s.h * 1.5 AND (s.after IS NULL OR b.y0 >= s.after)) z WHERE place = 1 AND NOT is_label"""
+
+
+_CONTINUED_SQL = f"""
+WITH o AS ({OCR_SQL}), v AS ({_LABEL_SQL}),
+c AS (SELECT * FROM (SELECT *, text IN ('氏名:', 'TEL', '住所', 'Email') AS is_label FROM o) k WHERE is_label OR contains(text, '東京都') OR (regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Za-z]'))),
+f AS (SELECT v.doc_id, label_line, value_line AS first_line, a.x0 AS vx0, greatest(8e0, l.y1 - l.y0) AS h, CAST(NULL AS double) AS after, a.y1 AS stop FROM v JOIN o a ON a.doc_id = v.doc_id AND a.line_no = value_line JOIN o l ON l.doc_id = v.doc_id AND l.line_no = label_line WHERE category = 'address'),
+one AS ({_next_line_sql('f')}), two AS ({_next_line_sql('one')})
+SELECT doc_id, label_line, line_no AS value_line, text AS value FROM one UNION SELECT doc_id, label_line, line_no, text FROM two
+"""
+
+
 _COVER_SQL = f"""
 WITH l AS ({OCR_SQL}), b AS (SELECT *, CASE WHEN label != '' THEN concat('[', label, ']') WHEN type = 'person' THEN '[人名]' WHEN type = 'company' THEN '[会社名]' WHEN type = 'custom' THEN '[伏字: 非公開]' ELSE '[非公開]' END AS mark FROM ({BOX_SQL}) WHERE enabled AND type != 'face'),
 c AS (SELECT *, floor(x0 + pos * (greatest(1e0, x1 - x0) / length(text)) + 0.5) AS c0, floor(x0 + (pos + 1) * (greatest(1e0, x1 - x0) / length(text)) + 0.5) AS c1 FROM (SELECT *, unnest(range(length(text))) AS pos FROM l))
