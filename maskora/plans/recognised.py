@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskora import engine
 from maskora.operators import analysis as A
 from maskora.operators import candidates as C
+from maskora.operators import layout as L
 from maskora.operators import spans as S
 from maskora.operators import symbols as Y
 from maskora.sources import drawn as W
@@ -103,6 +104,28 @@ SELECT f.doc_id, f.cand_id, f.x, f.y, f.confidence FROM f JOIN w ON w.doc_id = f
 """
 
 
+def _shapes(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A shape of one of three kinds for each box, and two points on each page."""
+    kind = F.element_at(F.array(F.lit("rect"), F.lit("ellipse"), F.lit("arrow")), (F.col("seq") % 3 + 1).cast("int"))
+    shapes = boxes.select("doc_id", F.col("box_id").alias("shape_id"), "seq", kind.alias("kind"), F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"), F.lit(4.0).alias("width"))
+    point = lambda n, x, y: F.struct(F.lit(n).alias("point_id"), x.alias("px"), F.lit(y).alias("py"))
+    points = boxes.select("doc_id").distinct().select("doc_id", F.inline(F.array(point(1, F.lit(115.0), 30.0), point(2, (F.col("doc_id") % 9 * 7 + 60).cast("double"), 41.0))))
+    return shapes, points
+
+
+def _shape_sql(boxes: str) -> str:
+    """Distances to the outline of a rectangle, to an ellipse as the tools reckon it, and to a segment."""
+    return f"""
+WITH s AS (SELECT doc_id, box_id, seq, seq % 3 AS kind, x AS l, y AS t, x + w AS r, y + h AS b FROM ({boxes})),
+p AS (SELECT doc_id, unnest([1, 2]) AS point_id, unnest([115e0, 60e0 + doc_id % 9 * 7]) AS px, unnest([30e0, 41e0]) AS py FROM (SELECT DISTINCT doc_id FROM s) d),
+z AS (SELECT p.doc_id, point_id, box_id, seq, kind, least(px - l, r - px, py - t, b - py) AS depth, greatest(l - px, px - r, 0) AS dx, greatest(t - py, py - b, 0) AS dy, greatest(1, (r - l) / 2) AS rx, greatest(1, (b - t) / 2) AS ry,
+ px - (l + r) / 2 AS ox, py - (t + b) / 2 AS oy, px - l AS ax, py - t AS ay, r - l AS w, b - t AS h FROM p JOIN s ON s.doc_id = p.doc_id),
+a AS (SELECT *, greatest(0, least(1, (ax * w + ay * h) / (w * w + h * h))) AS along FROM z),
+d AS (SELECT *, CASE kind WHEN 0 THEN CASE WHEN depth >= 0 THEN depth ELSE sqrt(dx * dx + dy * dy) END WHEN 1 THEN abs(sqrt((ox / rx) ** 2 + (oy / ry) ** 2) - 1) * least(rx, ry) ELSE sqrt((ax - along * w) ** 2 + (ay - along * h) ** 2) END AS away FROM a)
+SELECT doc_id, point_id, arg_max(box_id, seq) AS shape_id FROM d WHERE away <= 8 GROUP BY doc_id, point_id
+"""
+
+
 def _analyses(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What a page has (some boxes are the user's), and what a new analysis of it finds."""
     current = boxes.withColumn("is_manual", F.col("seq") % 3 == 0).withColumn("type", F.when(F.col("seq") % 7 == 5, "manual").otherwise(F.col("type")))
@@ -178,6 +201,7 @@ UNION ALL SELECT m.doc_id, m.box_id, coalesce(last, 0) + place, m.type, m.label,
 """,
     )
     q["drawn_conversations"] = (lambda s, d: W.drawn_lines(messages(s, d), symbols=False).select("doc_id", "line_no", "text", "x0", "y0", "x1", "y1"), _DRAWN_SQL)
+    q["shape_hit"] = (lambda s, d: L.shape_at(*_shapes(page_boxes(s, d)), 6.0), _shape_sql(box_sql))
     q["memoised_emails"] = (lambda s, d: memoised_emails(s, d), _MEMO_SQL)
     q["engine_boxes"] = (lambda s, d: engine_boxes(ocr_lines(s, d)), None)
     return q
