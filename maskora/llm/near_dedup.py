@@ -426,3 +426,18 @@ def one_of_each(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, i
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=4)
+
+
+#: Every pair of sets that share a shingle is counted, so it serves for small tables.
+SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS varchar[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS shingles FROM t),
+k AS MATERIALIZED (SELECT r, doc_id, len(shingles) AS n, sha256(array_to_string(list_sort(shingles), chr(10))) AS set_key, shingles FROM s),
+c AS MATERIALIZED (SELECT set_key, min(doc_id) AS rep, any_value(n) AS n, any_value(shingles) AS shingles FROM k WHERE n > 0 AND doc_id IS NOT NULL GROUP BY set_key),
+u AS MATERIALIZED (SELECT set_key, n, unnest(shingles) AS shingle FROM c),
+l AS MATERIALIZED (SELECT a.set_key AS a, b.set_key AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.set_key <> b.set_key GROUP BY a.set_key, b.set_key, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT set_key AS a, set_key AS b FROM c UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+m AS (SELECT reach.a AS set_key, min(c.rep) AS component_id FROM reach JOIN c ON c.set_key = reach.b GROUP BY reach.a)
+SELECT k.doc_id, k.n AS n_shingles, CASE WHEN k.doc_id IS NULL THEN NULL ELSE coalesce(m.component_id, k.doc_id) END AS component_id, coalesce(k.doc_id = coalesce(m.component_id, k.doc_id), true) AS kept
+FROM k LEFT JOIN m ON m.set_key = k.set_key
+"""

@@ -123,3 +123,29 @@ def candidate_owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def query(spark, sf_dir: str) -> DataFrame:
     return secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in words)
+
+
+def _matches_sql(kind: int, pattern: str, secret: int, keep: str) -> str:
+    """Places of a pattern's matches: the text between the matches and the matches before, added up."""
+    return f"""SELECT r, {kind} AS kind, CAST(begins AS bigint) AS s, CAST(begins AS bigint) + length(m) AS e, secret FROM (SELECT r, m, secret,
+ sum(length(gap)) OVER in_text + coalesce(sum(length(m)) OVER (in_text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM (SELECT r, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(secrets) AS secret, unnest(gaps[:len(ms)]) AS gap
+ FROM (SELECT r, regexp_extract_all(text, $p${pattern}$p$) AS ms, regexp_extract_all(text, $p${pattern}$p$, {secret}) AS secrets, string_split_regex(text, $p${pattern}$p$) AS gaps FROM d)) WINDOW in_text AS (PARTITION BY r ORDER BY i)) WHERE {keep}"""
+
+
+_ASSIGN_SQL = f"""({_either_case('password|passwd|secret|token|api_?key')})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+b AS MATERIALIZED ({_matches_sql(0, _ASSIGN_SQL, 2, f"length(secret) >= {SHORTEST_ASSIGNED}")} UNION ALL {_matches_sql(1, "AKIA[A-Z0-9]+", 0, "length(m) >= 20")} UNION ALL {_matches_sql(2, "[0-9a-f]+", 0, "length(m) >= 24")}),
+o AS ({_matches_sql(3, "[A-Za-z0-9+/_-]+", 0, "length(m) >= 24 AND (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') OR regexp_matches(m, '[a-z][A-Z]'))")}),
+x AS MATERIALIZED (SELECT * FROM b UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.r = o.r AND b.s < o.e AND b.e > o.s)),
+v AS (SELECT secret, count(DISTINCT owner) <= {LIVE_OWNERS} AND count(DISTINCT concat(coalesce(CAST(doc_id AS varchar), ''), ':', owner)) <= {LIVE_REPOSITORIES} AS live FROM x JOIN d USING (r) GROUP BY secret),
+y AS (SELECT r, kind, s, concat({list(KINDS)}[kind + 1], ':', s, ':', e) AS shown, live FROM x JOIN v USING (secret)),
+g AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(shown, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+ string_agg(shown, ',' ORDER BY s, kind) FILTER (kind < 3 OR live) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied FROM y GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN g USING (r)
+"""

@@ -225,3 +225,15 @@ def archived(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: The digest in base32: 5 hexadecimal digits are 4 of its letters.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages),
+r AS (SELECT page_id, payload, hex, max(page_id) OVER (PARTITION BY payload) AS response FROM p)
+SELECT page_id, strlen(payload) AS payload_bytes,
+ array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS bigint), 5) AS bigint) >> (15 - i % 4 * 5)) & 31 AS bigint) + 1, 1)), '') AS payload_digest,
+ CASE WHEN response IS NULL OR page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN response IS NOT NULL AND page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM r
+"""
