@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from maskora.llm import exact_dedup
 from tests.llm.fixtures import awkward_docs, docs_frame, prose
@@ -28,11 +29,27 @@ def test_awkward_rows(spark):
 
 def test_equal_chunk_hashes_are_told_apart(spark, monkeypatch):
     rows = [(i, f"text number {i % 7}") for i in range(20)]
+    rows += [(30, f"text number {i}") for i in range(9)] + [(None, "text number 3"), (None, "text number 8")]
     real = exact_dedup.F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda c: real(c) % 2)
     assert found(docs_frame(spark, rows)) == brute(rows)
 
 
+def test_cuts_follow_the_content_in_every_script(spark):
+    """Texts that begin differently have most chunks in common, none is as long as the longest allowed."""
+    rng = random.Random(1)
+    japanese = ["また明日の会議は、", "資料を確認。", "東京に行く", "大阪", "新しい机", "電話番号です。"]
+    spaced = ["слово ", "другое ", "да ", "λόγος ", "كلمة ", "단어 ", "предложение "]
+    for words in (japanese, spaced, [*japanese, *spaced, "word ends ", "and "]):
+        text = "".join(rng.choice(words) for _ in range(6_000))
+        rows = [(1, text), (2, "Ж" * 37 + text), (3, text[101:])]
+        texts = docs_frame(spark, rows).select("doc_id", exact_dedup._chunks(exact_dedup.F.col("text")).alias("chunks")).collect()
+        chunks = {r["doc_id"]: r["chunks"] for r in texts}
+        assert all("".join(chunks[i]) == t for i, t in rows)
+        assert max(len(c) for c in chunks[1]) < exact_dedup.MAX_CHUNK
+        assert all(len({*chunks[1]} & {*chunks[k]}) >= 0.5 * len({*chunks[1]}) for k in (2, 3))
+
+
 def test_empty_table_and_rows_that_stay(spark):
     assert found(docs_frame(spark, [])) == []
     rows = awkward_docs()
