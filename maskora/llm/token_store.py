@@ -16,6 +16,7 @@ manifest, a table with a row for each shard, says which files count, so repeated
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -181,9 +182,33 @@ class ShardReader:
             yield from self._entries(b)
 
 
+def _splits_at_words(tokenizer_json: str) -> bool:
+    """Whether a tokenizer splits by PATTERN and changes nothing before its merges, so that chunks can be encoded apart."""
+    settings = json.loads(tokenizer_json)
+    splits, model = settings.get("pre_tokenizer") or {}, settings["model"]
+    return (
+        settings.get("normalizer") is None
+        and splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
+        and model.get("type", "BPE") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and all(t["special"] for t in settings.get("added_tokens") or [])
+    )
+
+
+class _WholeTexts:
+    """In place of a memo for tokenizers of which nothing is known: each text goes through all of the library."""
+
+    def __init__(self, encode_many):
+        self._encode_many = encode_many
+
+    def encode(self, texts: list) -> list[bytes]:
+        return self._encode_many([t or "" for t in texts])
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library; special tokens' strings in a text are ordinary text.
 
+    Tokenizers that do not split by PATTERN, or that change texts first, encode every text as a whole. For the others:
+
     Distinct chunks of the Latin script are split by the library's own pattern here; their distinct matches go through
     its merges many at a time, as one text with a delimiter that no match holds, and the ids are dealt back by the
     characters that each stands for. Other chunks go through all of the library.
@@ -194,8 +219,13 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
         self._tokenizer.encode_special_tokens = True
+        self._tokenizer.no_truncation()
+        self._tokenizer.no_padding()
         self.width = 2 if self._tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._dtype = f"<u{self.width}"
+        if not _splits_at_words(tokenizer_json):
+            self.memo = _WholeTexts(self._encode_many)
+            return
         model = Tokenizer.from_str(tokenizer_json).model
         if hasattr(model, "_resize_cache"):  # the memo below is the cache
             model._resize_cache(0)
@@ -277,14 +307,14 @@ def open_shard(path: str) -> ShardReader:
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode the texts, write the shards into ``folder`` and return their manifest, a row for each shard:
-    ``(path, first_id, hashed, n_rows, n_tokens)`` in order of ``(first_id, hashed)``."""
+    ``(path, first_id, hashed, n_rows, n_tokens, last_id)`` in order of ``(first_id, hashed)``."""
     with open(tokenizer) as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("hashed", F.xxhash64("text"))
     shards = (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES + 1
 
     def run(batches):
-        encoder, writer, path, first = _encoder(model.value), None, f"{folder}/{uuid.uuid4().hex}.sst", None
+        encoder, writer, path, first, doc_id = _encoder(model.value), None, f"{folder}/{uuid.uuid4().hex}.sst", None, None
         for b in batches:
             ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
             for i, j in pieces(texts):
@@ -294,13 +324,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, id_co
                     writer.add(key_of(doc_id), value + END_ID.to_bytes(encoder.width, "little"))
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "first_id": first[0], "hashed": first[1], "n_rows": writer.rows, "n_tokens": writer.tokens}], MANIFEST)
+            yield pa.RecordBatch.from_pylist([{"path": path, "first_id": first[0], "hashed": first[1], "n_rows": writer.rows, "n_tokens": writer.tokens, "last_id": doc_id}], MANIFEST)
 
     ordered = base.repartitionByRange(max(shards, docs.sparkSession.sparkContext.defaultParallelism), "doc_id", "hashed").sortWithinPartitions("doc_id", "hashed")
-    return written(ordered.mapInArrow(run, "path string, first_id long, hashed long, n_rows long, n_tokens long"), "token-manifest")
+    return written(ordered.mapInArrow(run, "path string, first_id long, hashed long, n_rows long, n_tokens long, last_id long"), "token-manifest")
 
 
-MANIFEST = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("hashed", pa.int64()), ("n_rows", pa.int64()), ("n_tokens", pa.int64())])
+MANIFEST = pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("hashed", pa.int64()), ("n_rows", pa.int64()), ("n_tokens", pa.int64()), ("last_id", pa.int64())])
 ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -329,12 +359,33 @@ def read_shards(manifest: DataFrame) -> DataFrame:
     return placed.select("path", "base").repartition(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def lookup(manifest: DataFrame, doc_ids: list[int]) -> DataFrame:
+    """``(doc_id, ids)``, a row for each stored row with one of the ids, end id included; unknown ids give none.
+
+    Only shards whose range holds an asked id are opened, and of these only what the filter and the index point to.
+    """
+    asked = sorted({*doc_ids})
+
+    def run(batches):
+        for b in batches:
+            for path, low, high in zip(*(b[x].to_pylist() for x in ("path", "first_id", "last_id")), strict=True):
+                shard, found = open_shard(path), []
+                for doc_id in asked[0 if low is None else bisect_left(asked, low) : bisect_right(asked, high)]:
+                    found += [(doc_id, np.frombuffer(v, f"<u{shard.width}").astype(np.int64)) for v in shard.get(doc_id)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    held = F.exists(F.array(*map(F.lit, asked)).cast("array<bigint>"), lambda x: F.coalesce(F.col("first_id") <= x, F.lit(True)) & (x <= F.col("last_id")))
+    return manifest.filter(held).select("path", "first_id", "last_id").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def stored_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all rows to shards in ascending doc_id order and read them back.
 
     Null and empty texts hold the end id alone. A null doc_id comes before all others; rows repeated with one
-    doc_id come in the order of their texts' hashes, each with its own place. An empty table writes no shard
-    and gives an empty result. Other columns are not read.
+    doc_id come in the order of their texts' hashes, each with its own place. A very long text is encoded
+    alone and is one entry of its shard. An empty table writes no shard and gives an empty result. Other columns are
+    not read.
     """
     return read_shards(write_shards(docs, scratch(docs.sparkSession, "token-shards"), tokenizer, id_col, text_col))
 

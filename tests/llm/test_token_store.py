@@ -37,6 +37,27 @@ def test_ids_equal_the_library(text):
     assert got == PLAIN.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_encode_whole_texts():
+    """A tokenizer that lower-cases or splits otherwise gives the library's own ids."""
+    path = ts.public_tokenizers.path("word_bpe_49k.json")
+    whole, encoder = Tokenizer.from_file(path), ts.Encoder(open(path).read())
+    whole.encode_special_tokens = True
+    whole.no_truncation()
+    texts = ["Some  Text, IT'S 2024\n\n and more", "", None, " lead", "日本語 text", "a " * 3_000]
+    got = [np.frombuffer(x, f"<u{encoder.width}").tolist() for x in encoder.memo.encode(texts)]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert isinstance(encoder.memo, ts._WholeTexts) and not isinstance(ENCODER.memo, ts._WholeTexts)
+
+
+def test_lookup_in_all_shards(spark, tmp_path):
+    rows = awkward_docs()
+    manifest = ts.write_shards(docs_frame(spark, rows), str(tmp_path))
+    wanted = [7, 100, 105, -3, 10**15, 0, 7]
+    got = sorted((r["doc_id"], tuple(r["ids"])) for r in ts.lookup(manifest, wanted).collect())
+    assert got == sorted((i, tuple(np.frombuffer(value(t), "<u4").tolist())) for i, t in rows if i in wanted)
+    assert ts.lookup(manifest, []).collect() == []
+
+
 def test_empty_table(spark):
     assert ts.stored_tokens(docs_frame(spark, [])).collect() == []
 
