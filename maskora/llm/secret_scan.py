@@ -42,10 +42,13 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def mixed_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Candidates that no base span overlaps."""
-    out = []
+    """Candidates that no base span overlaps; both lists are in order of start, so one sweep meets them."""
+    out, at, reached = [], 0, 0
     for m in _MIXED.finditer(text):
-        if (_DIGIT.search(m[0]) and _LETTER.search(m[0]) or _CASES.search(m[0])) and all(m.end() <= s or e <= m.start() for s, _, e, _ in taken):
+        while at < len(taken) and taken[at][0] < m.end():
+            reached = max(reached, taken[at][2])
+            at += 1
+        if reached <= m.start() and (_DIGIT.search(m[0]) and _LETTER.search(m[0]) or _CASES.search(m[0])):
             out.append((m.start(), 3, m.end(), m[0]))
     return out
 
@@ -89,7 +92,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own
     """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied)``, one row for each input row.
 
     ``n_live`` and ``n_copied`` count the row's candidates, base ones included, by what the corpus says of them.
-    Null and empty texts have no spans. A null owner is an owner of its own. Rows are independent of their order;
+    Null and empty texts have no spans; a very long text is scanned whole, as one list of spans. A null owner is an owner of its own. Rows are independent of their order;
     repeated rows give repeated results and count as one repository. An empty table gives an empty result.
     Other columns are not read.
     """

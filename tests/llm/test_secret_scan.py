@@ -33,6 +33,14 @@ def test_base_spans(text):
     assert [(s, k, e) for s, k, e, _ in ss.base_spans(text)] == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=40).map("".join))
+def test_candidates_overlap_no_base_span(text):
+    base = ss.base_spans(text)
+    every = [(m.start(), 3, m.end(), m[0]) for m in ss._MIXED.finditer(text) if ss._DIGIT.search(m[0]) and ss._LETTER.search(m[0]) or ss._CASES.search(m[0])]
+    assert ss.mixed_spans(text, base) == [x for x in every if all(x[2] <= s or e <= x[0] for s, _, e, _ in base)]
+
+
 def test_operator(spark):
     live, copied = "Zx81" * 7, "Qw27" * 8
     extra = [
