@@ -153,7 +153,7 @@ def decode_documents(encoded: DataFrame, ranks: str = RANKS) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for each row, encoded and decoded in one pass.
 
-    Null and empty texts have no ids, and both digests are those of nothing. Rows are independent: repeated
+    Null and empty texts have no ids, and both digests are those of nothing; a very long text is encoded alone. Rows are independent: repeated
     rows give repeated results, an empty table none; other columns are not read.
     """
     model = _model(docs.sparkSession, ranks)

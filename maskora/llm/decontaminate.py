@@ -214,7 +214,8 @@ def _slices(benchmark: DataFrame):
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, start_word, n_words, edits)``: for each contaminated row and item the nearest window, the first of equally near ones.
 
-    Words are lower-cased and white space does not count. Null and wordless texts and items match nothing.
+    Words are lower-cased and white space does not count. Null and wordless texts and items match nothing;
+    all windows of a very long text are looked at, a piece of the table at a time.
     Repeated rows give repeated results; items with equal words each give theirs. A row without doc_id keeps
     its null. Empty tables give an empty result. Other columns are not read.
     """

@@ -215,7 +215,7 @@ def lookup(directory: DataFrame, url: str) -> list[dict]:
 def archived(pages: DataFrame, least_revisit: int = LEAST_REVISIT) -> DataFrame:
     """Write the pages and read them back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
-    A null html is an empty payload. Of equal payloads the largest page_id is the response; where a whole group
+    A null html is an empty payload; a very long one is a record like others, held whole while it is written or read. Of equal payloads the largest page_id is the response; where a whole group
     has no page_id, each of its rows is one. Rows repeated with one page_id are records of their own, all of them
     responses if the first is. A null url has the empty key. An empty table writes nothing. Other columns are not read.
     """
