@@ -150,7 +150,7 @@ def merge_spans(spans: Column, line: Column) -> Column:
 
         return F.when(first == 0, F.concat(acc, F.array(x))).otherwise(F.transform(acc, changed)).cast(f"array<{SPAN}>")
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, empty, step)).otherwise(empty)
+    return T.bound(spans, lambda found: F.when(F.size(found) > 0, F.aggregate(found, empty, step)).otherwise(empty))
 
 
 def pii_spans(line: Column, rules: list[Rule] | None = None, norm: Column | None = None) -> Column:

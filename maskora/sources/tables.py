@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt by their key to more tasks than there are cores: a small file is read by few, and little of it can be much work.
+
+    The number is given, so that adaptive execution does not join the parts again by their size.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def split_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, line_no, line)``: long texts are cut into lines before anything is detected."""
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n", -1)).alias("line_no", "line"))
@@ -39,4 +48,4 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jp_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS doc_id", "0 AS line_no", f"{JP_LINE} AS line")
+    return spread(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").selectExpr("c_custkey AS doc_id", "0 AS line_no", f"{JP_LINE} AS line")
