@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r " + "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: What recognised text may have between characters.
 SPACE = r" \t\n\r" + "\u3000\u00a0"
+SPACE_MEMBERS = " \t\n\r\u3000\u00a0"
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}"
 CJK_MARKS = "\u3000-\u303f\u3040-\u309f\u30a0-\u30ff"
 CJK_BLOCKS = CJK_MARKS + "\u4e00-\u9faf"
@@ -94,6 +95,18 @@ def bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def characters(s: Column) -> Column:
+    """The code points of a text as an array; none of an empty one."""
+    return F.when(F.length(s) > 0, F.split(s, "")).otherwise(F.array().cast("array<string>"))
+
+
+def kept_spaces(s: Column, joins: str) -> Column:
+    """As :func:`kept_places` with :func:`recognised_spaces`, by a few scans of the whole text: for each character whether it stays."""
+    kinds = F.regexp_replace(F.regexp_replace(s, f"[^{joins}{SPACE}]", "x"), f"[{joins}&&[^{SPACE}]]", "j")
+    gone = F.regexp_replace(kinds, f"^[{SPACE}]|(?<=[{SPACE}])[{SPACE}]|(?<=j)[{SPACE}](?=[{SPACE}]*+j)", "d")
+    return F.transform(F.split(gone, ""), lambda k: k != "d")
+
+
 def kept_places(s: Column, members: str, stays) -> Column:
     """For each character whether it stays, as an array: runs of the class ``members`` as ``stays(before, run, after)`` says, all others do.
 

@@ -33,7 +33,14 @@ def _characters(piece: Column) -> Column:
         edge = lambda k: box["x0"] + wide * k / n
         return F.transform(chars, lambda ch, k: _entry(ch, edge(k), box["y0"], F.when(n == 1, box["x1"]).otherwise(edge(k + 1)), box["y1"], piece["confidence"]))
 
-    return T.bound(F.regexp_extract_all(T.half_width(F.coalesce(piece["text"], F.lit(""))), F.lit("(?s)."), F.lit(0)), share)
+    return T.bound(T.characters(T.half_width(F.coalesce(piece["text"], F.lit("")))), share)
+
+
+def _pieces_characters(pieces: Column) -> Column:
+    """The characters of all symbols. Where each symbol is one character, as most are, they keep their boxes as these are."""
+    single = lambda chars: F.transform(pieces, lambda e, k: F.struct(F.get(chars, k).alias("text"), e["bbox"].alias("bbox"), e["confidence"].alias("confidence")))
+    own = T.bound(T.characters(T.half_width(_joined(pieces))), single)
+    return F.when(F.exists(pieces, lambda e: F.coalesce(F.length(e["text"]), F.lit(0)) != 1), F.flatten(F.transform(pieces, _characters))).otherwise(own)
 
 
 def _joined(entries: Column) -> Column:
@@ -52,7 +59,7 @@ def aligned_text(raw: Column, words: Column, symbols: Column, box: dict[str, Col
     """
     none = F.array().cast(SYMBOLS)
     symbols, words = F.coalesce(symbols, none), F.coalesce(words, none)
-    pieces = F.flatten(F.transform(F.when(F.size(symbols) > 0, symbols).otherwise(words), _characters))
+    pieces = T.bound(F.when(F.size(symbols) > 0, symbols).otherwise(words), _pieces_characters)
     plain = T.join_cjk(T.normalize_recognised(T.trim_all(F.coalesce(raw, F.lit("")))))
 
     def shares(chars: Column) -> Column:
@@ -61,12 +68,12 @@ def aligned_text(raw: Column, words: Column, symbols: Column, box: dict[str, Col
         return F.struct(plain.alias("text"), F.transform(chars, lambda ch, k: _entry(ch, edge(k), box["y0"], edge(k + 1), box["y1"], confidence)).cast(SYMBOLS).alias("aligned"))
 
     def of_pieces(p: Column) -> Column:
-        return _masked(p, T.kept_places(_joined(p), T.SPACE, T.recognised_spaces(SPACED_ALIKE)))
+        return T.bound(_joined(p), lambda t: F.when(t.rlike(f"[{T.SPACE}]"), _masked(p, T.kept_spaces(t, SPACED_ALIKE))).otherwise(p))
 
     def finished(kept: Column) -> Column:
-        spaced = F.transform(kept, lambda e: F.struct(F.when(e["text"].rlike(f"[{T.SPACE}]"), " ").otherwise(e["text"]).alias("text"), e["bbox"].alias("bbox"), e["confidence"].alias("confidence")))
+        spaced = F.transform(kept, lambda e: F.struct(F.translate(e["text"], T.SPACE_MEMBERS, " " * len(T.SPACE_MEMBERS)).alias("text"), e["bbox"].alias("bbox"), e["confidence"].alias("confidence")))
         own = T.bound(spaced, lambda s: F.struct(_joined(s).alias("text"), s.cast(SYMBOLS).alias("aligned")))
-        return F.when(F.size(kept) > 0, own).otherwise(T.bound(F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0)), shares))
+        return F.when(F.size(kept) > 0, own).otherwise(T.bound(T.characters(plain), shares))
 
     return T.bound(T.bound(pieces, of_pieces), finished)
 
@@ -76,23 +83,32 @@ def cleaned_text(text: Column, aligned: Column) -> Column:
     blocks = f"[{T.CJK_BLOCKS}]"
     bridge = lambda before, after: F.coalesce(F.right(before, F.lit(1)).rlike(blocks) & F.left(after, F.lit(1)).rlike(blocks), F.lit(False))
     flags = T.kept_places(text, T.WS, lambda before, run, after: F.array_repeat(~bridge(before, after), F.length(run)))
-    return F.struct(T.join_cjk(text).alias("text"), _masked(aligned, flags).alias("aligned"))
+    cleaned = F.struct(T.join_cjk(text).alias("text"), _masked(aligned, flags).alias("aligned"))
+    same = F.coalesce(~text.rlike(f"{blocks}[{T.WS}]+{blocks}"), F.lit(False))  # most lines: nothing to take out
+    return F.when(same, F.struct(text.alias("text"), aligned.alias("aligned"))).otherwise(cleaned)
 
 
-def aligned_lines(lines: DataFrame, clean: bool = True) -> DataFrame:
+def aligned_lines(lines: DataFrame, clean: bool = True, where: Column | None = None) -> DataFrame:
     """``lines(doc_id, line_no, text, x0, y0, x1, y1, words, symbols, confidence)`` with the aligned ``text`` and ``aligned``, cleaned too.
 
     ``raw_text`` keeps the text as it came. Null words, symbols and texts count as empty; an empty line has no entries.
+    Lines for which ``where`` does not hold keep their text, and have null for ``aligned``.
     """
     box = {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}
-    rows = lines.withColumn("_made", aligned_text(F.col("text"), F.col("words"), F.col("symbols"), box, F.col("confidence"))).withColumn("raw_text", F.col("text"))
+    made = aligned_text(F.col("text"), F.col("words"), F.col("symbols"), box, F.col("confidence"))
+    if where is not None:
+        made = F.when(where, made).otherwise(F.struct(F.col("text").alias("text"), F.lit(None).cast(SYMBOLS).alias("aligned")))
+    rows = lines.withColumn("_made", made).withColumn("raw_text", F.col("text"))
     rows = rows.withColumns({"text": F.col("_made.text"), "aligned": F.col("_made.aligned")}).drop("_made")
-    return cleaned_lines(rows) if clean else rows
+    return cleaned_lines(rows, where) if clean else rows
 
 
-def cleaned_lines(lines: DataFrame) -> DataFrame:
+def cleaned_lines(lines: DataFrame, where: Column | None = None) -> DataFrame:
     """Aligned lines without white space inside Japanese and Chinese text."""
-    rows = lines.withColumn("_made", cleaned_text(F.col("text"), F.col("aligned")))
+    made = cleaned_text(F.col("text"), F.col("aligned"))
+    if where is not None:
+        made = F.when(where, made).otherwise(F.struct(F.col("text").alias("text"), F.col("aligned").alias("aligned")))
+    rows = lines.withColumn("_made", made)
     return rows.withColumns({"text": F.col("_made.text"), "aligned": F.col("_made.aligned")}).drop("_made")
 
 
@@ -161,12 +177,12 @@ def span_box(start: Column, end: Column, text: Column, box: dict[str, Column], a
     get = lambda x: none if x is None else F.coalesce(x, none)
     aligned, symbols, words = get(aligned), get(symbols), get(words)
     own = F.when(F.size(aligned) == n, _around(F.slice(aligned, start + 1, F.greatest(F.lit(1), end - start))))
-    spelled = T.bound(F.when(F.size(aligned) > 0, aligned).otherwise(symbols), lambda s: _by_occurrence(start, end, text, s))
+    spelled = T.bound(F.when(F.size(aligned) > 0, aligned).otherwise(symbols), lambda s: F.when(F.size(s) > 0, _by_occurrence(start, end, text, s)))
     share = L.range_box(start, end, n, *(box[k] for k in ("x0", "y0", "x1", "y1"))).cast(_BOX)
     valid = (start >= 0) & (end <= n) & (start < end)
 
     def numbered(found: Column, mode: int) -> Column:
         return T.bound(found, lambda b: F.when(b.isNotNull(), F.struct(*(b[k].alias(k) for k in "xywh"), F.lit(mode).alias("mode"))))
 
-    ways = (own, spelled, _by_words(start, end, text, words), share)
+    ways = (own, spelled, F.when(F.size(words) > 0, _by_words(start, end, text, words)), share)
     return F.when(valid, F.coalesce(*(numbered(found, mode) for mode, found in enumerate(ways, 1))))

@@ -30,7 +30,7 @@ def symbol_lines(lines: DataFrame) -> DataFrame:
     line, kind, x0 = F.col("text"), F.col("line_no") % 4, F.col("x0")
     spaced = F.regexp_replace(line, "(.)", "$1 ")
     at = lambda n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: k)
-    single = F.transform(at(F.length(spaced)), lambda k: _piece(F.substring(spaced, k + 1, F.lit(1)), x0 + 5.0 * k, x0 + 5.0 * k + 5))
+    single = F.transform(F.split(spaced, ""), lambda ch, k: _piece(ch, x0 + 5.0 * k, x0 + 5.0 * k + 5))
     triple = F.transform(at(F.ceil(F.length(line) / 3)), lambda k: _piece(F.substring(line, (3 * k + 1).cast("int"), F.lit(3)), x0 + 30.0 * k, x0 + 30.0 * k + 28))
     words = F.transform(F.split(line, " "), lambda w, k: _piece(w, x0 + 100.0 * k, x0 + 100.0 * k + 10 * F.length(w)))
     none = F.array().cast(Y.SYMBOLS)
@@ -72,12 +72,14 @@ FROM v WHERE length(text) > 1
 def range_boxes(lines: DataFrame) -> DataFrame:
     """A range of each line and its box. Lines of kind 0 come aligned; the others as the recogniser gave them."""
     given = symbol_lines(lines)
-    made = Y.aligned_lines(given)
     kind = F.col("line_no") % 4
-    rows = made.withColumns({"text": F.when(kind == 0, F.col("text")).otherwise(F.col("raw_text")), "aligned": F.when(kind == 0, F.col("aligned"))}).filter(F.length("text") > 1)
+    made = Y.aligned_lines(given, where=kind == 0)
+    rows = made.withColumns({"text": F.when(kind == 0, F.col("text")).otherwise(F.col("raw_text")), "aligned": F.when(kind == 0, F.col("aligned"))})
     stop = F.greatest(F.lit(2), F.length("text") - F.floor(F.col("line_no") / 4).cast("int"))
     box = Y.span_box(F.lit(1), stop, F.col("text"), {k: F.col(k) for k in ("x0", "y0", "x1", "y1")}, F.col("aligned"), F.col("symbols"), F.col("words"))
-    return rows.select("doc_id", "line_no", box.alias("b")).select("doc_id", "line_no", "b.mode", F.round("b.x", 6).alias("x"), "b.y", F.round("b.w", 6).alias("w"), "b.h")
+    # shorter lines have no such range and no box; a filter on the text would be pushed below and work out the alignment once more
+    found = rows.select("doc_id", "line_no", F.explode_outer(F.array(box)).alias("b")).filter("b IS NOT NULL")
+    return found.select("doc_id", "line_no", "b.mode", F.round("b.x", 6).alias("x"), "b.y", F.round("b.w", 6).alias("w"), "b.h")
 
 
 def _overlap_sql(a: str, b: str, share: float) -> str:

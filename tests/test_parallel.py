@@ -17,3 +17,15 @@ def test_customer_lines_are_dealt_to_all_cores(spark, tmp_path):
     found = S.detect_pii(lines, [r for r in S.FREE if r.category == "money"])
     found.collect()
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_alignment_is_planned_once(spark):
+    """A filter on the aligned text went below the alignment, and worked it out once more."""
+    from maskora.plans import catalogue
+
+    filters = [x for x in _plan(catalogue.queries()["range_boxes"](spark, SF_DIR)).splitlines() if x.lstrip(" +-:").startswith("Filter")]
+    assert not any("transform" in x or "lambda" in x for x in filters)
