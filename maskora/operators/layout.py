@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from maskora.functions import text as T
 from maskora.operators.bands import BAND, banded, share_band
+from maskora.sources.scratch import materialised
 
 _W = T.WS
 # Lines that are labels of a form, and what they label.
@@ -99,8 +100,8 @@ def label_values(lines: DataFrame) -> DataFrame:
     on_row = (_y_overlap(c("p.ay0"), c("p.ay1"), c("o.y0"), c("o.y1")) >= 0.55) & (c("o.x0") > c("p.ax1")) & (c("o.x0") < c("p.bx0"))
     under = (c("o.y0") > c("p.ay1")) & (c("o.y0") < c("p.by0")) & (F.abs(c("o.x0") - c("p.ax0")) <= c("p.h") * 2)
     barred = share_band("p", "o", once=False) & (c("p.label_line") != c("o.line_no")) & ((c("p.same") & on_row) | (~c("p.same") & under))
-    facts = [F.first(f"p.{k}").alias(k) for k in ("kind", "text", "same", "distance", "by0", "bx0")]
-    open_ = p.join(o, barred, "left").groupBy("p.doc_id", "p.label_line", "p.value_line").agg(*facts, F.count("o.line_no").alias("bars")).filter("bars = 0")
+    facts = [f"p.{k}" for k in ("kind", "text", "same", "distance", "by0", "bx0")]  # the pair's own; as keys, a count by hash without a sort
+    open_ = p.join(o, barred, "left").groupBy("p.doc_id", "p.label_line", "p.value_line", *facts).agg(F.count("o.line_no").alias("bars")).filter("bars = 0")
     order = Window.partitionBy("doc_id", "label_line").orderBy(F.col("same").desc(), "distance", "by0", "bx0", "value_line")
     best = open_.withColumn("place", F.row_number().over(order)).filter("place = 1")
     return best.select("doc_id", "label_line", "value_line", F.col("kind.category").alias("category"), F.col("kind.label").alias("label"), F.col("text").alias("value"))
@@ -114,7 +115,9 @@ def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "line_no", T.trim_all(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1")
     first = values.filter("category = 'address'").join(rows.select("doc_id", F.col("line_no").alias("value_line"), F.col("x0").alias("vx0"), F.col("y1").alias("end")), ["doc_id", "value_line"])
     first = first.join(rows.select("doc_id", F.col("line_no").alias("label_line"), F.greatest(F.lit(8.0), F.col("y1") - F.col("y0")).alias("h")), ["doc_id", "label_line"])
+    # what both steps read is written once: else each step would find the labels' values again, and the second one the first step too
     step, found = first.select("doc_id", "label_line", F.col("value_line").alias("first_line"), F.lit(None).cast("double").alias("after"), "vx0", "end", "h"), []
+    step = materialised(step, "addresses")
     for _ in range(2):
         reach = banded(step, F.col("end") - F.col("h") * 0.1, F.col("end") + F.col("h") * 1.25).drop("first_band")
         near = reach.join(rows.withColumn("band", F.floor(F.col("y0") / BAND)), ["doc_id", "band"]).filter(
@@ -124,6 +127,7 @@ def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
         near = near.filter(F.col("is_label") | T.is_address_value(F.col("text")))
         order = Window.partitionBy("doc_id", "label_line").orderBy("y0", "x0", "line_no")
         taken = near.withColumn("place", F.row_number().over(order)).filter("place = 1 and not is_label")
+        taken = materialised(taken.select("doc_id", "label_line", "first_line", "line_no", "text", "vx0", "y0", "y1", "h"), "address-lines")
         found.append(taken.select("doc_id", "label_line", F.col("line_no").alias("value_line"), F.col("text").alias("value")))
         step = taken.select("doc_id", "label_line", "first_line", F.col("y0").alias("after"), "vx0", F.col("y1").alias("end"), "h")
     return found[0].unionByName(found[1]).distinct()

@@ -29,3 +29,11 @@ def test_alignment_is_planned_once(spark):
 
     filters = [x for x in _plan(catalogue.queries()["range_boxes"](spark, SF_DIR)).splitlines() if x.lstrip(" +-:").startswith("Filter")]
     assert not any("transform" in x or "lambda" in x for x in filters)
+
+
+def test_address_lines_are_read_where_they_were_written(spark):
+    """Both steps found all labels' values anew."""
+    from maskora.plans import catalogue
+
+    plan = _plan(catalogue.queries()["layout_address_continuation"](spark, SF_DIR))
+    assert "Join" not in plan and "l_partkey" not in plan
