@@ -96,33 +96,50 @@ def character_cover(lines: DataFrame, boxes: DataFrame) -> DataFrame:
         F.slice(parts, F.lit(1), F.greatest(F.lit(0), F.size(parts) - 1)), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
         lambda acc, p: F.struct((acc["pos"] + F.length(p) + F.length(word)).alias("pos"), F.concat(acc["out"], F.array(acc["pos"] + F.length(p))).alias("out")), lambda acc: acc["out"],
     )
-    pairs = pairs.withColumn("named", F.coalesce(starts, F.array().cast("array<int>"))).withColumn("word_length", F.length(word))
-    places = F.filter(F.sequence(F.lit(0), n - 1), lambda i: covered(i) | F.exists("named", lambda s: (i >= s) & (i < s + c("word_length"))))
-    chars = pairs.select("doc_id", "line_no", F.explode(places).alias("pos"), F.struct("seq", "box_id", "type", "mark").alias("box"))
+    spots = lambda s: F.sequence(s, s + F.length(word) - 1)
+    pairs = pairs.withColumn("named", F.coalesce(F.flatten(F.transform(starts, spots)), F.array().cast("array<int>")))
+    # a character under the box ends right of its left side and begins left of its right side; two more on each side for rounding
+    first, last = (c("x") - c("x0")) / share - 3, (c("x") + c("w") - c("x0")) / share + 3
+    anywhere = (F.size("named") > 0) | first.isNull() | last.isNull() | F.isnan(first) | F.isnan(last)
+    if has_own:
+        anywhere = anywhere | F.coalesce(F.size("aligned") == n, F.lit(False))
+    low = F.when(anywhere, F.lit(0)).otherwise(F.floor(F.greatest(F.lit(0.0), F.least(first, n.cast("double"))))).cast("int")
+    high = F.when(anywhere, n - 1).otherwise(F.floor(F.least(n - 1.0, F.greatest(last, F.lit(-1.0))))).cast("int")
+    ranges = pairs.withColumns({"low": low, "high": high}).filter("low <= high")
+    # a row for each character: a condition on rows is compiled, one in a lambda is not
+    chars = ranges.select("*", F.explode(F.sequence("low", "high")).alias("pos")).filter(covered(c("pos")) | F.array_contains("named", c("pos")))
+    chars = chars.select("doc_id", "line_no", "pos", F.struct("seq", "box_id", "type", "mark").alias("box"))
     return chars.groupBy("doc_id", "line_no", "pos").agg(F.max("box").alias("box")).select("doc_id", "line_no", "pos", "box.box_id", "box.type", "box.mark")
 
 
 def redacted_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """``(doc_id, line_no, redacted, boxes)``: the rewritten line and the distinct ``struct(box_id, type)`` that start a run."""
     c = F.col
-    cover = character_cover(lines, boxes).groupBy("doc_id", "line_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("box_id", "type", "mark")))).alias("cover"))
+    cover = character_cover(lines, boxes).groupBy("doc_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "box_id", "type", "mark"))).alias("cover"))
     rows = lines.filter(F.length(T.trim_all(c("text"))) > 0).join(cover, ["doc_id", "line_no"], "left")
-    state = "struct<out:string,box:string,mark:string,starts:array<struct<box_id:string,type:string>>>"
-    empty = F.struct(F.lit("").alias("out"), F.lit(None).cast("string").alias("box"), F.lit(None).cast("string").alias("mark"), F.array().cast("array<struct<box_id:string,type:string>>").alias("starts")).cast(state)
+    state = "struct<out:string,pos:int,box:string,mark:string,starts:array<struct<box_id:string,type:string>>>"
+    none = F.lit(None).cast("string")
+    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("pos"), none.alias("box"), none.alias("mark"), F.array().cast("array<struct<box_id:string,type:string>>").alias("starts")).cast(state)
 
-    def step(acc: Column, i: Column) -> Column:
-        x = F.try_element_at(c("cover"), i)
-        char = F.substring(c("text"), i + 1, F.lit(1))
-        plain = F.struct(F.concat(acc["out"], char).alias("out"), F.lit(None).cast("string").alias("box"), F.lit(None).cast("string").alias("mark"), acc["starts"].alias("starts")).cast(state)
+    def step(acc: Column, x: Column) -> Column:
+        # covered characters only; what lies before one is copied at once, and ends the run
+        apart = F.struct(F.concat(acc["out"], F.substring(c("text"), acc["pos"] + 1, x["pos"] - acc["pos"])).alias("out"), x["pos"].alias("pos"), none.alias("box"), none.alias("mark"), acc["starts"].alias("starts")).cast(state)
+        return T.bound(F.when(x["pos"] > acc["pos"], apart).otherwise(acc), lambda before: covered(before, x))
+
+    def covered(acc: Column, x: Column) -> Column:
         goes_on = acc["box"].isNotNull() & ((x["box_id"].cast("string") == acc["box"]) | (x["mark"] == acc["mark"]))
         spaced = F.when((acc["out"] != "") & ~acc["out"].rlike(r"[ 　:：]\z"), F.concat(acc["out"], F.lit(" "))).otherwise(acc["out"])
         out = F.when(F.endswith(T.trim_end(acc["out"]), x["mark"]), acc["out"]).otherwise(F.concat(spaced, x["mark"]))
         head = F.struct(x["box_id"].cast("string").alias("box_id"), x["type"].alias("type"))
-        new = F.struct(out.alias("out"), x["box_id"].cast("string").alias("box"), x["mark"].alias("mark"), F.array_union(acc["starts"], F.array(head)).alias("starts")).cast(state)
-        return F.when(x.isNull(), plain).when(goes_on, acc).otherwise(new)
+        same = F.struct(acc["out"].alias("out"), (x["pos"] + 1).alias("pos"), acc["box"].alias("box"), acc["mark"].alias("mark"), acc["starts"].alias("starts")).cast(state)
+        new = F.struct(out.alias("out"), (x["pos"] + 1).alias("pos"), x["box_id"].cast("string").alias("box"), x["mark"].alias("mark"), F.array_union(acc["starts"], F.array(head)).alias("starts")).cast(state)
+        return F.when(goes_on, same).otherwise(new)
+
+    def ended(acc: Column) -> Column:
+        return F.struct(F.concat(acc["out"], F.substring(c("text"), acc["pos"] + 1, F.length("text"))).alias("out"), acc["starts"].alias("starts"))
 
-    done = F.aggregate(F.sequence(F.lit(0), F.length("text") - 1), empty, step)
-    out = rows.select("doc_id", "line_no", F.when(c("cover").isNull(), F.struct(c("text").alias("out"), empty["starts"].alias("starts"))).otherwise(F.struct(done["out"].alias("out"), done["starts"].alias("starts"))).alias("done"))
+    done = F.when(c("cover").isNull(), F.struct(c("text").alias("out"), empty["starts"].alias("starts"))).otherwise(F.aggregate("cover", empty, step, ended))
+    out = rows.select("doc_id", "line_no", done.alias("done"))
     return out.select("doc_id", "line_no", T.clean_export(c("done.out")).alias("redacted"), c("done.starts").alias("boxes"))
 
 

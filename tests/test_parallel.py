@@ -37,3 +37,31 @@ def test_address_lines_are_read_where_they_were_written(spark):
 
     plan = _plan(catalogue.queries()["layout_address_continuation"](spark, SF_DIR))
     assert "Join" not in plan and "l_partkey" not in plan
+
+
+def test_covered_characters_are_no_lambda(spark):
+    """Each character's condition is one on rows; only the occurrences of a box's text are a lambda."""
+    from maskora.operators import redact as R
+    from maskora.plans import catalogue as K
+
+    plan = _plan(R.character_cover(K.ocr_lines(spark, SF_DIR), K.page_boxes(spark, SF_DIR)))
+    assert "filter(sequence" not in plan and "explode(sequence(low" in plan
+
+
+def test_cover_of_odd_boxes(spark):
+    """Boxes beside, around and far from a line, narrow and without a number, against each character's own reckoning."""
+    import math
+
+    from maskora.operators import redact as R
+
+    text, x0, x1 = "abcdefghij", 10.0, 75.0
+    sides = [(-1e300, 2e300), (10.0, 0.0), (13.2, 3.1), (74.0, 50.0), (-40.0, 52.0), (80.0, 5.0), (-9.0, 3.0), (float("-inf"), 30.0), (30.0, float("inf")), (16.5, 6.5), (40.0, 0.4)]
+    lines = spark.createDataFrame([(i, 0, text, x0, 0.0, x1, 18.0, 90.0) for i in range(len(sides))], "doc_id long, line_no int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
+    boxes = spark.createDataFrame([(i, "b", 1, "pii", "", "", x, 0.0, w, 18.0, True) for i, (x, w) in enumerate(sides)], "doc_id long, box_id string, seq int, type string, label string, text string, x double, y double, w double, h double, enabled boolean")
+    want, share = [], (x1 - x0) / len(text)
+    for i, (x, w) in enumerate(sides):
+        for k in range(len(text)):
+            a, b = math.floor(x0 + k * share + 0.5), math.floor(x0 + (k + 1) * share + 0.5)
+            if x <= (a + b) / 2 <= x + w or max(0.0, min(x + w, b) - max(x, a)) / max(1, b - a) >= 0.35:
+                want.append((i, k))
+    assert sorted((r.doc_id, r.pos) for r in R.character_cover(lines, boxes).collect()) == want
