@@ -145,13 +145,15 @@ def redacted_lines(lines: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def redacted_text(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """``(doc_id, redacted_text)``: the document's non-empty lines in order."""
-    rows = redacted_lines(lines, boxes).filter("redacted != ''")
-    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "redacted"))), lambda r: r["redacted"]), "\n").alias("redacted_text"))
+    # empty lines are left out while they are gathered: a filter would go below the rewriting, and do it once more
+    rows = redacted_lines(lines, boxes).select("doc_id", F.when(F.col("redacted") != "", F.struct("line_no", "redacted")).alias("line"))
+    texts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("lines")).filter(F.size("lines") > 0)
+    return texts.select("doc_id", F.array_join(F.transform("lines", lambda r: r["redacted"]), "\n").alias("redacted_text"))
 
 
 def redaction_stats(lines: DataFrame, boxes: DataFrame) -> DataFrame:
     """``(doc_id, person, company, pii, custom)``: boxes that start a run, once for each line."""
-    heads = redacted_lines(lines, boxes).select("doc_id", F.explode("boxes").alias("box"))
+    heads = redacted_lines(lines, boxes).select("doc_id", F.explode_outer("boxes").alias("box")).filter("box IS NOT NULL")  # an inner explode would ask for the array's size first
     return heads.groupBy("doc_id").agg(*(F.count_if(F.col("box.type") == k).alias(k) for k in ("person", "company", "pii", "custom")))
 
 

@@ -65,3 +65,12 @@ def test_cover_of_odd_boxes(spark):
             if x <= (a + b) / 2 <= x + w or max(0.0, min(x + w, b) - max(x, a)) / max(1, b - a) >= 0.35:
                 want.append((i, k))
     assert sorted((r.doc_id, r.pos) for r in R.character_cover(lines, boxes).collect()) == want
+
+
+def test_lines_are_rewritten_once(spark):
+    """The filter on empty lines, and the one of an inner explode, went below the rewriting."""
+    from maskora.plans import catalogue
+
+    for name in ("redacted_text", "redaction_stats"):
+        filters = [x for x in _plan(catalogue.queries()[name](spark, SF_DIR)).splitlines() if x.lstrip(" +-:").startswith("Filter")]
+        assert not any("aggregate(cover" in x for x in filters)
