@@ -1,16 +1,20 @@
 """Order-dependent reductions of a page's boxes and lines.
 
 Each looks at one document at a time and its result depends on the order of what it has merged so far, so no join
-or window expresses it: ``applyInPandas`` by ``doc_id``. A document is one page; its rows fit a task.
+or window expresses it. Spark brings a page's rows together and in order; on most pages no two rows are near enough to
+be one, which is seen on whole batches of columns, and such rows pass as they are. Only the others are folded, row by
+row in Python. A document is one page; its rows fit a task.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -118,28 +122,115 @@ def merge_fragments_page(rows: list[dict]) -> list[dict]:
     return _grow(ordered, _fragments, _join_lines)
 
 
-def _by_page(df: DataFrame, page) -> DataFrame:
-    """``page`` on each document's rows. Pages are small and many, so a batch of them crosses to Python at once."""
-    columns = df.columns
-    pages_ = df.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("rows")).select("rows")
-    kind = f"array<{df.schema.simpleString()}>"
+@dataclass(frozen=True)
+class _Fold:
+    """A reduction of a page: what it does to rows, what it reads and changes of them, and whether any two of a page may be one.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``may_join`` takes column getters of earlier and later rows; a page without such a pair stays as it is.
+    """
+
+    page: Callable[[list[dict]], list[dict]]
+    columns: tuple[str, ...]
+    may_join: Callable[[Callable, Callable], np.ndarray]
+    order: str
+
+
+def _may_be_same(a, b) -> np.ndarray:
+    dx = np.minimum(a("x") + a("w"), b("x") + b("w")) - np.maximum(a("x"), b("x"))
+    dy = np.minimum(a("y") + a("h"), b("y") + b("h")) - np.maximum(a("y"), b("y"))
+    share = dx * dy >= 0.849 * np.minimum(a("w") * a("h"), b("w") * b("h"))  # a little wide: the fold decides
+    return (dx > 0) & (dy > 0) & share
+
+
+def _may_be_adjacent(a, b) -> np.ndarray:
+    low, high = np.minimum(a("h"), b("h")), np.maximum(a("h"), b("h"))
+    overlap = np.minimum(a("y") + a("h"), b("y") + b("h")) - np.maximum(a("y"), b("y"))
+    first = a("x") <= b("x")
+    gap = np.where(first, b("x") - a("x") - a("w"), a("x") - b("x") - b("w"))
+    return (overlap >= 0.849 * np.where(low == 0, 1, low)) & (gap >= -0.301 * high) & (gap <= 2) | (low < 0)
+
+
+def _may_be_fragments(a, b) -> np.ndarray:
+    ha, hb = np.maximum(1, a("y1") - a("y0")), np.maximum(1, b("y1") - b("y0"))
+    overlap = np.minimum(a("y1"), b("y1")) - np.maximum(a("y0"), b("y0"))
+    gap = np.where(a("x0") <= b("x0"), b("x0") - a("x1"), a("x0") - b("x1"))
+    high = np.maximum(ha, hb)
+    return (overlap >= 0.679 * np.minimum(ha, hb)) & (gap >= -0.251 * high) & (gap <= 1.151 * high)
+
+
+_DEDUPE = _Fold(dedupe_page, ("type", "seq", "is_manual", "enabled", "rotation", "x", "y", "w", "h", "text"), _may_be_same, "seq")
+_ADJACENT = _Fold(merge_adjacent_page, ("type", "seq", "is_manual", "x", "y", "w", "h", "text"), _may_be_adjacent, "seq")
+_FRAGMENTS = _Fold(merge_fragments_page, ("line_no", "text", "x0", "y0", "x1", "y1", "confidence", "words", "symbols", "aligned", "raw_text"), _may_be_fragments, "line_no")
+
+
+def _joining(rows: pa.RecordBatch, place: np.ndarray, may_join) -> np.ndarray:
+    """For each row of whole pages whether two rows of its page may be one. ``place`` counts a page's rows from 1."""
+    page = np.cumsum(place == 1) - 1
+    found, known = np.zeros(page[-1] + 1, bool), {}
+
+    def numbers(name: str) -> np.ndarray:
+        if name not in known:
+            known[name] = rows[name].cast(pa.float64(), safe=False).to_numpy(zero_copy_only=False)
+        return known[name]
+
+    later, apart = np.flatnonzero(place > 1), 1
+    while len(later):
+        earlier = later - apart
+        found[page[later[may_join(lambda k: numbers(k)[earlier], lambda k: numbers(k)[later])]]] = True  # noqa: B023
+        apart += 1
+        later = later[(place[later] > apart) & ~found[page[later]]]
+    return found[page]
+
+
+def _folded(rows: pa.RecordBatch, place: np.ndarray, fold: _Fold) -> pa.RecordBatch:
+    """The rows of whole pages after the fold. Columns that it does not know come from the row that took in the others."""
+    own = [c for c in fold.columns if c in rows.schema.names]
+    values = [rows[c].to_pylist() for c in own]
+    dicts = [dict(zip(own, v, strict=True), _at=i) for i, v in enumerate(zip(*values, strict=True))]
+    starts = [*np.flatnonzero(place == 1).tolist(), len(dicts)]
+    out = [r for i, j in zip(starts, starts[1:], strict=False) for r in fold.page(dicts[i:j])]
+    kept = rows.take(pa.array([r["_at"] for r in out], pa.int64()))
+    columns = [pa.array([r[f.name] for r in out], f.type) if f.name in own else kept[f.name] for f in rows.schema]
+    return pa.RecordBatch.from_arrays(columns, schema=rows.schema)
+
+
+def _by_page(df: DataFrame, fold: _Fold) -> DataFrame:
+    """``fold`` on each document's rows. Pages are small and many, so a batch of them crosses to Python at once; one that a batch's end cuts waits for its rest."""
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id").orderBy(fold.order)))
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
         for b in batches:
-            made = pa.array([page(rows) for rows in b["rows"].to_pylist()], b.schema.field("rows").type)
-            yield pa.RecordBatch.from_arrays([made], ["rows"])
+            starts = np.flatnonzero(b["_place"].to_numpy() == 1)
+            if len(starts) and (waiting or starts[-1] > 0):
+                yield pa.concat_batches([*waiting, b.slice(0, starts[-1])])
+                waiting = []
+            waiting.append(b.slice(starts[-1]) if len(starts) else b)
+        if waiting:
+            yield pa.concat_batches(waiting)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pages(batches):
+            if not b.num_rows:
+                continue
+            place, rows = b["_place"].to_numpy(), b.drop_columns(["_place"])
+            joining = _joining(rows, place, fold.may_join)
+            if not joining.all():
+                yield rows.filter(pa.array(~joining))
+            if joining.any():
+                yield _folded(rows.filter(pa.array(joining)), place[joining], fold)
 
-    return pages_.mapInArrow(run, f"rows {kind}").select(F.explode("rows").alias("r")).select("r.*")
+    return placed.mapInArrow(run, df.schema)
 
 
 def dedupe_boxes(boxes: DataFrame) -> DataFrame:
     """``boxes(doc_id, box_id, seq, type, label, text, x, y, w, h, rotation, enabled, is_manual, ...)`` without duplicates."""
-    return _by_page(boxes, dedupe_page)
+    return _by_page(boxes, _DEDUPE)
 
 
 def merge_adjacent(boxes: DataFrame) -> DataFrame:
-    return _by_page(boxes, merge_adjacent_page)
+    return _by_page(boxes, _ADJACENT)
 
 
 def merge_fragments(lines: DataFrame) -> DataFrame:
-    return _by_page(lines, merge_fragments_page)
+    return _by_page(lines, _FRAGMENTS)
