@@ -138,6 +138,11 @@ SENDER_TAIL = rf"[{_W}]*(?:[0-9]{{1,2}}:[0-9]{{2}}|既読|未読|送信済み)[{
 _TIME = rf"[{_W}][0-9]{{1,2}}:[0-9]{{2}}(?:[{_W}]*(?:既読|未読|送信済み))?[{_W}]*\z"
 
 
+def is_timed(text: Column) -> Column:
+    """Whether a line ends in a time, as a sender's does."""
+    return text.rlike(_TIME)
+
+
 def sender_headers(lines: DataFrame, avatars: DataFrame | None = None) -> DataFrame:
     """Lines that stand above a message body and end in a time, or beside an avatar ``(doc_id, x, y, w, h)``."""
     c = F.col

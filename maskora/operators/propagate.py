@@ -35,10 +35,13 @@ def keyword_hits(lines: DataFrame, keywords: list[str]) -> DataFrame:
 def searchable(lines: DataFrame) -> DataFrame:
     """Lines with ``search`` (folded, no white space) and ``places``, the original place of each of its characters."""
     line = F.coalesce("line", F.lit(""))
-    rows = lines.select("doc_id", "line_no", line.alias("line")).withColumns({"norm": T.normalize_recognised(F.col("line")), "map": T.normalized_map(F.col("line"))})
-    chars = F.regexp_extract_all("norm", F.lit("(?s)."), F.lit(0))
-    places = T.bound(F.col("map"), lambda m: F.filter(F.transform(chars, lambda ch, i: F.when(~ch.rlike(f"[{T.WS}]"), F.get(m, i))), lambda at: at.isNotNull()))
-    return rows.select("doc_id", "line_no", "line", T.search_fold(F.col("line")).alias("search"), places.alias("places"))
+    rows = lines.select("doc_id", "line_no", line.alias("line"))
+    return rows.select("*", T.search_fold(F.col("line")).alias("search"), _places(F.col("line")).alias("places"))
+
+
+def _places(line: Column) -> Column:
+    chars = F.regexp_extract_all(T.normalize_recognised(line), F.lit("(?s)."), F.lit(0))
+    return T.bound(T.normalized_map(line), lambda m: F.filter(F.transform(chars, lambda ch, i: F.when(~ch.rlike(f"[{T.WS}]"), F.get(m, i))), lambda at: at.isNotNull()))
 
 
 def confirmed_names(persons: DataFrame, companies: DataFrame) -> DataFrame:
@@ -55,7 +58,9 @@ def propagate(lines: DataFrame, names: DataFrame) -> DataFrame:
 
     The join is on ``doc_id``; a name counts only where the characters beside it do not belong to a longer one.
     """
-    rows = searchable(lines).join(names, "doc_id").filter(F.contains("search", "entity"))
+    line = F.coalesce("line", F.lit(""))
+    rows = lines.select("doc_id", "line_no", line.alias("line"), T.search_fold(line).alias("search")).join(names, "doc_id").filter(F.contains("search", "entity"))
+    rows = rows.withColumn("places", _places(F.col("line")))  # only where a name is
     hits = rows.select("*", F.explode(_occurrences(F.col("search"), F.col("entity"))).alias("at"))
     start = F.element_at("places", F.col("at") + 1)
     end = F.element_at("places", F.col("at") + F.length("entity")) + 1
