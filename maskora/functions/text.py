@@ -67,6 +67,12 @@ def half_width(s: Column) -> Column:
     return F.translate(s, WIDE, NARROW)
 
 
+def half_width_line(s: Column) -> Column:
+    """As :func:`half_width`, which looks up every character, but only for lines that hold a wide one. ``s`` should be a plain column."""
+    wide = (F.octet_length(s) > F.length(s)) & s.rlike("[\uff01-\uff5e\u3000]")
+    return F.when(wide, half_width(s)).otherwise(s)
+
+
 def fold_lookalikes(s: Column) -> Column:
     return F.translate(s, LOOKALIKE, LOOKALIKE_AS)
 

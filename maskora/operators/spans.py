@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +39,10 @@ def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """One detector. ``on`` says which form of the line it scans; ``accept`` sees the line's columns and a match."""
+    """One detector. ``on`` says which form of the line it scans; ``accept`` sees the line's columns and a match.
+
+    ``hint`` is what the scanned line holds wherever the pattern matches, and costs little to look for.
+    """
 
     pattern: str
     category: str
@@ -48,6 +52,7 @@ class Rule:
     accept: Callable[[Column, Column], Column] | None = None
     labelled: bool = False
     trimmed: bool = False
+    hint: Callable[[Column], Column] | None = None
 
 
 _W = T.WS
@@ -89,12 +94,12 @@ MONEY = rf"[￥¥][{_W}]*[0-9,]+|[0-9,]+[{_W}]*円"
 SECRET = rf"(?<![A-Za-z0-9_])(?:sk-[A-Za-z0-9_-]{{16,}}|gh[pousr]_[A-Za-z0-9]{{20,}}|AKIA[A-Z0-9]{{16}}){_NOT_WORD}"
 FREE = [
     Rule(PHONE, "phone", "電話番号", accept=lambda line, m: F.length(T.digits_only(T.trim_all(m["whole"]))).between(9, 11)),
-    Rule(EMAIL, "email", "メールアドレス"),
+    Rule(EMAIL, "email", "メールアドレス", hint=lambda line: F.contains(line, F.lit("@")) | F.contains(line, F.lit("＠"))),
     Rule(rf"〒[{_W}]*[0-9]{{3}}[{_DASH}][0-9]{{4}}{_NOT_WORD}", "postal", "郵便番号"),
     Rule(rf"{T.any_of(*T.PREFECTURES)}[^\n\r0-9０-９、。！？]{{1,25}}{_BLOCK}", "address", "住所", on="line", trimmed=True, accept=lambda line, m: T.has_address_structure(m["whole"], False)),
     Rule(rf"[^\n\r0-9０-９、。！？{_W}]{{1,12}}[市区町村郡][^\n\r0-9０-９、。！？{_W}]{{1,15}}{_BLOCK}", "address", "住所", on="line", trimmed=True, accept=lambda line, m: T.has_address_structure(T.trim_all(m["whole"]), True)),
     Rule(rf"(?i)(?:パスワード|Password|PW)[{_W}]*[:：]?[{_W}]*([●•*]{{4,24}})", "password", "パスワード", 1, on="line"),
-    Rule(CARD, "credit_card", "カード情報", accept=lambda line, m: ~m["whole"].rlike("^[0-9]") | T.is_card_number(m["whole"])),
+    Rule(CARD, "credit_card", "カード情報", accept=lambda line, m: ~m["whole"].rlike("^[0-9]") | T.is_card_number(m["whole"]), hint=lambda line: line.rlike("[0-9]{4}|[0-9]/[0-9]")),
     Rule(MONEY, "money", "金額"),
     Rule(rf"(?:^|[{_W}])(@[a-zA-Z0-9_]{{3,25}}){_NOT_WORD}", "sns_id", "SNS・アカウントID", 1),
     Rule(rf"(?:^|[^0-9])([0-9]{{4}}[{_W}\-]?[0-9]{{4}}[{_W}\-]?[0-9]{{4}})(?![0-9])", "id_number", "個人番号", 1, accept=lambda line, m: T.is_my_number(m["value"])),
@@ -157,12 +162,17 @@ def pii_spans(line: Column, rules: list[Rule] | None = None, norm: Column | None
     """The merged spans of the labelled and free rules, in the order of the rule table. Null lines have none."""
     text = F.coalesce(line, F.lit(""))
     norm = T.half_width(text) if norm is None else norm
-    found = F.concat(*(rule_spans(r, text, norm) for r in (LABELLED + FREE if rules is None else rules)))
-    return merge_spans(found, text)
+    rules = LABELLED + FREE if rules is None else rules
+    found = merge_spans(F.concat(*(rule_spans(r, text, norm) for r in rules)), text)
+    if not all(r.hint for r in rules):
+        return found
+    # few lines hold what any of the rules needs; the others are passed by in compiled code
+    likely = reduce(Column.__or__, (r.hint(text if r.on == "line" else norm) for r in rules))
+    return F.when(likely, found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def detect_pii(lines: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """``(doc_id, line_no, seq, start, end, category, label, text)``; no shuffle."""
-    prepared = lines.withColumn("norm", T.half_width(F.coalesce("line", F.lit(""))))
+    prepared = lines.withColumn("norm", F.coalesce(T.half_width_line(F.col("line")), F.lit("")))
     spans = prepared.select("doc_id", "line_no", F.posexplode(pii_spans(F.col("line"), rules, F.col("norm"))).alias("seq", "span"))
     return spans.select("doc_id", "line_no", "seq", "span.*")

@@ -62,9 +62,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses and card numbers of documents, redacted; characters, spans and rewritten characters by language."""
     docs = table(spark, sf_dir, "documents")
     rules = [r for r in S.FREE if r.category in ("email", "credit_card")]
-    lines = docs.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("spans", S.pii_spans(F.col("line"), rules))
+    lines = docs.select("lang", F.explode(F.split("text", "\n", -1)).alias("line")).withColumn("norm", F.coalesce(T.half_width_line(F.col("line")), F.lit("")))
+    lines = lines.withColumn("spans", S.pii_spans(F.col("line"), rules, F.col("norm")))
     typed = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("pii").alias("type"), s["label"].alias("label"), s["text"].alias("text")))
-    lines = lines.withColumn("redacted", R.redact_spans(F.col("line"), typed))
+    lines = lines.withColumn("redacted", F.when(F.size("spans") > 0, R.redact_spans(F.col("line"), typed)).otherwise(F.col("line")))
     return lines.groupBy("lang").agg(F.sum(F.length("line")).alias("chars"), F.sum(F.size("spans")).alias("spans"), F.sum(F.length("redacted")).alias("redacted_chars"))
 
 

@@ -84,3 +84,22 @@ def test_normalisation(spark):
     assert got[0]["t"] == "John Doe " and got[0]["m"] == [2, 3, 4, 5, 6, 9, 10, 11, 12]
     assert got[1]["t"] == "📩 氏名:𠮷田太郎 Email:abc@example.jp" and len(got[1]["m"]) == len(got[1]["t"])
     assert got[2]["t"] == "" and got[2]["m"] == []
+
+
+def test_hints_pass_by_no_match(spark):
+    """Lines without a rule's hint are not scanned; with and without hints the spans are the same, and wide lines fold as before."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    from maskora.functions import text as T
+    from maskora.operators import spans as S
+
+    lines = ["", None, "plain", "a@b.co x ａ＠ｂ．ｃｏ", "a ＠ b．co", "下4桁：1234", "下４桁 １２３４", "有効期限 12/34", "有効期限　１２／３４", "4111 1111 1111 1111", "４１１１-1111-１１１１-1111", "1-2 12:30 ＡＢ", "a@", "12345"]
+    rows = spark.createDataFrame([(i, 0, x) for i, x in enumerate(lines)], "doc_id long, line_no int, line string")
+    rules = [r for r in S.FREE if r.category in ("email", "credit_card")]
+    assert all(r.hint for r in rules)
+    bare = [replace(r, hint=None) for r in rules]
+    found = S.detect_pii(rows, rules).sort("doc_id", "seq").collect()
+    assert found == S.detect_pii(rows, bare).sort("doc_id", "seq").collect() and {r["doc_id"] for r in found} >= {3, 5, 6, 7, 8, 9, 10}
+    assert rows.filter(~T.half_width_line(F.col("line")).eqNullSafe(T.half_width(F.col("line")))).count() == 0
