@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,8 +16,7 @@ from maskora.operators import propagate as P
 from maskora.operators import redact as R
 from maskora.operators import symbols as Y
 from maskora.operators.spans import detect_pii, pii_spans
-from maskora.sources.scratch import materialised
-from maskora.sources.tables import spread
+from maskora.sources.scratch import by_text, materialised
 
 
 @dataclass(frozen=True)
@@ -84,7 +82,7 @@ def page_spans(lines: DataFrame, options: Options = Options(), avatars: DataFram
     nothing is detected twice; calling this runs those jobs.
     """
     plain = lines.select("doc_id", "line_no", F.col("text").alias("line"))
-    shown = _by_text(plain, "line", lambda texts: _row_spans(texts, options).select("line", "spans"), "text-spans").filter(F.size("spans") > 0)
+    shown = by_text(plain, "line", lambda texts: _row_spans(texts, options).select("line", "spans"), "text-spans").filter(F.size("spans") > 0)
     found = plain.join(shown, "line").select("doc_id", "line_no", F.explode("spans").alias("s")).select("doc_id", "line_no", "s.*")
     parts = [found.withColumn("layout", F.lit(False))]
 
@@ -127,7 +125,7 @@ def sender_spans(lines: DataFrame, options: Options = Options(), avatars: DataFr
         is_person = F.exists("persons", lambda s: (s["start"] == 0) & (s["end"] == F.length("line")))
         return named.select("text", F.length(name).alias("end"), "line", N.is_chat_sender(F.col("text"), is_person, F.lit(True)).alias("is_sender"))
 
-    named = _by_text(lines if avatars is not None else lines.filter(L.is_timed(F.col("text"))), "text", senders, "sender-texts").filter("is_sender")
+    named = by_text(lines if avatars is not None else lines.filter(L.is_timed(F.col("text"))), "text", senders, "sender-texts").filter("is_sender")
     heads = L.sender_headers(lines, avatars).select("doc_id", "line_no", "text").join(named, "text")
     return heads.select("doc_id", "line_no", F.lit(0).alias("start"), "end", F.col("line").alias("text"))
 
@@ -169,11 +167,6 @@ def redact(lines: DataFrame, found: DataFrame) -> DataFrame:
 _SPANS = "array<struct<start:int,end:int,type:string,label:string,text:string,reason:string>>"
 
 
-def _by_text(lines: DataFrame, column: str, work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """``work`` on each distinct text of the lines, written once: what pages say over and over is looked at once, by all cores."""
-    return materialised(work(spread(lines.select(column).distinct(), column)), name)
-
-
 def _row_spans(lines: DataFrame, options: Options) -> DataFrame:
     """``lines`` with ``persons``, ``companies`` and ``spans``, all that a line shows by itself; no shuffle."""
 

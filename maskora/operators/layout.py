@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskora.functions import text as T
 from maskora.operators.bands import BAND, banded, share_band
-from maskora.sources.scratch import materialised
+from maskora.sources.scratch import by_text, materialised
 
 _W = T.WS
 # Lines that are labels of a form, and what they label.
@@ -67,6 +67,14 @@ def is_value_of(text: Column, category: Column, trimmed: bool = False, no_label:
     return fits if no_label else fits & label_of(t, True).isNull()
 
 
+def _label_texts(texts: DataFrame) -> DataFrame:
+    """``line`` with its trimmed ``text``, its ``kind`` if it is a label, and else ``fits``, the categories whose value it may be."""
+    categories = sorted({category for category, *_ in LABEL_LINES})
+    rows = texts.withColumn("text", T.trim_all(F.col("line"))).withColumn("kind", label_of(F.col("text"), True))
+    fits = F.array(*(F.when(is_value_of(F.col("text"), F.lit(k), trimmed=True, no_label=True), k) for k in categories))
+    return rows.withColumn("fits", F.when(F.col("kind").isNull(), F.array_compact(fits)))
+
+
 def _y_overlap(a0, a1, b0, b1) -> Column:
     least = F.least(a1 - a0, b1 - b0)
     return F.greatest(F.lit(0.0), F.least(a1, b1) - F.greatest(a0, b0)) / F.when(least == 0, 1.0).otherwise(least)
@@ -76,9 +84,11 @@ def label_values(lines: DataFrame) -> DataFrame:
     """``(doc_id, label_line, value_line, category, label, value)``: each label line with its nearest plausible value.
 
     Values on the label's row win over those below; another label in between bars the way. Ties go to the
-    higher, then the left, then the earlier line.
+    higher, then the left, then the earlier line. What a text is, is found out once for each distinct text, when this is
+    called.
     """
-    rows = lines.select("doc_id", "line_no", T.trim_all(F.coalesce("text", F.lit(""))).alias("text"), "x0", "y0", "x1", "y1").withColumn("kind", label_of(F.col("text"), True))
+    rows = lines.select("doc_id", "line_no", F.coalesce("text", F.lit("")).alias("line"), "x0", "y0", "x1", "y1")
+    rows = rows.join(by_text(rows, "line", _label_texts, "label-texts"), "line").drop("line")
     c = F.col
     tall = F.greatest(F.lit(8.0), c("y1") - c("y0"))
     marks = rows.filter("kind is not null")
@@ -90,12 +100,12 @@ def label_values(lines: DataFrame) -> DataFrame:
     same = (_y_overlap(c("a.y0"), c("a.y1"), c("b.y0"), c("b.y1")) >= 0.55) & (c("b.x0") >= c("a.x1") - h * 0.25) & (c("b.x0") - c("a.x1") <= F.greatest(h * 30, wide * 12))
     gap = c("b.y0") - c("a.y1")
     below = gap.between(h * -0.15, h * 2.2) & (F.abs(c("b.x0") - c("a.x0")) <= F.greatest(F.lit(64.0), wide))
-    pairs = a.join(b, share_band("a", "b") & (same | below)).select(
+    fits = F.array_contains(c("b.fits"), c("a.kind.category"))
+    pairs = a.join(b, share_band("a", "b") & fits & (same | below)).select(
         c("a.doc_id").alias("doc_id"), c("a.line_no").alias("label_line"), c("b.line_no").alias("value_line"), c("a.kind").alias("kind"), c("b.text").alias("text"),
         c("a.x0").alias("ax0"), c("a.y0").alias("ay0"), c("a.x1").alias("ax1"), c("a.y1").alias("ay1"), c("b.x0").alias("bx0"), c("b.y0").alias("by0"), h.alias("h"), same.alias("same"),
         F.when(same, F.greatest(F.lit(0.0), c("b.x0") - c("a.x1"))).otherwise(F.greatest(F.lit(0.0), gap) + F.abs(c("b.x0") - c("a.x0")) * 0.25).alias("distance"),
     )
-    pairs = pairs.filter(is_value_of(F.col("text"), F.col("kind.category"), trimmed=True, no_label=True))
     p = banded(pairs, c("ay0"), c("ay1") + c("h") * 2.2).alias("p")
     on_row = (_y_overlap(c("p.ay0"), c("p.ay1"), c("o.y0"), c("o.y1")) >= 0.55) & (c("o.x0") > c("p.ax1")) & (c("o.x0") < c("p.bx0"))
     under = (c("o.y0") > c("p.ay1")) & (c("o.y0") < c("p.by0")) & (F.abs(c("o.x0") - c("p.ax0")) <= c("p.h") * 2)
@@ -107,6 +117,10 @@ def label_values(lines: DataFrame) -> DataFrame:
     return best.select("doc_id", "label_line", "value_line", F.col("kind.category").alias("category"), F.col("kind.label").alias("label"), F.col("text").alias("value"))
 
 
+def _address_texts(texts: DataFrame) -> DataFrame:
+    return texts.select("text", label_of(F.col("text"), True).isNotNull().alias("is_label"), T.is_address_value(F.col("text")).alias("is_address"))
+
+
 def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
     """Up to two lines that carry on the address of each address value: ``(doc_id, label_line, value_line, value)``.
 
@@ -118,13 +132,15 @@ def address_continuations(lines: DataFrame, values: DataFrame) -> DataFrame:
     # what both steps read is written once: else each step would find the labels' values again, and the second one the first step too
     step, found = first.select("doc_id", "label_line", F.col("value_line").alias("first_line"), F.lit(None).cast("double").alias("after"), "vx0", "end", "h"), []
     step = materialised(step, "addresses")
+    # only labels and texts like an address bear on what follows; which these are is found out once for each text
+    likely = by_text(rows, "text", _address_texts, "address-texts").filter("is_label OR is_address")
+    follow = rows.join(likely, "text").withColumn("band", F.floor(F.col("y0") / BAND))
     for _ in range(2):
         reach = banded(step, F.col("end") - F.col("h") * 0.1, F.col("end") + F.col("h") * 1.25).drop("first_band")
-        near = reach.join(rows.withColumn("band", F.floor(F.col("y0") / BAND)), ["doc_id", "band"]).filter(
+        near = reach.join(follow, ["doc_id", "band"]).filter(
             (F.col("line_no") != F.col("label_line")) & (F.col("line_no") != F.col("first_line")) & (F.col("y0") - F.col("end")).between(F.col("h") * -0.1, F.col("h") * 1.25)
             & (F.abs(F.col("x0") - F.col("vx0")) <= F.col("h") * 1.5) & (F.col("after").isNull() | (F.col("y0") >= F.col("after")))
-        ).withColumn("is_label", label_of(F.col("text"), True).isNotNull())
-        near = near.filter(F.col("is_label") | T.is_address_value(F.col("text")))
+        )
         order = Window.partitionBy("doc_id", "label_line").orderBy("y0", "x0", "line_no")
         taken = near.withColumn("place", F.row_number().over(order)).filter("place = 1 and not is_label")
         taken = materialised(taken.select("doc_id", "label_line", "first_line", "line_no", "text", "vx0", "y0", "y1", "h"), "address-lines")

@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from maskora.sources.tables import spread
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below ``spark.checkpoint.dir``. Where the setting is missing, on one machine, a temporary folder is set; on a cluster that is an error."""
@@ -27,3 +30,8 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_text(lines: DataFrame, column: str, work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """``work`` on each distinct text of the lines, written once: what pages say over and over is looked at once, by all cores."""
+    return materialised(work(spread(lines.select(column).distinct(), column)), name)

@@ -79,12 +79,13 @@ def test_lines_are_rewritten_once(spark):
 def test_each_distinct_text_is_looked_at_once(spark, monkeypatch):
     """Detectors ran on every line, however often pages say the same; null and empty texts show nothing."""
     from maskora import engine
+    from maskora.sources import scratch
 
-    tables, write = {}, engine.materialised
-    monkeypatch.setattr(engine, "materialised", lambda df, name: tables.setdefault(name, write(df, name)))
+    tables, write = {}, scratch.materialised
+    monkeypatch.setattr(scratch, "materialised", lambda df, name: tables.setdefault(name, write(df, name)))
     texts = ["佐藤様 a@b.example", "TEL: 090-1234-5678", "", None]
     rows = [(d, n, texts[n % 4], 0.0, 30.0 * n, 90.0, 30.0 * n + 18, 90.0) for d in range(20) for n in range(8)]
     lines = spark.createDataFrame(rows, "doc_id long, line_no int, text string, x0 double, y0 double, x1 double, y1 double, confidence double")
     found = engine.page_spans(lines, engine.Options(companies=False, propagate=False)).filter("not layout").groupBy("line_no", "label", "start", "end").count().collect()
-    assert tables["text-spans"].count() == 4
+    assert tables["text-spans"].count() == 4 and tables["label-texts"].count() == 3 and tables["address-texts"].count() == 3
     assert {tuple(x) for x in found} == {(n, *s, 20) for n in (0, 4) for s in (("人名", 0, 3), ("メールアドレス", 4, 15))} | {(n, "電話番号", 5, 18, 20) for n in (1, 5)}
