@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import star_links
 from .shared import written
 from .words import U64, mix64, odd_constants, pieces, word_hashes
 
@@ -50,8 +50,8 @@ SKETCH = 128
 LINK_EQUAL, SURE_EQUAL = 86, 104
 #: At most so many eight-byte ids are broadcast to pick out the texts that may have a link.
 BROADCAST_IDS = 2_000_000
-#: Pairs whose sketches a task compares at a time.
-_PAIRS = 1 << 18
+#: Pairs whose sketches a task compares at a time; shingles of members that meet strangers together, and pairs or meetings of these.
+_PAIRS, _PRINTS, _CELLS = 1 << 18, 1 << 20, 1 << 21
 _LONGS = SKETCH // 16
 _S = [f"s{q}" for q in range(_LONGS)]
 _XOR, _TIMES = odd_constants(101, SKETCH).astype(np.uint32), odd_constants(202, SKETCH).astype(np.uint32) | np.uint32(1)
@@ -169,7 +169,7 @@ def _first_links(batches, percent: int, leaf: int, leaders_of_large: int):
 
     All that is carried from batch to batch are the first members of the node that is not ended.
     """
-    names = ["part", "node", "cls", "n_shingles", "size"]
+    names = ["part", "node", "cls", "n_shingles", "size", "head"]
     carried, had = None, 0  # the open node's first members, and how many members it has had
     for b in batches:
         rows = {c: _column(b, c) for c in names} | {"sketch": np.stack([_column(b, c) for c in _S], axis=1).view(U64)}
@@ -205,7 +205,7 @@ def _first_links(batches, percent: int, leaf: int, leaders_of_large: int):
             by = np.lexsort((rank, row))
             last = by[np.append(row[by][1:] != row[by][:-1], True)]
             partner[row[last]] = other[last]
-        out = np.flatnonzero(wanted)
+        out = np.flatnonzero(wanted & ~rows["head"])  # a head is a copy of a row that comes as well
         best = rows["cls"][partner[out]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(rows["node"][out]), pa.array(rows["cls"][out]), pa.array(rows["size"][out]), pa.array(best, mask=partner[out] < 0)], ["node", "cls", "size", "best"]
@@ -224,7 +224,7 @@ class _Strangers:
         self._ready = False
 
     def add(self, prints, component, cls):
-        self.prints.append(prints)
+        self.prints += prints
         self.component.append(component)
         self.cls.append(cls)
 
@@ -235,21 +235,35 @@ class _Strangers:
         self.owner = np.repeat(np.arange(len(self.prints)), self.sizes)[by]
         self.keys, first = np.unique(flat[by], return_index=True)
         self.first = np.append(first, len(flat))
-        self.components = np.array(self.component)
+        self.classes, self.components = np.concatenate(self.cls), np.concatenate(self.component)
+        names, self.number = np.unique(self.components, return_inverse=True)
+        self.numbers = len(names)
         self._ready = True
 
-    def links(self, prints, component) -> np.ndarray:
-        """For each other component the first stranger in it that is alike."""
+    def links(self, prints: list, component: np.ndarray):
+        """For each of the members and each other component the first stranger in it that is alike, as ``(members, strangers)``."""
         if not self._ready:
             self._index()
-        at = np.searchsorted(self.keys, prints)
-        at[at == len(self.keys)] = 0
-        at = at[self.keys[at] == prints]
-        count = self.first[at + 1] - self.first[at]
-        places = np.repeat(self.first[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        common = np.bincount(self.owner[places], minlength=len(self.sizes))
-        alike = np.flatnonzero((100 * common >= self.percent * (self.sizes + len(prints) - common)) & (self.components != component))
-        return alike[np.unique(self.components[alike], return_index=True)[1]]
+        n, sizes = len(self.sizes), np.array([len(p) for p in prints])
+        for i, j in _chunks(sizes, _PRINTS):
+            flat = np.concatenate(prints[i:j])
+            at = np.searchsorted(self.keys, flat)
+            at[at == len(self.keys)] = 0
+            hit = np.flatnonzero(self.keys[at] == flat)
+            at, member = at[hit], np.repeat(np.arange(i, j), sizes[i:j])[hit]
+            first, count = self.first[at], self.first[at + 1] - self.first[at]
+            met = np.bincount(member - i, weights=count, minlength=j - i).astype(np.int64)
+            for a, e in _chunks(np.maximum(met, n), _CELLS):
+                a, e = a + i, e + i
+                mine = slice(*np.searchsorted(member, [a, e]))
+                c = count[mine]
+                places = np.repeat(first[mine] - np.cumsum(c) + c, c) + np.arange(c.sum())
+                cells = np.repeat((member[mine] - a) * n, c) + self.owner[places]
+                common = np.bincount(cells, minlength=(e - a) * n).reshape(e - a, n)
+                alike = (100 * common >= self.percent * (self.sizes + sizes[a:e, None] - common)) & (self.components != component[a:e, None])
+                members, strangers = np.nonzero(alike)
+                one = np.unique(members * self.numbers + self.number[strangers], return_index=True)[1]
+                yield members[one] + a, strangers[one]
 
 
 def _cross_links(batches, percent: int):
@@ -258,25 +272,22 @@ def _cross_links(batches, percent: int):
     What is held are the open node's strangers, LEAF at most. A stranger meets the strangers from the first row of a
     follower on, so strangers of one part meet each other there as well.
     """
-    part, strangers, early = None, None, []
+    part, strangers = None, None
     for b in batches:
-        a_side, b_side = [], []
-
-        def meet(cls, prints, component, a_side=a_side, b_side=b_side):
-            for i in strangers.links(prints, component):  # noqa: B023
-                a_side.append(cls)
-                b_side.append(strangers.cls[i])  # noqa: B023
-
         parts, leads, cls, component = (_column(b, c) for c in ("part", "lead", "cls", "component"))
-        for k, x in enumerate(b["prints"]):
-            prints = np.frombuffer(x.as_buffer(), np.uint32)
-            if parts[k] != part:
-                part, strangers = parts[k], _Strangers(percent)
-            if leads[k]:
-                strangers.add(prints, component[k], cls[k])
+        prints = [np.frombuffer(x.as_buffer(), np.uint32) for x in b["prints"]]
+        cuts = (np.flatnonzero((parts[1:] != parts[:-1]) | (leads[1:] != leads[:-1])) + 1).tolist()
+        for i, j in zip([0, *cuts], [*cuts, len(parts)], strict=True):
+            if i == j:
+                continue
+            if parts[i] != part:
+                part, strangers = parts[i], _Strangers(percent)
+            if leads[i]:
+                strangers.add(prints[i:j], component[i:j], cls[i:j])
             elif strangers.cls:
-                meet(cls[k], prints, component[k])
-        yield pa.RecordBatch.from_arrays([pa.array(a_side, pa.int64()), pa.array(b_side, pa.int64())], ["a", "b"])
+                for members, others in strangers.links(prints[i:j], component[i:j]):
+                    if len(members):
+                        yield pa.RecordBatch.from_arrays([pa.array(cls[i:j][members], pa.int64()), pa.array(strangers.classes[others], pa.int64())], ["a", "b"])
 
 
 class _Join:
@@ -321,9 +332,9 @@ class _Join:
         sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1")
         parts = F.ceil(F.col("size") / PART).cast("int")
         salted = F.when(F.col("size") > PART, F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts).cast("int"))).otherwise(F.col("node"))
-        rows = nodes.join(sizes.select("node", "size"), "node").select(salted.alias("part"), "node", "size", *member)
+        rows = nodes.join(sizes.select("node", "size"), "node").select(salted.alias("part"), "node", "size", *member, F.lit(False).alias("head"))
         heads = sizes.filter(f"size > {PART}").select("node", "size", "first.*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
-        heads = heads.select(F.xxhash64("node", "salt").alias("part"), "node", "size", *member)
+        heads = heads.select(F.xxhash64("node", "salt").alias("part"), "node", "size", *member, F.lit(True).alias("head"))
         return rows.unionByName(heads)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
@@ -340,11 +351,8 @@ class _Join:
         found = written(rows.mapInArrow(lambda it: _first_links(it, percent, leaf, leaders), "node long, cls long, size long, best long"), "members")
         links = self.confirm(found.filter("best is not null").select(F.col("cls").alias("a"), F.col("best").alias("b")))
         # links of one pass are enough as stars: what they join stays joined
-        joined = links if self.links is None else self.links.unionByName(links)
-        components = written(connected_components(joined), "components")
-        stars = components.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        members = found.select("node", "cls").distinct().join(components.withColumnRenamed("id", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        members = written(members, "labelled")
+        stars = star_links(links if self.links is None else self.links.unionByName(links))
+        members = written(self.labelled(found.select("node", "cls"), stars), "labelled")
         by_component = members.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
         largest = F.max(F.struct("n", "component"))
         mixed = by_component.groupBy("node").agg(F.sum("n").alias("size"), largest["component"].alias("largest"), (F.sum("n") - largest["n"]).alias("strangers")).filter("strangers > 0")
@@ -352,7 +360,7 @@ class _Join:
         mixed = written(mixed, "mixed")
         last = FIRST_DEEPER + (depth + 1) * DEEPER > COORDINATES
         crossing = self.cross(mixed if last else mixed.filter(f"strangers <= {LEAF}"))
-        self.links = stars.unionByName(self.confirm(crossing))
+        self.links = stars.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(self.confirm(crossing))
         large = mixed.filter(f"strangers > {LEAF}").select("node", "cls")
         if last or large.isEmpty():
             return None
@@ -373,11 +381,17 @@ class _Join:
         rows = rows.join(prints, "cls").repartition("part").sortWithinPartitions("part", F.desc("lead"), "cls")
         return rows.mapInArrow(lambda it: _cross_links(it, percent), "a long, b long")
 
-    def components(self) -> DataFrame:
-        """``(cls, component_id)``: the smallest doc_id of each class's component, for classes that are linked."""
-        found = written(connected_components(self.links), "components").withColumnRenamed("id", "cls")
-        found = found.join(self.active.select("cls", "rep"), "cls")
-        return found.join(found.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("cls", "component_id")
+    @staticmethod
+    def labelled(rows: DataFrame, stars: DataFrame) -> DataFrame:
+        """The rows with the component of their class, which is the class itself where nothing is linked with it."""
+        hung = stars.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("component"))
+        return rows.join(hung, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    def verdicts(self) -> DataFrame:
+        """``(set_key, copies, rep, component_id)`` of all classes: the smallest doc_id of the class's component."""
+        found = self.labelled(self.classes.select("cls", "set_key", "copies", "rep"), star_links(self.links))
+        least = found.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+        return found.join(least, "component", "left").select("set_key", "copies", "rep", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 #: Coordinates from here on are for the depths below the trees'.
@@ -393,8 +407,7 @@ def _verdicts(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     while nodes is not None:
         nodes = run.level(nodes, depth)
         depth += 1
-    whole = run.classes.select("cls", "set_key", "copies", "rep").join(run.components(), "cls", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
-    changed = whole.filter("copies > 1 or component_id != rep").select("set_key", "component_id")
+    changed = run.verdicts().filter("copies > 1 or component_id != rep").select("set_key", "component_id")
     return run.sketches.select("doc_id", "text_key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(changed, "set_key", "left").select(
         "doc_id",
         "n_shingles",

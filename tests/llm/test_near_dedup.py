@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from maskora.llm import near_dedup
+from maskora.llm import components, near_dedup
 from maskora.llm.components import connected_components
 from tests.llm.fixtures import awkward_docs, docs_frame
 
@@ -116,3 +118,47 @@ def test_components(spark):
     links = [(1, 2), (2, 1), (3, 2), (5, 5), (9, 8), (8, 7), (7, 6), (6, 4)]
     got = connected_components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 4), (7, 4), (8, 4), (9, 4)]
+
+
+@pytest.mark.parametrize("merged", [1, 50, 1 << 20])
+def test_components_of_links_merged_in_tasks(spark, monkeypatch, merged):
+    """Chains, hubs and repeated links give the same whatever a task merges at once; a chain in one task takes no round."""
+    rng = random.Random(merged)
+    links = [(i, i + 1) for i in range(200)] + [(1000, 1000 + rng.randrange(300)) for _ in range(400)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    rng.shuffle(links)
+    parent = {i: i for x in links for i in x}
+    for a, b in links:
+        x, y = root(parent, a), root(parent, b)
+        parent[max(x, y)] = min(x, y)
+    monkeypatch.setattr(components, "MERGED", merged)
+    rounds = []
+    monkeypatch.setattr(components, "_star", lambda *a, f=components._star: rounds.append(1) or f(*a))
+    got = connected_components(spark.createDataFrame(links, "a long, b long").coalesce(1)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, root(parent, i)) for i in parent)
+    assert merged < len(links) or not rounds
+
+
+def test_strangers_meet_members_many_at_a_time(monkeypatch):
+    """Links of members met together equal those of each member alone, in whatever batches they come."""
+    rng = random.Random(6)
+    base = [rng.randrange(1 << 32) for _ in range(200)]
+    rows = []
+    for part in range(5):
+        sets = [sorted({*rng.sample(base, 190), *(rng.randrange(1 << 32) for _ in range(rng.randrange(40)))}) for _ in range(40)]
+        rows += [(part, k < 15, 100 * part + k, rng.randrange(6), s) for k, s in enumerate(sets)]
+        rows += [(part, False, 100 * part + k, rows[-40 + k][3], sets[k]) for k in range(15)]
+    want = set()
+    for part, lead, cls, component, s in rows:
+        best = {}
+        for p, is_lead, other, c, o in rows:
+            n = len({*s} & {*o})
+            if not lead and p == part and is_lead and c != component and 100 * n >= 80 * (len(s) + len(o) - n):
+                best.setdefault(c, (cls, other))
+        want |= {*best.values()}
+    for size, cells in ((7, 20), (1000, 1 << 21)):
+        monkeypatch.setattr(near_dedup, "_CELLS", cells)
+        monkeypatch.setattr(near_dedup, "_PRINTS", 100 * cells)
+        table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(["part", "lead", "cls", "component"])})
+        table = table.append_column("prints", pa.array([np.array(r[4], np.uint32).tobytes() for r in rows], pa.binary()))
+        got = [(x["a"], x["b"]) for b in near_dedup._cross_links(table.to_batches(size), 80) for x in b.to_pylist()]
+        assert len(got) == len({*got}) and {*got} == want and want
