@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import chain
 
 _CUT = re.compile(r" (?=\S)")
 
@@ -28,48 +29,35 @@ class ChunkMemo:
         self._old: dict[str, bytes] = {}
         self._size = 0
 
-    def _keep(self, chunk: str, ids: bytes) -> None:
-        if len(chunk) <= self._longest:
-            self._young[chunk] = ids
-            self._size += 150 + len(chunk) + len(ids)  # with the objects around them
-
     def _learned(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of chunks that are not in the young half; those that are no place to cut are left out."""
-        if self._size > self._limit:
-            self._old, self._young, self._size = self._young, {}, 0
         found = {x: self._old[x] for x in missing if x in self._old}
         new = [x for x in missing if x not in found and x and not x[0].isspace()]
         found.update(zip(new, self._encode_chunks([" " + x for x in new]), strict=True))
-        for x, ids in found.items():
-            self._keep(x, ids)
+        kept = found
+        if max(map(len, found), default=0) > self._longest:
+            kept = {x: ids for x, ids in found.items() if len(x) <= self._longest}
+        self._young.update(kept)
+        self._size += 150 * len(kept) + sum(map(len, kept)) + sum(map(len, kept.values()))  # with the objects around them
         return found
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text; a null one counts as empty."""
+        if self._size > self._limit:
+            self._old, self._young, self._size = self._young, {}, 0
         cut = [t.split(" ") if t else [""] for t in texts]
-        get, found, holes = self._young.get, [], []
-        for i, c in enumerate(cut):
-            f = list(map(get, c))
-            f[0], k = b"", -1
-            try:
-                while True:
-                    k = f.index(None, k + 1)
-                    holes.append((i, k))
-            except ValueError:
-                found.append(f)
-        learned = self._learned({cut[i][k] for i, k in holes})
-        apart = set()
-        for i, k in holes:
-            x = learned.get(cut[i][k])
-            if x is None:  # a space that more white space or the end follows is no place to cut
-                apart.add(i)
-            found[i][k] = x
-        out = []
-        for i, (head, f) in enumerate(zip(self._encode_many([c[0] for c in cut]), found, strict=True)):
-            if i in apart:
-                first, *rest = _CUT.split(texts[i])
+        heads = [c[0] for c in cut]
+        for c in cut:
+            del c[0]
+        learned = self._learned(set(chain.from_iterable(cut)).difference(self._young))
+        get, out = self._young.get, []
+        for t, c, head in zip(texts, cut, self._encode_many(heads), strict=True):
+            found = list(map(get, c))
+            if None in found:  # too long to be kept, or a space that more white space or the end follows, which is no place to cut
+                found = [learned.get(x) if ids is None else ids for x, ids in zip(c, found, strict=True)]
+            if None in found:
+                first, *rest = _CUT.split(t)
                 out.append(b"".join(self._encode_many([first, *(" " + x for x in rest)])))
             else:
-                f[0] = head
-                out.append(b"".join(f))
+                out.append(head + b"".join(found))
         return out

@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe_codec import BYTE_CHARS, mapped
+from .bpe_codec import BYTE_CHARS
 from .chunk_memo import ChunkMemo
 from .files import create, open_file
 from .shared import scratch, written
@@ -43,11 +44,10 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 32 << 20
-_MARKS = (",", ".", "!")
-#: Matches whose ids a worker remembers (longer ones than 64 characters never), and that are merged as one text.
+#: Matches whose ids a worker remembers (longer ones than 64 characters never); matches or chunks that are encoded as one text.
 MATCHES, _TOGETHER = 400_000, 4000
-#: The mapped space.
-_SPACE = BYTE_CHARS[0x20]
+#: Bytes to mapped characters, but for the end of a line.
+_MAPPED = str.maketrans({chr(b): c for b, c in BYTE_CHARS.items() if b != 0x0A})
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"MSKSST01"
 #: index place, index size, filter place, filter size, rows, tokens, blocks, bytes of an id
@@ -209,9 +209,9 @@ class Encoder:
 
     Tokenizers that do not split by PATTERN, or that change texts first, encode every text as a whole. For the others:
 
-    Distinct chunks of the Latin script are split by the library's own pattern here; their distinct matches go through
-    its merges many at a time, as one text with a delimiter that no match holds, and the ids are dealt back by the
-    characters that each stands for. Other chunks go through all of the library.
+    Distinct printable chunks of the Latin script are split by the library's own pattern here, as one text; their distinct
+    matches go through its merges many at a time, as one text with a delimiter that no match holds, and the ids are dealt
+    back by the characters that each stands for. Other chunks go through all of the library, many as one text.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -239,61 +239,63 @@ class Encoder:
         self._matches: dict[str, bytes] = {}
         self.memo = ChunkMemo(self._encode_many, self._encode_chunks)
 
+    def _dealt(self, ids: list[int], sizes: list[int]) -> list[bytes]:
+        """The ids of a text cut into pieces of so many bytes."""
+        ids = np.array(ids, self._dtype)
+        ends, reached = np.cumsum(sizes), np.cumsum(self._sizes[ids])
+        cuts = np.searchsorted(reached, ends, "right")
+        if (reached[cuts - 1] != ends).any():
+            raise ValueError("the vocabulary does not cover all bytes")
+        return _pieces(ids.tobytes(), (cuts * self.width).tolist())
+
     def _merged(self, matches: list[str]) -> list[bytes]:
-        """Ids of matches, given as mapped characters."""
-        out, at = [], 0
-        while at < len(matches):
-            group = matches[at : at + _TOGETHER]
-            at += len(group)
-            (e,) = self._merges.encode_batch_fast(["\n".join(group)], add_special_tokens=False)
-            ids = np.array(e.ids, self._dtype)
-            ends, reached = np.cumsum([len(m) for m in group]), np.cumsum(self._sizes[ids])
-            cuts = np.searchsorted(reached, ends, "right")
-            if (reached[cuts - 1] != ends).any():
-                raise ValueError("the vocabulary does not cover all bytes")
-            data, begin = ids.tobytes(), 0
-            for end in (cuts * self.width).tolist():
-                out.append(data[begin:end])
-                begin = end
+        """Ids of printable matches."""
+        out = []
+        for at in range(0, len(matches), _TOGETHER):
+            text = "\n".join(matches[at : at + _TOGETHER]).encode().decode("latin-1").translate(_MAPPED)
+            (e,) = self._merges.encode_batch_fast([text], add_special_tokens=False)
+            out += self._dealt(e.ids, [len(m) for m in text.split("\n")])
+        return out
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of any chunks; where one begins, a match begins in all that is joined."""
+        out = []
+        for at in range(0, len(chunks), _TOGETHER):
+            group = chunks[at : at + _TOGETHER]
+            (e,) = self._tokenizer.encode_batch_fast(["".join(group)], add_special_tokens=False)
+            out += self._dealt(e.ids, [len(t.encode()) for t in group])
         return out
 
     def _encode_many(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self._dtype).tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """A word of ASCII letters, alone or with one mark after it, needs no pattern, and its characters map to themselves."""
-        split: list = []
-        for t in chunks:
-            if t.isascii():
-                word = t[1:]
-                if word.isalpha():
-                    split.append((_SPACE + word,))
-                elif word[-1] in _MARKS and word[:-1].isalpha():
-                    split.append((_SPACE + word[:-1], word[-1]))
-                else:
-                    split.append(_mapped_ascii(t, self._split))
-            elif max(t) < "\u0250":
-                split.append([mapped(m.encode()) for m in self._split(t)])
-            else:
-                split.append(None)
+    def _printable(self, chunks: list[str]) -> list[bytes]:
+        """Ids of printable chunks of the Latin script."""
         if len(self._matches) > MATCHES:
             self._matches = {}
-        known = self._matches
-        new = list({m for s in split if s for m in s if m not in known})
+        known, matches = self._matches, self._split("".join(chunks))
+        new = list(set(matches).difference(known))
         known.update(zip(new, self._merged(new), strict=True))
-        others = iter(self._encode_many([t for t, s in zip(chunks, split, strict=True) if s is None]))
-        out = [next(others) if s is None else known[s[0]] if len(s) == 1 else b"".join([known[m] for m in s]) for s in split]
+        found = [known[m] for m in matches]
+        ends, reached = np.cumsum([len(t) for t in chunks]), np.cumsum([len(m) for m in matches])
+        last = np.searchsorted(reached, ends)
+        if (reached[last] != ends).any():
+            raise ValueError("a match goes over the end of a chunk")
         for m in new:
             if len(m) > 64:
                 del known[m]
-        return out
+        return _pieces(b"".join(found), np.cumsum([len(x) for x in found])[last].tolist())
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        simple = [t.isprintable() and (t.isascii() or max(t) < "\u0250") for t in chunks]
+        if not any(simple):
+            return self._joined(chunks)
+        known, others = iter(self._printable(list(compress(chunks, simple)))), iter(self._joined([t for t, x in zip(chunks, simple, strict=True) if not x]))
+        return [next(known) if x else next(others) for x in simple]
 
 
-def _mapped_ascii(text: str, split) -> list[str]:
-    """As ``mapped`` of each match; without control characters only spaces change."""
-    if text.isprintable():
-        return [m.replace(" ", _SPACE) for m in split(text)]
-    return [mapped(m.encode()) for m in split(text)]
+def _pieces(data: bytes, ends: list[int]) -> list[bytes]:
+    return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -94,3 +94,16 @@ def test_damage_is_found():
     bad = Sink(sink.data[:5] + b"!" + sink.data[6:])
     with pytest.raises(ValueError):
         list(ts.ShardReader(bad).scan())
+
+
+def test_chunks_are_encoded_together():
+    """Many new chunks of all kinds are split by one call, and their ids are the library's whatever the memo keeps."""
+    encoder, calls = ts.Encoder(open(ts.TOKENIZER).read()), []
+    encoder._split = lambda t, f=encoder._split: calls.append(1) or f(t)
+    kinds = ["it's{}", "n{}n", "été{},", "x{}\n\nY", "日本{}", "a{}\t ", "é{}\xa0b", "z" * 80 + "{}"]
+    texts = [" ".join(k.format(i + j) for i in range(50) for k in kinds) for j in (0, 20, 900)]
+    want = [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.memo.encode(texts)] == want
+    assert len(calls) == 1
+    encoder.memo._limit = 0
+    assert [np.frombuffer(encoder.memo.encode([t])[0], "<u2").tolist() for t in texts + texts] == want + want
