@@ -10,7 +10,8 @@ whose tokens are commonest, so the copies of one original are hung on it. A memb
 most, the first that is surely alike or else the most alike; these links are confirmed on full sets and give
 components. The second pass looks only at nodes that hold several components. Every link that is still to be found
 has an end outside the node's largest component, so the members outside it, the strangers, are compared with all
-members, exhaustively and on the sets themselves; a member is linked with one member of each other component. Where
+members, exhaustively and on the sets themselves; a member is linked with one member of each other component. Only
+members with a partner whose size and parity bits allow a link bring their sets; this loses no link (see ``_bits``). Where
 more than LEAF strangers meet, the node branches on by DEEPER more coordinates, and both passes run on the new nodes;
 where no coordinate is left, the strangers are compared a block of LEAF at a time.
 
@@ -50,8 +51,10 @@ SKETCH = 128
 LINK_EQUAL, SURE_EQUAL = 86, 104
 #: At most so many eight-byte ids are broadcast to pick out the texts that may have a link.
 BROADCAST_IDS = 2_000_000
-#: Pairs whose sketches a task compares at a time; shingles of members that meet strangers together, and pairs or meetings of these.
-_PAIRS, _PRINTS, _CELLS = 1 << 18, 1 << 20, 1 << 21
+#: A deeper level gets tables of its own classes alone where these are at most one in so many.
+NARROW = 4
+#: Characters that are read at a time. Pairs whose sketches a task compares at a time; shingles of members that meet strangers together, and pairs or meetings of these.
+_TEXT, _PAIRS, _PRINTS, _CELLS = 1 << 18, 1 << 18, 1 << 20, 1 << 21
 _LONGS = SKETCH // 16
 _S = [f"s{q}" for q in range(_LONGS)]
 _XOR, _TIMES = odd_constants(101, SKETCH).astype(np.uint32), odd_constants(202, SKETCH).astype(np.uint32) | np.uint32(1)
@@ -67,7 +70,9 @@ def shingle_sets(texts: list, words: int):
             rolled = mix64(sum((h[i : i + n] * times[i] for i in range(1, words)), h[:n] * times[0]))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= words:
-                yield np.unique(rolled[a : b - words + 1])
+                s = np.sort(rolled[a : b - words + 1])  # np.unique takes four times as long
+                again = np.flatnonzero(s[1:] == s[:-1])
+                yield np.delete(s, again) if len(again) else s
             elif b > a:
                 short = sum((h[a + i : a + i + 1] * times[i] for i in range(b - a)), np.array([b - a], U64))
                 yield mix64(short)
@@ -80,22 +85,34 @@ def _minwise(sets: list[np.ndarray]) -> np.ndarray:
     flat = np.concatenate(sets)
     flat = (flat >> U64(32)).astype(np.uint32) ^ flat.astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    out = np.empty((len(sets), SKETCH), np.uint32)
+    out, v, high = np.empty((SKETCH, len(sets)), np.uint32), np.empty_like(flat), np.empty_like(flat)
     for k in range(SKETCH):
-        v = (flat ^ _XOR[k]) * _TIMES[k]
-        v ^= v >> np.uint32(15)
-        out[:, k] = np.minimum.reduceat(v, starts)
-    return out
+        np.bitwise_xor(flat, _XOR[k], out=v)
+        v *= _TIMES[k]
+        np.right_shift(v, np.uint32(15), out=high)
+        v ^= high
+        np.minimum.reduceat(v, starts, out=out[k])
+    return np.ascontiguousarray(out.T)
 
 
 def _set_key(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
+def _bits(s: np.ndarray) -> bytes:
+    """Whether an even or odd number of shingles falls on each of 2^k places, at least as many as shingles and 64.
+
+    Of two sets' bits as many differ as the sets differ in shingles, at most. More places are folded to fewer by
+    exclusive or.
+    """
+    n = max(64, 1 << (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & U64(n - 1)).astype(np.int64), minlength=n).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
 def _sketches(batches, words: int):
     for b in batches:
         ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-        for i, j in pieces(texts):
+        for i, j in pieces(texts, _TEXT):
             sets = list(shingle_sets(texts[i:j], words))
             full = [s for s in sets if len(s)]
             coords = np.zeros((len(sets), SKETCH), np.uint32)
@@ -117,11 +134,15 @@ def _sketches(batches, words: int):
 
 
 def _full_sets(batches, words: int):
+    """The classes' sets, from texts of their first doc_ids; a text with another set than the class's is passed by."""
     for b in batches:
-        texts = b["text"].to_pylist()
-        for i, j in pieces(texts):
+        texts, keys = b["text"].to_pylist(), b["set_key"].to_pylist()
+        for i, j in pieces(texts, _TEXT):
             sets = list(shingle_sets(texts[i:j], words))
-            yield pa.RecordBatch.from_arrays([pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_key", "members"])
+            own = [k for k, s in enumerate(sets) if _set_key(s) == keys[i + k]]
+            cls = b["cls"][i:j].take(pa.array(own, pa.int64()))
+            columns = [pa.array([len(sets[k]) for k in own], pa.int64()), pa.array([_bits(sets[k]) for k in own], pa.binary()), pa.array([sets[k].tobytes() for k in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays([cls, *columns], ["cls", "n", "bits", "members"])
 
 
 def _prints(batches):
@@ -266,6 +287,62 @@ class _Strangers:
                 yield members[one] + a, strangers[one]
 
 
+def _bits_apart(flat: np.ndarray, at: np.ndarray, width: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many parity bits the rows ``x`` and ``y`` differ; row i's bits are the ``width[i]`` values from ``flat[at[i]]``."""
+    apart, least = np.empty(len(x), np.int64), np.minimum(width[x], width[y])
+    for w in np.unique(least):
+        these = np.flatnonzero(least == w)
+        for a in range(0, len(these), step := max(1, _CELLS // int(w))):
+            some = these[a : a + step]
+            d = np.zeros((len(some), w), U64)
+            for rows in (x[some], y[some]):
+                for fold in range(int(width[rows].max() // w)):
+                    has = np.flatnonzero(width[rows] > fold * w)
+                    d[has] ^= flat[(at[rows[has]] + fold * w)[:, None] + np.arange(w)]
+            apart[some] = np.bitwise_count(d).sum(axis=1, dtype=np.int64)
+    return apart
+
+
+def _may_link(batches, percent: int):
+    """Of the rows of pass two, those with a partner in another component that size and parity bits allow; strangers may be repeated.
+
+    A link's sets differ in (100 - percent) / (100 + percent) of the sum of their sizes, at most. What is carried from
+    batch to batch are the strangers of the part that is not ended.
+    """
+    names = ["part", "lead", "cls", "component", "n"]
+    carried = None
+    for b in batches:
+        rows = {c: _column(b, c) for c in names}
+        bits = [np.frombuffer(x.as_buffer(), U64) for x in b["bits"]]
+        kept = 0
+        if carried is not None and len(bits) and carried[0]["part"][0] == rows["part"][0]:
+            kept = len(carried[1])
+            rows, bits = {c: np.concatenate([carried[0][c], rows[c]]) for c in names}, carried[1] + bits
+        n = len(bits)
+        if n == kept:
+            continue
+        first = np.flatnonzero(np.concatenate([[True], rows["part"][1:] != rows["part"][:-1]]))
+        begin = np.repeat(first, np.diff(np.append(first, n)))
+        leads = np.repeat(np.add.reduceat(rows["lead"].astype(np.int64), first), np.diff(np.append(first, n)))
+        met = np.where(rows["lead"], 0, leads)
+        width = np.array([len(x) for x in bits])
+        at, flat = np.cumsum(width) - width, np.concatenate(bits)
+        wanted = np.zeros(n, bool)
+        for a, e in _chunks(met, _PAIRS):
+            row = np.repeat(np.arange(a, e), met[a:e])
+            other = begin[row] + np.arange(len(row)) - np.repeat(np.cumsum(met[a:e]) - met[a:e], met[a:e])
+            x, y = rows["n"][row], rows["n"][other]
+            ok = np.flatnonzero((rows["component"][row] != rows["component"][other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+            apart = _bits_apart(flat, at, width, row[ok], other[ok])
+            ok = ok[(100 + percent) * apart <= (100 - percent) * (x[ok] + y[ok])]
+            wanted[row[ok]] = wanted[other[ok]] = True
+        out = np.flatnonzero(wanted)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[c][out]) for c in names[:4]], names[:4])
+        open_leads = np.flatnonzero(rows["lead"][first[-1] :]) + first[-1]
+        carried = ({c: rows[c][open_leads] for c in names}, [bits[k] for k in open_leads]) if len(open_leads) else None
+
+
 def _cross_links(batches, percent: int):
     """Pass two over rows that come node by node, strangers first: links ``(a, b)`` between components.
 
@@ -301,46 +378,69 @@ class _Join:
         )
         self.sketches = written(sketches, "sketches")
         named = self.sketches.filter("doc_id is not null and n_shingles > 0")
-        first = F.min(F.struct("doc_id", "n_shingles", "coords", *_S)).alias("first")
-        classes = named.groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"))
+        of_set = ["n_shingles", "coords", *_S]  # as keys these are grouped by hash; in a minimum they would be sorted
+        classes = named.groupBy("set_key", *of_set).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
         # the written number tells classes apart, even those of one doc_id with several texts
-        self.classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "copies", F.col("first.doc_id").alias("rep"), "first.n_shingles", "first.coords", *(f"first.{c}" for c in _S)), "classes")
+        self.classes = written(classes.select(F.monotonically_increasing_id().alias("cls"), "set_key", "copies", "rep", *of_set), "classes")
         self.links = None
 
     def find_active(self) -> None:
         picks = self.classes.select("cls", F.posexplode(F.slice("coords", 1, FIRST)).alias("pick", "token"))
-        common = picks.groupBy("pick", "token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = picks.join(common, ["pick", "token"]).groupBy("cls").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.log2("n")).cast("float").alias("typical"))
+        picks = picks.select("cls", (F.col("pick") * F.lit(1 << 32) + F.col("token")).alias("token"))
+        common = picks.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        shared = picks.join(common.hint("shuffle_hash"), "token").groupBy("cls").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.log2("n")).cast("float").alias("typical"))
         active = shared.filter(F.col("shared") >= MIN_SHARED).select("cls", "typical")
         self.active = written(self.classes.join(active, "cls"), "active")
-        ids = self.active.select(F.col("rep").alias("doc_id")).distinct()
-        few = self.active.count() <= BROADCAST_IDS  # else a join by id, which moves the texts once
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        self.n_active = self.active.count()
+        firsts = self.active.select(F.col("rep").alias("doc_id"), "set_key", "cls")
+        few = self.n_active <= BROADCAST_IDS  # else a join by id, which moves the texts once
+        texts = self.docs.select("doc_id", "text").join(F.broadcast(firsts) if few else firsts, "doc_id").select("cls", "set_key", "text")
         words = self.words
-        sets = texts.mapInArrow(lambda it: _full_sets(it, words), "set_key binary, members binary").dropDuplicates(["set_key"])
-        self.sets = written(sets.join(self.active.select("set_key", "cls"), "set_key").select("cls", "members"), "sets")
+        self.sets = written(texts.mapInArrow(lambda it: _full_sets(it, words), "cls long, n long, bits binary, members binary"), "sets")
+        if self.sets.count() > self.n_active:  # rows are repeated
+            self.sets = written(self.sets.dropDuplicates(["cls"]), "sets")
 
     def first_nodes(self) -> DataFrame:
         tokens = F.col("coords")
         node = [F.xxhash64(F.lit(t * len(_PATHS) + k), *(tokens[t * _TREE + c] for c in path)) for t in range(TREES) for k, path in enumerate(_PATHS)]
-        return self.active.select(F.explode(F.array(*node)).alias("node"), "cls", "n_shingles", "typical", *_S)
+        return self.active.select(F.explode(F.array(*node)).alias("node"), "cls")
+
+    def narrow(self, classes: DataFrame) -> None:
+        """From now on the tables hold the given classes alone, if these are few."""
+        classes = written(classes.distinct(), "narrow")
+        n = classes.count()
+        if n * NARROW > self.n_active:
+            return
+        few = F.broadcast(classes) if n <= BROADCAST_IDS else classes
+        self.n_active, self.active, self.sets = n, written(self.active.join(few, "cls", "left_semi"), "active"), written(self.sets.join(few, "cls", "left_semi"), "sets")
 
     def sized(self, nodes: DataFrame) -> DataFrame:
         """Members of nodes of two or more, dealt to parts; each part of a large node starts with the node's first member."""
         member = ["cls", "n_shingles", "typical", *_S]
-        first = F.min(F.struct((-F.col("typical")).alias("order"), *member)).alias("first")
-        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), first).filter("size > 1")
+        sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        nodes = written(nodes.join(sizes.hint("shuffle_hash"), "node"), "nodes")  # most nodes have one member, so only now members get wide
         parts = F.ceil(F.col("size") / PART).cast("int")
         salted = F.when(F.col("size") > PART, F.xxhash64("node", F.pmod(F.xxhash64("cls"), parts).cast("int"))).otherwise(F.col("node"))
-        rows = nodes.join(sizes.select("node", "size"), "node").select(salted.alias("part"), "node", "size", *member, F.lit(False).alias("head"))
-        heads = sizes.filter(f"size > {PART}").select("node", "size", "first.*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
+        active = self.active.select(*member)
+        rows = nodes.join(active, "cls").select(salted.alias("part"), "node", "size", *member, F.lit(False).alias("head"))
+        large = nodes.filter(f"size > {PART}")
+        if large.isEmpty():
+            return rows
+        first = F.min(F.struct((-F.col("typical")).alias("order"), *member)).alias("first")
+        heads = large.join(active, "cls").groupBy("node", "size").agg(first).select("node", "size", "first.*", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
         heads = heads.select(F.xxhash64("node", "salt").alias("part"), "node", "size", *member, F.lit(True).alias("head"))
         return rows.unionByName(heads)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The links ``(a, b)`` among the pairs, by their full sets."""
         pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        x, y = self.sets.select(F.col("cls").alias("a"), F.col("members").alias("left")), self.sets.select(F.col("cls").alias("b"), F.col("members").alias("right"))
+        n = pairs.count()
+        if not n:
+            return pairs
+        sets = self.sets.select("cls", "members")
+        if 2 * n <= BROADCAST_IDS:
+            sets = sets.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()), "cls", "left_semi")
+        x, y = sets.select(F.col("cls").alias("a"), F.col("members").alias("left")), sets.select(F.col("cls").alias("b"), F.col("members").alias("right"))
         overlaps = pairs.join(x, "a").join(y, "b").mapInArrow(_overlaps, "a long, b long, common long, total long")
         return written(overlaps.filter(f"100 * common >= {self.percent} * total").select("a", "b"), "links")
 
@@ -364,8 +464,9 @@ class _Join:
         large = mixed.filter(f"strangers > {LEAF}").select("node", "cls")
         if last or large.isEmpty():
             return None
-        picked = large.join(self.active, "cls").select("node", "cls", "n_shingles", "typical", *_S, F.posexplode(F.slice("coords", FIRST_DEEPER + depth * DEEPER + 1, DEEPER)).alias("pick", "token"))
-        return picked.withColumn("node", F.xxhash64("node", "pick", "token")).select("node", "cls", "n_shingles", "typical", *_S)
+        self.narrow(large.select("cls"))
+        picked = large.join(self.active, "cls").select("node", "cls", F.posexplode(F.slice("coords", FIRST_DEEPER + depth * DEEPER + 1, DEEPER)).alias("pick", "token"))
+        return picked.select(F.xxhash64("node", "pick", "token").alias("node"), "cls")
 
     def cross(self, mixed: DataFrame) -> DataFrame:
         """Links between a node's components: every stranger with every member, a part and a block of strangers at a time."""
@@ -377,7 +478,16 @@ class _Join:
         leads = mixed.filter("stranger").select("node", "cls", "component", F.lit(True).alias("lead"), block_of.alias("block"), all_parts)
         rows = meets.unionByName(leads).select(F.xxhash64("node", "salt", "block").alias("part"), "cls", "component", "lead")
         percent = self.percent
-        prints = self.sets.mapInArrow(_prints, "cls long, prints binary")
+        rows = rows.join(self.sets.select("cls", "n", "bits"), "cls").repartition("part").sortWithinPartitions("part", F.desc("lead"), "cls")
+        rows = rows.mapInArrow(lambda it: _may_link(it, percent), "part long, lead boolean, cls long, component long")
+        rows = written(rows.distinct(), "meetings")
+        n = rows.count()
+        if not n:
+            return rows.select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+        sets = self.sets.select("cls", "members")
+        if n <= BROADCAST_IDS:
+            sets = sets.join(F.broadcast(rows.select("cls").distinct()), "cls", "left_semi")
+        prints = sets.mapInArrow(_prints, "cls long, prints binary")
         rows = rows.join(prints, "cls").repartition("part").sortWithinPartitions("part", F.desc("lead"), "cls")
         return rows.mapInArrow(lambda it: _cross_links(it, percent), "a long, b long")
 

@@ -33,11 +33,14 @@ def odd_constants(seed: int, n: int) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE_BYTES = _SPACE.tobytes()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = odd_constants(11, 256)[_LOWER]
 _BYTE[_SPACE] = 0
 _BASE = U64(0x9E3779B97F4A7C55)
+_INVERSE = U64(pow(int(_BASE), -1, 1 << 64))
+_kept = (np.zeros(0, U64),) * 3
 
 
 def pieces(texts: list, limit: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -53,25 +56,36 @@ def pieces(texts: list, limit: int = PIECE) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``n`` powers of the base, from the first, and of its inverse, from none, and room for as many values; those for pieces of usual size are kept."""
+    global _kept
+    if n <= len(_kept[0]):
+        return _kept
+    powers = (np.multiply.accumulate(np.concatenate([[first], np.full(max(n, PIECE >> 2) - 1, x, U64)])) for first, x in ((_BASE, _BASE), (U64(1), _INVERSE)))
+    found = (*powers, np.empty(max(n, PIECE >> 2), U64))
+    if n <= 2 * PIECE:
+        _kept = found
+    return found
+
+
 def _hash_piece(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """A word's bytes are summed with the powers of their places in the piece, which its first place is then taken from."""
     raw = [(t or "").encode() for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
-    a = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
-    space = _SPACE[a]
-    inside = ~space
-    inside[1:] &= space[:-1]
-    starts = np.flatnonzero(inside)
+    joined = b" ".join([*raw, b""])
+    a, space = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(_SPACE_BYTES), bool)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(a) and not space[0]:
+        edges = np.concatenate([[0], edges])
+    starts, closes = edges[::2], edges[1::2]
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
         return np.zeros(0, U64), bounds
-    first = starts[0]
-    offset = np.arange(first, len(a)) - np.repeat(starts, np.diff(np.append(starts, len(a))))
-    closes = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    lengths = closes - starts
-    np.minimum(offset, lengths.max(), out=offset)
-    power = np.multiply.accumulate(np.full(lengths.max() + 1, _BASE))
-    h = np.add.reduceat(_BYTE[a[first:]] * power[offset], starts - first)
-    return mix64(h + lengths.astype(U64) * U64(0xD6E8FEB86659FD93)), bounds
+    power, inverse, room = _powers(len(a))
+    h = np.take(_BYTE, a, mode="clip", out=room[: len(a)])
+    h *= power[: len(a)]
+    h = np.add.reduceat(h, starts) * inverse[starts]
+    return mix64(h + (closes - starts).astype(U64) * U64(0xD6E8FEB86659FD93)), bounds
 
 
 def word_hashes(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -162,3 +162,46 @@ def test_strangers_meet_members_many_at_a_time(monkeypatch):
         table = table.append_column("prints", pa.array([np.array(r[4], np.uint32).tobytes() for r in rows], pa.binary()))
         got = [(x["a"], x["b"]) for b in near_dedup._cross_links(table.to_batches(size), 80) for x in b.to_pylist()]
         assert len(got) == len({*got}) and {*got} == want and want
+
+
+def test_only_members_that_may_link_bring_their_sets():
+    """Size and parity bits keep each row that has a link to another component, in whatever batches rows come, and leave most others."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for part in range(30):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 700)).astype(np.uint64)
+        for k in range(20):
+            own = base[rng.random(len(base)) < (0.9 if k % 4 else 0.4)]
+            s = np.unique(np.concatenate([own, rng.integers(0, 1 << 63, 1 + rng.integers(0, 1 + len(base) // 8)).astype(np.uint64)]))
+            rows.append((part, False, 100 * part + k, int(rng.integers(4)), s))
+        rows += [(part, True, *r[2:]) for r in rows[-7:]]
+    rows.sort(key=lambda r: (r[0], not r[1], r[2]))
+    linked, met = set(), set()
+    for part, lead, cls, component, s in rows:
+        for p, is_lead, other, c, o in rows:
+            if not lead and p == part and is_lead and c != component:
+                n = len(np.intersect1d(s, o))
+                pair = {(part, False, cls, component), (part, True, other, c)}
+                met |= pair
+                linked |= pair if 100 * n >= 80 * (len(s) + len(o) - n) else set()
+    table = pa.table({n: [r[i] for r in rows] for i, n in enumerate(["part", "lead", "cls", "component"])})
+    table = table.append_column("n", pa.array([len(r[4]) for r in rows])).append_column("bits", pa.array([near_dedup._bits(r[4]) for r in rows], pa.binary()))
+    for size in (3, 50, 1000):
+        got = {tuple(x.values()) for b in near_dedup._may_link(table.to_batches(size), 80) for x in b.to_pylist()}
+        assert linked and linked <= got <= met and len(got - linked) < len(met - linked) / 2
+
+
+def test_deeper_levels_hold_their_own_classes_alone(spark, monkeypatch):
+    """Below the trees only the classes of nodes with many strangers are read; the sets of all others stay where they are."""
+    for name, value in {"LEAF": 16, "LEADERS": 4, "PART": 40}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(100)]
+    rows = [(i, edited(base, rng, 3 + i % 9)) for i in range(120)]
+    for i in range(400):
+        pair = [f"p{i}_{k}" for k in range(60)]
+        rows += [(1000 + 2 * i, " ".join(pair)), (1001 + 2 * i, edited(pair, rng, 1))]
+    held = []
+    monkeypatch.setattr(near_dedup._Join, "level", lambda run, nodes, depth, f=near_dedup._Join.level: held.append(run.sets.count()) or f(run, nodes, depth))
+    assert found(near_dedup.near_duplicates(docs_frame(spark, rows), 4)) == brute(rows, 4)
+    assert len(held) > 1 and held[0] > 800 and max(held[1:]) <= 120
