@@ -49,7 +49,7 @@ LEAF, LEADERS, PART = 1024, 64, 8192
 SKETCH = 128
 #: Of the SKETCH four-bit values: equal ones at a similarity of about 0.65, for a link, and of 0.8, for a sure one.
 LINK_EQUAL, SURE_EQUAL = 86, 104
-#: At most so many eight-byte ids are broadcast to pick out the texts that may have a link.
+#: At most so many ids (with a class and its set key) are broadcast to pick out the texts, sets or members that may have a link.
 BROADCAST_IDS = 2_000_000
 #: A deeper level gets tables of its own classes alone where these are at most one in so many.
 NARROW = 4
